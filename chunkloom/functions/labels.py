@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import datetime, timezone
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO64 = 18446744073709551616
+TWO64 = Decimal(18446744073709551616)
 
 
 def unsigned(v: Column) -> Column:
@@ -19,7 +20,7 @@ def unsigned(v: Column) -> Column:
 
 def signed(v: Column) -> Column:
     """The bigint whose bits spell an unsigned decimal(20,0)."""
-    big = v >= F.lit(2**63).cast("decimal(20,0)")
+    big = v >= F.lit(TWO64 / 2).cast("decimal(20,0)")
     return F.when(big, v - F.lit(TWO64).cast("decimal(20,0)")).otherwise(v).cast("bigint")
 
 

@@ -232,11 +232,11 @@ def downsample_mean(spark, sf_dir):
 
 # --- writes -----------------------------------------------------------------
 
-_NEW = f"n AS (SELECT x, y, z, label + 1000000 AS label FROM v WHERE {_in(WRITTEN)} AND x % 3 <> 0)"
+_NEW = f"n AS (SELECT x, y, z, label + 1000000 AS label FROM v WHERE {_in(WRITTEN)} AND val > 10)"
 
 
 def _fresh(v: Volume, box) -> DataFrame:
-    return v.voxels.where(v.inside(box) & (F.col("x") % 3 != 0)).withColumn("label", F.col("label") + 1000000)
+    return v.voxels.where(v.inside(box) & (F.col("val") > 10)).withColumn("label", F.col("label") + 1000000)
 
 
 @query(f"WITH {V}, {_NEW} SELECT x, y, z, label FROM v WHERE NOT ({_in(WRITTEN)}) UNION ALL SELECT x, y, z, label FROM n")
@@ -245,13 +245,13 @@ def write_aligned(spark, sf_dir):
     return v.write(WRITTEN, _fresh(v, WRITTEN))
 
 
-@query(f"WITH {V}, n AS (SELECT x, y, z, label + 1000000 AS label FROM v WHERE {_in(ODD)} AND x % 3 <> 0) SELECT x, y, z, label FROM v WHERE NOT ({_in(ODD)}) UNION ALL SELECT x, y, z, label FROM n")
+@query(f"WITH {V}, n AS (SELECT x, y, z, label + 1000000 AS label FROM v WHERE {_in(ODD)} AND val > 10) SELECT x, y, z, label FROM v WHERE NOT ({_in(ODD)}) UNION ALL SELECT x, y, z, label FROM n")
 def write_non_aligned(spark, sf_dir):
     v = _unbounded(volume(spark, sf_dir))
     return v.write(ODD, _fresh(v, ODD), non_aligned=True)
 
 
-@query(f"WITH {V}, n AS (SELECT x, y, z, label + 1000000 AS label FROM v WHERE {_in(ODD)} AND x % 3 <> 0) SELECT x, y, z, label FROM v WHERE NOT (x >= 64 AND x < 192 AND y >= 16 AND y < 64 AND z >= 1 AND z < 8) UNION ALL SELECT x, y, z, label FROM n")
+@query(f"WITH {V}, n AS (SELECT x, y, z, label + 1000000 AS label FROM v WHERE {_in(ODD)} AND val > 10) SELECT x, y, z, label FROM v WHERE NOT (x >= 64 AND x < 192 AND y >= 16 AND y < 64 AND z >= 1 AND z < 8) UNION ALL SELECT x, y, z, label FROM n")
 def overwrite_partial(spark, sf_dir):
     v = _unbounded(volume(spark, sf_dir))
     return v.overwrite_partial(ODD, _fresh(v, ODD))
