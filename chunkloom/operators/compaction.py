@@ -31,17 +31,20 @@ from chunkloom.session import fresh_path
 BATCH_BYTES = 4 << 30
 
 
+def readable_source(spark: SparkSession, source: str) -> str:
+    """A file stream reads a directory or a pattern; a single file becomes a pattern."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    single = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    return f"{source[:-1]}[{source[-1]}]" if single else source
+
+
 def compact_stream(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame], batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Run the compactor over what is available in ``source``; the table in ``out``.
 
     Called again with the same ``checkpoint``, it takes only files that came since.
     ``shape`` maps a batch to the rows to store.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(source)
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
-        source = f"{source[:-1]}[{source[-1]}]"  # a file stream reads a directory or a pattern
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(readable_source(spark, source))
 
     def write(batch: DataFrame, number: int) -> None:
         shape(batch).write.mode("overwrite").parquet(f"{out}/batch={number:012d}")

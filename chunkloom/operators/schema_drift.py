@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chunkloom.session import cut
+
 FIELDS = "array<struct<path: string, tag: string, value: string, text: string>>"
 #: Versions of a layer are chained in blocks of so many numbers (see previous_version).
 BLOCK = 256
@@ -114,7 +116,8 @@ def with_fields(docs: DataFrame, text: str, out: str = "fields") -> DataFrame:
     def parse(texts: pd.Series) -> pd.Series:
         return pd.Series([tagged_fields(t) for t in texts], dtype=object)
 
-    return docs.withColumn(out, parse(F.col(text)))
+    # not to be evaluated again for a filter on its result
+    return docs.withColumn(out, parse.asNondeterministic()(F.col(text)))
 
 
 def previous_version(versions: DataFrame, layer: str, order: str, payload: str, out: str) -> DataFrame:
@@ -145,7 +148,8 @@ def changes(docs: DataFrame, layer: str, version: str, text: str) -> DataFrame:
     the same path, null on neither side).
     """
     rows = docs.select(F.col(layer).alias("layer"), F.col(version).alias("version"), F.col(text).alias("text")).where("layer is not null and version is not null and text is not null").distinct()
-    seen = with_fields(rows, "text").where("fields is not null").select("layer", "version", "fields").distinct()
+    # read twice by previous_version, so parsed once and written
+    seen = cut(with_fields(rows, "text").select("layer", "version", "fields").where("fields is not null"), "fields").distinct()
     both = previous_version(seen, "layer", "version", "fields", "before").where("before is not null")
     a, b = _by_path(F.col("before")), _by_path(F.col("fields"))
     both = both.select("layer", "version", "before", "fields", a.alias("a"), b.alias("b"))
