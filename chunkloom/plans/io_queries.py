@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chunkloom.operators import sharding
 from chunkloom.operators.sharding import Spec
 from chunkloom.operators.volume import XYZ, Volume
 from chunkloom.plans.volume_queries import V, volume
+from chunkloom.plans.object_queries import _INDEX, _MESH, _SKEL, _USABLE
+from chunkloom.sources import layers, objects
 from chunkloom.session import cut, fresh_path, table
-from chunkloom.sources import layers
 from chunkloom.streaming import ingest
 
 QUERIES: dict = {}
@@ -79,6 +81,72 @@ def transfer_format(spark, sf_dir):
     return _read(spark, target)
 
 
+def _lines(spark, sf_dir):
+    from chunkloom.plans.object_queries import _mesh
+    from chunkloom.operators import mesh
+
+    return mesh.concatenate(*_mesh(spark, sf_dir))
+
+
+@query(f"WITH {_MESH} SELECT segid, vid, x, y, z FROM cv")
+def mesh_file_roundtrip(spark, sf_dir):
+    """Meshes packed into shard files, taken out and decoded."""
+    items = _through_shards(objects.mesh_payloads(*_lines(spark, sf_dir)))
+    v, _ = objects.decode_meshes(items)
+    return v.select("segid", "vid", *[F.col(c).cast("double").alias(c) for c in XYZ])
+
+
+def _through_shards(items):
+    spec = Spec(0, 4, 4, "murmurhash3_x86_128")
+    back = sharding.shard_entries(cut(sharding.shard_files(items, spec), "shards"), spec)
+    return back.select(F.col("label").cast("string").alias("name"), "payload")
+
+
+@query(f"WITH {_SKEL} SELECT e.segid, count(*) AS n_edges FROM se e GROUP BY e.segid")
+def skeleton_file_roundtrip(spark, sf_dir):
+    from chunkloom.plans.object_queries import _skeleton
+
+    items = _through_shards(objects.skeleton_payloads(*_skeleton(spark, sf_dir)))
+    return objects.decode_skeletons(items)[1].groupBy("segid").agg(F.count("*").alias("n_edges"))
+
+
+@query(f"WITH {_USABLE} SELECT ids, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, class_label FROM (SELECT DISTINCT ids, x, y, z, class_label FROM a WHERE ids IS NOT NULL AND class_label IS NOT NULL)")
+def annotation_file_roundtrip(spark, sf_dir):
+    """Packed records in grid cells."""
+    from chunkloom.operators import annotations
+
+    rows = annotations.usable(table(spark, sf_dir, "annotations")).dropna(subset=["ids", "class_label"])
+    rows = rows.select("ids", *[c.cast("float").alias(n) for c, n in zip(annotations.point("geometry"), XYZ)], "class_label").distinct()
+    path, props = layers.local(fresh_path(spark, "cells")), [("class_label", "int32")]
+    objects.write_annotation_cells(rows, path, (200_000, 200_000, 100_000), props)
+    return objects.read_annotation_cells(spark, path, props, ["int"])
+
+
+@query(f"WITH {_INDEX} SELECT regexp_replace(filename, '\\.(gz|br|zstd)$', '') AS filename, label, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, min(z0) AS z0, max(z1) AS z1 FROM i WHERE n_big > 40 GROUP BY ALL".replace("i AS (SELECT * FROM e JOIN f USING (fid))", "i AS (SELECT *, count(*) OVER (PARTITION BY fid) AS n_big FROM e JOIN f USING (fid))"))
+def spatial_index_file_roundtrip(spark, sf_dir):
+    """The JSON tiles of files with more than 40 labels, written and read back."""
+    from chunkloom.functions.boxes import hull_of
+    from chunkloom.operators import spatial
+
+    lookup = spatial.entries(table(spark, sf_dir, "file_lookup"))
+    many = lookup.groupBy("fid").agg(F.count("*").alias("n")).where("n > 40")
+    i = spatial.located(lookup.join(many, "fid", "left_semi"), table(spark, sf_dir, "index_files"))
+    i = i.withColumn("filename", F.regexp_replace("filename", r"\.(gz|br|zstd)$", ""))
+    i = i.groupBy("filename", "label").agg(*hull_of([F.col(f"{d}0") for d in XYZ], [F.col(f"{d}1") for d in XYZ]))
+    path = layers.local(fresh_path(spark, "tiles"))
+    objects.write_spatial_index(i, path)
+    return objects.read_spatial_index(spark, path)
+
+
+@query(f"WITH {V}, m AS (SELECT z, min(val) AS lo, max(val) AS hi FROM v GROUP BY z) SELECT x, y, z, CAST(CASE WHEN hi = lo THEN 0 ELSE floor((val - lo) / (hi - lo) * 255) END AS INTEGER) AS gray FROM v JOIN m USING (z)")
+def normalized_slices(spark, sf_dir):
+    """Gray values of image slices, each stretched between its own extremes."""
+    v = volume(spark, sf_dir).voxels
+    m = v.groupBy("z").agg(F.min("val").alias("lo"), F.max("val").alias("hi"))
+    gray = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.floor((F.col("val") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255))
+    return v.join(m, "z").select(*XYZ, gray.cast("int").alias("gray"))
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def stream_window_counts(spark, sf_dir):
     """Hourly counts and sums of a stream of events."""
