@@ -39,29 +39,40 @@ class BiGRU:
         self.adam = {n: (np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))) for n in self.NAMES}
         self.steps = 0
 
-    def _states(self, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """x: (T, B) byte codes.  States (T, 2, B, H), the second direction reversed in time."""
+    def _states(self, x: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
+        """x: (T, B) byte codes.  States (T, 2, B, H), the second direction reversed in time.
+
+        Padding leaves no trace: states are zero there, so results do not depend on what
+        a text is batched with.  With ``keep`` also the gates z, r, the recurrent part q
+        and the candidate n.
+        """
         t, b = x.shape
         h = self.h
         # the input's share of the gates depends on the byte alone: a table of 257 rows
         gates = np.matmul(self.emb[None], self.wx) + self.bx
         both = np.stack([x, x[::-1]], axis=1)  # (T, 2, B)
-        out = np.zeros((t, 2, b, h), np.float32)
-        s = np.zeros((2, b, h), np.float32)
-        saved = []
+        out = np.zeros((t, 2, b, h), self.wh.dtype)
+        kept = tuple(np.empty_like(out) for _ in range(4)) if keep else ()
+        s = np.zeros((2, b, h), self.wh.dtype)
+        gx = np.empty((2, b, 3 * h), self.wh.dtype)
+        live = (both != PAD)[..., None]
+        padded = ~live.all(axis=(1, 2, 3))
         for i in range(t):
-            gx = np.stack([gates[0][both[i, 0]], gates[1][both[i, 1]]])
+            np.take(gates[0], both[i, 0], axis=0, out=gx[0])
+            np.take(gates[1], both[i, 1], axis=0, out=gx[1])
             gh = np.matmul(s, self.wh)
             zr = _sigmoid(gx[..., : 2 * h] + gh[..., : 2 * h])
             z, r = zr[..., :h], zr[..., h:]
             q = gh[..., 2 * h :] + self.bn
             n = np.tanh(gx[..., 2 * h :] + r * q)
-            new = n + z * (s - n)
             if keep:
-                saved.append((s, z, r, q, n))
-            s = new
+                for array, value in zip(kept, (z, r, q, n)):
+                    array[i] = value
+            s = n + z * (s - n)
+            if padded[i]:
+                s *= live[i]
             out[i] = s
-        return out, saved
+        return out, kept
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         """(T, B) byte codes to (T, B, classes)."""
@@ -84,33 +95,43 @@ class BiGRU:
         ti, bi = np.indices(y.shape)
         loss = float(-(np.log(p[ti, bi, yy] + 1e-9) * on).sum() / n_on)
         p[ti, bi, yy] -= 1
-        d = (p * (on[..., None] / n_on)).astype(np.float32)
+        d = (p * (on[..., None] / n_on)).astype(full.dtype)
         g = {"wo": full.reshape(-1, 2 * h).T @ d.reshape(-1, self.k), "bo": d.sum(axis=(0, 1))}
         df = d @ self.wo.T
         ds = np.stack([df[..., :h], df[::-1, :, h:]], axis=1)  # (T, 2, B, H) in run order
-        g["wh"], g["bn"] = np.zeros_like(self.wh), np.zeros_like(self.bn)
-        d_in = np.zeros((t, 2, b, 3 * h), np.float32)
-        carry = np.zeros((2, b, h), np.float32)
+        z, r, q, n = saved
+        live = (np.stack([x, x[::-1]], axis=1) != PAD)[..., None]
+        padded = ~live.all(axis=(1, 2, 3))
+        before = np.concatenate([np.zeros_like(s[:1]), s[:-1]])
+        # factors of the chain rule that do not depend on later steps, all steps at once
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), q * r * (1 - r)
+        d_rec = np.empty((t, 2, b, 3 * h), s.dtype)  # gradients at the recurrent gates
+        dn = np.empty_like(s)
+        carry = np.zeros((2, b, h), s.dtype)
+        back = np.ascontiguousarray(self.wh.transpose(0, 2, 1))
         for i in range(t - 1, -1, -1):
-            before, z, r, q, n = saved[i]
             dh = ds[i] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * q * r * (1 - r)
-            dq = dn * r
-            dgh = np.concatenate([dz, dr, dq], axis=-1)
-            d_in[i] = np.concatenate([dz, dr, dn], axis=-1)
-            g["wh"] += np.matmul(before.transpose(0, 2, 1), dgh)
-            g["bn"] += dq.sum(axis=1, keepdims=True)
-            carry = dh * z + np.matmul(dgh, self.wh.transpose(0, 2, 1))
+            if padded[i]:
+                dh *= live[i]
+            d = d_rec[i]
+            np.multiply(dh, to_n[i], out=dn[i])
+            np.multiply(dh, to_z[i], out=d[..., :h])
+            np.multiply(dn[i], to_r[i], out=d[..., h : 2 * h])
+            np.multiply(dn[i], r[i], out=d[..., 2 * h :])
+            carry = dh * z[i] + np.matmul(d, back)
+        flat = lambda v: v.transpose(1, 0, 2, 3).reshape(2, t * b, -1)
+        g["wh"] = np.matmul(flat(before).transpose(0, 2, 1), flat(d_rec))
+        g["bn"] = d_rec[..., 2 * h :].sum(axis=(0, 2))[:, None, :]
+        d_in = d_rec  # at the input gates only the candidate's part differs
+        d_in[..., 2 * h :] = dn
         g["bx"] = d_in.sum(axis=(0, 2))[:, None, :]
         # gradients of the byte table: sums of the gate gradients by byte
-        table = np.zeros((2, PAD + 1, 3 * h), np.float32)
+        table = np.zeros((2, PAD + 1, 3 * h), s.dtype)
         for k, codes in enumerate((x, x[::-1])):
-            flat, gk = codes.reshape(-1), d_in[:, k].reshape(-1, 3 * h)
-            order = np.argsort(flat, kind="stable")
-            at = np.flatnonzero(np.diff(flat[order], prepend=-1))
-            table[k, flat[order][at]] = np.add.reduceat(gk[order], at, axis=0)
+            code, gk = codes.reshape(-1), d_in[:, k].reshape(-1, 3 * h)
+            order = np.argsort(code, kind="stable")
+            at = np.flatnonzero(np.diff(code[order], prepend=-1))
+            table[k, code[order][at]] = np.add.reduceat(gk[order], at, axis=0)
         g["wx"] = np.matmul(self.emb.T[None], table)
         g["emb"] = (table @ self.wx.transpose(0, 2, 1)).sum(axis=0)
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))

@@ -33,12 +33,15 @@ from chunkloom.llm.bigru import PAD, BiGRU
 SAMPLE_PER_LANGUAGE = 800
 #: Bytes of a sampled text that one training example shows, from a place in it by chance.
 TRAIN_BYTES = 128
-BATCH, STEPS, PURGE_AT = 64, 600, 240
+BATCH, STEPS, PURGE_AT = 64, 560, 220
 #: Labelling windows: so many bytes, of which so many at either end only give context.
 WINDOW, MARGIN = 320, 48
 ROWS_AT_ONCE = 384
 MIN_WORDS = 4
+#: Log-odds by which words have to favour a language that changes within a clause.
+INNER_GAIN = 18.0
 SEED = 11
+_STOPS = ".!?:;/|—–()[]«»\"“”\n"
 
 _WORD = re.compile(r"\S+")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -84,7 +87,7 @@ def labelled_sample(docs: DataFrame, codes: DataFrame, sides: list[tuple[str, st
     return best.select("code", "text").orderBy("code", "text").toPandas()
 
 
-def _examples(texts: list[bytes], labels: np.ndarray, by: list[np.ndarray], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def _examples(texts: list[bytes], spaces: list[np.ndarray], labels: np.ndarray, by: list[np.ndarray], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """A batch (T, B): stretches of texts, half of them spliced from several languages."""
     x = np.full((TRAIN_BYTES, BATCH), PAD, np.int64)
     y = np.full((TRAIN_BYTES, BATCH), -1, np.int64)
@@ -92,13 +95,12 @@ def _examples(texts: list[bytes], labels: np.ndarray, by: list[np.ndarray], rng:
     for b in range(BATCH):
         at, mixed = 0, rng.random() < 0.5
         while at < TRAIN_BYTES:
-            k = int(rng.choice(have))
-            i = int(rng.choice(by[k]))
+            k = have[rng.integers(len(have))]
+            i = int(by[k][rng.integers(len(by[k]))])
             t = texts[i]
             if mixed:
                 want = int(rng.integers(20, 100))
-                spaces = [0] + [p + 1 for p in _spaces(t)]
-                start = int(rng.choice(spaces))
+                start = int(spaces[i][rng.integers(len(spaces[i]))])
                 stretch = t[start : start + want]
                 cut = stretch.rfind(b" ")
                 stretch = stretch[: cut + 1] if cut > 8 else stretch
@@ -119,22 +121,19 @@ def _examples(texts: list[bytes], labels: np.ndarray, by: list[np.ndarray], rng:
     return x, y
 
 
-def _spaces(t: bytes) -> list[int]:
-    return [m.start() for m in re.finditer(rb" ", t)]
-
-
 def train(sample: pd.DataFrame, classes: list[str], steps: int = STEPS, seed: int = SEED) -> BiGRU:
     """The network, trained on ``code, text`` rows."""
     rng = np.random.default_rng(seed)
     texts = [lowered(t).encode("utf-8", "replace") for t in sample["text"]]
     labels = np.array([classes.index(c) for c in sample["code"]], dtype=np.int64)
+    spaces = [np.concatenate([[0], np.flatnonzero(np.frombuffer(t, np.uint8) == 32) + 1]) for t in texts]
     model = BiGRU(len(classes), seed=seed)
     by = [np.flatnonzero(labels == k) for k in range(len(classes))]
     for i in range(steps):
         if i == PURGE_AT:  # wrong labels and mixed texts teach nothing right
             agree = _agreement(model, texts, labels)
             by = [idx[agree[idx] > 0.9] if (agree[idx] > 0.9).sum() >= 20 else idx for idx in by]
-        x, y = _examples(texts, labels, by, rng)
+        x, y = _examples(texts, spaces, labels, by, rng)
         model.step(x, y, 6e-3 * min(1.0, (i + 1) / 20) * (0.5 * (1 + np.cos(np.pi * i / steps)) + 0.02))
     return model
 
@@ -207,14 +206,29 @@ def segments(text: str, logp: np.ndarray) -> list[tuple[int, int, int, float, in
         """Words of a run, each as far as it is sure; names and cut words are not."""
         return float(sure[run[0] : run[1], run[2]].sum())
 
+    # a change counts as between clauses if one ends within a word or two of it
+    stops = [any(c in _STOPS for c in text[e - 1 : n]) for e, n in zip(ends[:-1], begins[1:])]
+    clause = [any(stops[max(0, j - 2) : j + 3]) for j in range(len(stops))]
+
+    def near(i: int) -> list[int]:
+        return [j for j in (i - 1, i + 1) if 0 <= j < len(runs)]
+
+    def doubtful(i: int) -> bool:
+        """Too few sure words, or a change of language within a clause on weak grounds."""
+        a, b, k = runs[i]
+        if weight(runs[i]) < MIN_WORDS - 0.4:
+            return True
+        inner = [j for j in near(i) if not clause[(a if j < i else b) - 1]]
+        return any(float((pooled[a:b, k] - pooled[a:b, runs[j][2]]).sum()) < INNER_GAIN for j in inner)
+
     while len(runs) > 1:
-        i = min(range(len(runs)), key=lambda j: (weight(runs[j]), j))
-        a, b, _ = runs[i]
-        if weight(runs[i]) >= MIN_WORDS - 0.4:
+        weak = [j for j in range(len(runs)) if doubtful(j)]
+        if not weak:
             break
-        # a short stretch joins the neighbour that its own words rather suggest
-        near = [j for j in (i - 1, i + 1) if 0 <= j < len(runs)]
-        j = max(near, key=lambda j: (weight(runs[j]) >= MIN_WORDS - 0.4, pooled[a:b, runs[j][2]].sum()))
+        i = min(weak, key=lambda j: (weight(runs[j]), j))
+        a, b, _ = runs[i]
+        # a doubtful stretch joins the neighbour that its own words rather suggest
+        j = max(near(i), key=lambda j: (weight(runs[j]) >= MIN_WORDS - 0.4, pooled[a:b, runs[j][2]].sum()))
         runs[i][2] = runs[j][2]
         joined: list[list[int]] = []
         for r in runs:

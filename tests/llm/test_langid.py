@@ -23,12 +23,13 @@ def test_gradients_match_differences():
         setattr(m, n, getattr(m, n).astype(np.float64))
         m.adam[n] = tuple(np.zeros_like(getattr(m, n)) for _ in range(2))
     x, y = rng.integers(0, 256, (6, 2)), rng.integers(0, 3, (6, 2))
+    x[4:, 1], y[4:, 1] = langid.PAD, -1
 
     def loss():
         lg = m.logits(x)
         lg = lg - lg.max(-1, keepdims=True)
         lp = lg - np.log(np.exp(lg).sum(-1, keepdims=True))
-        return -np.take_along_axis(lp, y[..., None], -1).mean()
+        return -np.take_along_axis(lp, np.maximum(y, 0)[..., None], -1)[y >= 0].mean()
 
     for name, at in (("wh", (1, 2, 5)), ("wx", (0, 1, 3)), ("bn", (0, 0, 1)), ("wo", (5, 1)), ("emb", (int(x[2, 1]), 1)), ("bx", (1, 0, 9))):
         w = getattr(m, name)
@@ -95,6 +96,14 @@ def test_bytes_and_characters_line_up():
     assert langid.segments(low, logp) == [(0, len(text), 1, pytest.approx(np.exp(-0.01)), 4)]
 
 
+def test_labels_do_not_depend_on_the_batch():
+    m = BiGRU(3, seed=5)
+    texts = [b"short", b"a longer text of some words " * 9, b"the third"]
+    together = langid.label_positions(m, texts)
+    for t, lp in zip(texts, together):
+        assert np.allclose(langid.label_positions(m, [t])[0], lp, atol=1e-4)
+
+
 def test_held_out_accuracy(spark):
     rng = np.random.default_rng(4)
     data = pd.DataFrame({"code": ["en", "xx"] * 100, "text": [sentence(A if i % 2 == 0 else B, rng) for i in range(200)]})
