@@ -113,9 +113,10 @@ def download_point(spark, sf_dir):
     return volume(spark, sf_dir).around((150, 40, 4), 64).select(*XYZ, "label")
 
 
-@query(f"WITH {V} SELECT x, y, z, label FROM v WHERE x = 42 AND y = 42 AND z = 3 OR FALSE")
+@query(f"WITH {V}, p AS (SELECT CAST(42 AS BIGINT) AS x, CAST(42 AS BIGINT) AS y, CAST(3 AS BIGINT) AS z) SELECT x, y, z, coalesce(label, 0) AS label FROM p LEFT JOIN v USING (x, y, z)")
 def single_voxel(spark, sf_dir):
-    return volume(spark, sf_dir).around((42, 42, 3), 1).select(*XYZ, "label")
+    """One voxel, the background if nothing is stored there."""
+    return volume(spark, sf_dir).dense(((42, 42, 3), (43, 43, 4)), bounded=False)
 
 
 # --- labels -----------------------------------------------------------------
