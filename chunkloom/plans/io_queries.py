@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chunkloom.operators import sharding
+from chunkloom.operators import sharding, spatial
 from chunkloom.operators.sharding import Spec
 from chunkloom.operators.volume import XYZ, Volume
 from chunkloom.plans.volume_queries import V, volume
@@ -122,20 +122,30 @@ def annotation_file_roundtrip(spark, sf_dir):
     return objects.read_annotation_cells(spark, path, props, ["int"])
 
 
+def _plain():
+    """A tile's name without the suffix of its compression."""
+    return F.regexp_replace("filename", r"\.(gz|br|zstd)$", "")
+
+
+def _tiles(spark, sf_dir):
+    """Every located tile, however few its labels, packed into shard files and taken out."""
+    i = spatial.located(table(spark, sf_dir, "file_lookup"), table(spark, sf_dir, "index_files")).withColumn("filename", _plain())
+    return objects.decode_spatial_index(_through_shards(objects.spatial_payloads(i)))
+
+
 @query(f"WITH {_INDEX} SELECT regexp_replace(filename, '\\.(gz|br|zstd)$', '') AS filename, label, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, min(z0) AS z0, max(z1) AS z1 FROM i WHERE n_big > 40 GROUP BY ALL".replace("i AS (SELECT * FROM e JOIN f USING (fid))", "i AS (SELECT *, count(*) OVER (PARTITION BY fid) AS n_big FROM e JOIN f USING (fid))"))
 def spatial_index_file_roundtrip(spark, sf_dir):
-    """The JSON tiles of files with more than 40 labels, written and read back."""
-    from chunkloom.functions.boxes import hull_of
-    from chunkloom.operators import spatial
-
+    """All JSON tiles packed into shard files and read back; of these the entries of files with more than 40 labels."""
     lookup = spatial.entries(table(spark, sf_dir, "file_lookup"))
     many = lookup.groupBy("fid").agg(F.count("*").alias("n")).where("n > 40")
-    i = spatial.located(lookup.join(many, "fid", "left_semi"), table(spark, sf_dir, "index_files"))
-    i = i.withColumn("filename", F.regexp_replace("filename", r"\.(gz|br|zstd)$", ""))
-    i = i.groupBy("filename", "label").agg(*hull_of([F.col(f"{d}0") for d in XYZ], [F.col(f"{d}1") for d in XYZ]))
-    path = layers.local(fresh_path(spark, "tiles"))
-    objects.write_spatial_index(i, path)
-    return objects.read_spatial_index(spark, path)
+    wanted = spatial.located(lookup.join(many, "fid", "left_semi"), table(spark, sf_dir, "index_files")).select(_plain().alias("filename"), "label").distinct()
+    return _tiles(spark, sf_dir).join(wanted, ["filename", "label"], "left_semi")
+
+
+@query(f"WITH {_INDEX} SELECT regexp_replace(filename, '\\.(gz|br|zstd)$', '') AS filename, label, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, min(z0) AS z0, max(z1) AS z1 FROM i GROUP BY ALL")
+def spatial_index_all_tiles_roundtrip(spark, sf_dir):
+    """The entries of all JSON tiles, packed into shard files and read back."""
+    return _tiles(spark, sf_dir)
 
 
 @query(f"WITH {V}, m AS (SELECT z, min(val) AS lo, max(val) AS hi FROM v GROUP BY z) SELECT x, y, z, CAST(CASE WHEN hi = lo THEN 0 ELSE floor((val - lo) / (hi - lo) * 255) END AS INTEGER) AS gray FROM v JOIN m USING (z)")

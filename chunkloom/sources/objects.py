@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkloom.functions.boxes import hull_of
 from chunkloom.operators.spatial import BOX, INDEX_NAME
 from chunkloom.session import cut
 from chunkloom.sources import codecs
@@ -283,6 +284,30 @@ def write_spatial_index(entries: DataFrame, path: str) -> DataFrame:
     return _stored(entries, ["filename"], encode)
 
 
+def spatial_payloads(entries: DataFrame) -> DataFrame:
+    """``label, payload`` for shard files of ``filename, label, x0 .. z1`` rows: under the hash of
+    a tile's name a JSON of names and tiles, so names of equal hash lose nothing.
+
+    Several boxes of a label in a tile become their hull.  The rows are shuffled once, by the hash.
+    """
+    rows = entries.withColumn("key", F.xxhash64("filename")).repartition("key")
+    rows = rows.groupBy("key", "filename", "label").agg(*hull_of([F.col(f"{d}0") for d in "xyz"], [F.col(f"{d}1") for d in "xyz"]))
+    box = F.to_json(F.array(*[F.col(c).cast("bigint") for c in ("x0", "y0", "z0", "x1", "y1", "z1")]))
+    entry = F.struct(F.col("label").alias("k"), F.concat(F.lit('"'), F.col("label").cast("string"), F.lit('":'), box).alias("v"))
+    braced = lambda c: F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda e: e["v"]), ","), F.lit("}"))
+    tiles = rows.groupBy("key", "filename").agg(braced(entry).alias("tile"))
+    named = F.struct(F.col("filename").alias("k"), F.concat(F.lit('"'), F.col("filename"), F.lit('":'), F.col("tile")).alias("v"))
+    return tiles.groupBy(F.col("key").alias("label")).agg(F.encode(braced(named), "utf-8").alias("payload"))
+
+
+def decode_spatial_index(items: DataFrame) -> DataFrame:
+    """``filename, label, x0 .. z1``: the entries of the tiles in ``payload``."""
+    parsed = F.from_json(F.decode("payload", "utf-8"), "map<string, map<string, array<bigint>>>")
+    rows = items.select(F.explode(parsed).alias("filename", "tile")).select("filename", F.explode("tile").alias("label", "b"))
+    order = ["x0", "y0", "z0", "x1", "y1", "z1"]
+    return rows.select("filename", F.col("label").cast("bigint").alias("label"), *[F.get("b", F.lit(order.index(c))).alias(c) for c in BOX])
+
+
 def to_index_tables(entries: DataFrame, prefix: str, buckets: int = 64) -> None:
     """The SQL mirror: tables ``<prefix>_file_lookup``, bucketed and sorted by label, and
     ``<prefix>_index_files``; file ids are hashes of the names, so loads need no counter."""
