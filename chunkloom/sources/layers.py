@@ -14,7 +14,7 @@ import json
 import math
 import os
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -129,6 +129,16 @@ def _ome_scale(fmt: str, root: str, ms: dict, ds: dict, dtype: str, shape: Seque
     return Scale(fmt, root, dtype, _by_axis(axes, shape), _by_axis(axes, chunk), off, res, _by_axis(axes, shape, "c")[0], _by_axis(axes, shape, "t")[0], axes, channel_chunk=cc, **more)
 
 
+def _fill(a: dict) -> float:
+    """The fill value of an array's metadata; JSON has names for what are no numbers."""
+    fill = a.get("fill_value") or 0
+    return float(fill) if fill in ("NaN", "Infinity", "-Infinity") else fill
+
+
+def _named_fill(fill: float) -> float | str:
+    return fill if math.isfinite(fill) else "NaN" if math.isnan(fill) else "Infinity" if fill > 0 else "-Infinity"
+
+
 def _open_zarr3(path: str) -> list[Scale]:
     top = _json(f"{path}/zarr.json")
     attrs = top.get("attributes") or {}
@@ -139,8 +149,7 @@ def _open_zarr3(path: str) -> list[Scale]:
         a = _json(f"{root}/zarr.json") if ds["path"] else top
         key = a.get("chunk_key_encoding", {"name": "default"})
         sep = (key.get("configuration") or {}).get("separator", "/" if key["name"] == "default" else ".")
-        fill = a.get("fill_value", 0)
-        out.append(_ome_scale("zarr3", root, ms, ds, a["data_type"], a["shape"], a["chunk_grid"]["configuration"]["chunk_shape"], codecs=a["codecs"], separator=sep, prefix="c" if key["name"] == "default" else "", order="C", fill=float("nan") if fill == "NaN" else fill))
+        out.append(_ome_scale("zarr3", root, ms, ds, a["data_type"], a["shape"], a["chunk_grid"]["configuration"]["chunk_shape"], codecs=a["codecs"], separator=sep, prefix="c" if key["name"] == "default" else "", order="C", fill=_fill(a)))
     return out
 
 
@@ -151,7 +160,7 @@ def _open_zarr2(path: str) -> list[Scale]:
         root = f"{path}/{ds['path']}"
         a = _json(f"{root}/.zarray")
         comp = a.get("compressor")
-        out.append(_ome_scale("zarr2", root, ms, ds, np.dtype(a["dtype"]).name, a["shape"], a["chunks"], codecs=[a["dtype"], comp["id"] if comp else ""], separator=a.get("dimension_separator", "."), order=a["order"], fill=a.get("fill_value") or 0))
+        out.append(_ome_scale("zarr2", root, ms, ds, np.dtype(a["dtype"]).name, a["shape"], a["chunks"], codecs=[a["dtype"], comp["id"] if comp else ""], separator=a.get("dimension_separator", "."), order=a["order"], fill=_fill(a)))
     return out
 
 
@@ -456,7 +465,7 @@ def write_zarr3_metadata(path: str, s: Scale) -> None:
     group = {"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"version": "0.5", "multiscales": [{"name": "", "axes": axes, "datasets": [ds]}]}}}
     sizes = dict(zip("xyz", s.size)) | {"c": s.channels, "t": s.frames}
     chunks = dict(zip("xyz", s.chunk)) | {"c": s.channel_chunk, "t": 1}
-    array = {"zarr_format": 3, "node_type": "array", "shape": [sizes[a] for a in s.axes], "data_type": s.dtype, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [chunks[a] for a in s.axes]}}, "chunk_key_encoding": {"name": "default" if s.prefix else "v2", "configuration": {"separator": s.separator}}, "fill_value": s.fill, "codecs": s.codecs}
+    array = {"zarr_format": 3, "node_type": "array", "shape": [sizes[a] for a in s.axes], "data_type": s.dtype, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [chunks[a] for a in s.axes]}}, "chunk_key_encoding": {"name": "default" if s.prefix else "v2", "configuration": {"separator": s.separator}}, "fill_value": _named_fill(s.fill), "codecs": s.codecs}
     write_object(f"{path}/zarr.json", json.dumps(group).encode())
     write_object(f"{s.root}/zarr.json", json.dumps(array).encode())
 
@@ -467,28 +476,33 @@ def write_zarr2_metadata(path: str, s: Scale) -> None:
     attrs = {"multiscales": [{"version": "0.4", "axes": [{"name": a} for a in s.axes], "datasets": [{"path": os.path.basename(s.root), "coordinateTransformations": [{"type": "scale", "scale": scale}, {"type": "translation", "translation": shift}]}]}]}
     sizes = dict(zip("xyz", s.size)) | {"c": s.channels, "t": s.frames}
     chunks = dict(zip("xyz", s.chunk)) | {"c": s.channel_chunk, "t": 1}
-    array = {"zarr_format": 2, "shape": [sizes[a] for a in s.axes], "chunks": [chunks[a] for a in s.axes], "dtype": s.codecs[0], "compressor": {"id": s.codecs[1]} if s.codecs[1] else None, "order": s.order, "dimension_separator": s.separator, "fill_value": s.fill, "filters": None}
+    array = {"zarr_format": 2, "shape": [sizes[a] for a in s.axes], "chunks": [chunks[a] for a in s.axes], "dtype": s.codecs[0], "compressor": {"id": s.codecs[1]} if s.codecs[1] else None, "order": s.order, "dimension_separator": s.separator, "fill_value": _named_fill(s.fill), "filters": None}
     write_object(f"{path}/.zattrs", json.dumps(attrs).encode())
     write_object(f"{s.root}/.zarray", json.dumps(array).encode())
 
 
-def write_layer(volume: Volume, path: str, layer_format: str = "precomputed", dtype: str = "uint32", resolution: Sequence[float] = (1, 1, 1), compress: str = "gzip", encoding: str = "raw", spec: sharding.Spec | None = None) -> DataFrame:
+def write_layer(volume: Volume, path: str, layer_format: str = "precomputed", dtype: str = "uint32", resolution: Sequence[float] = (1, 1, 1), compress: str = "gzip", encoding: str = "raw", spec: sharding.Spec | None = None, channels: int = 1, frames: int = 1) -> DataFrame:
     """Writes a volume's stored chunks in parallel; ``path, n_bytes`` of each object.
 
-    Chunks that hold only background are not written.  Objects have names that follow
-    from the grid, so a retried task replaces what it wrote before.
+    Chunks that hold only background are not written, unless the format has no fill value
+    and the background is not 0.  Voxels may have columns ``c`` and ``t``, numbers of at most
+    ``channels`` and ``frames``; precomputed layers hold one frame.  Objects have names that
+    follow from the grid, so a retried task replaces what it wrote before.
     """
+    if layer_format == "precomputed" and frames > 1:
+        raise codecs.Unsupported(f"writing {frames} frames to a precomputed layer")
     path = local(path).rstrip("/")
     size = tuple(b - a for a, b in zip(*volume.bounds))
-    base = dict(dtype=dtype, size=size, chunk=volume.chunk, offset=volume.bounds[0], resolution=tuple(resolution), fill=volume.background)
+    base = dict(dtype=dtype, size=size, chunk=volume.chunk, offset=volume.bounds[0], resolution=tuple(resolution), fill=volume.background, channels=channels, frames=frames, channel_chunk=channels)
     if layer_format == "precomputed":
-        info = create_info(size, resolution, volume.chunk, dtype, volume.bounds[0], encoding=encoding, spec=spec)
+        info = create_info(size, resolution, volume.chunk, dtype, volume.bounds[0], encoding=encoding, channels=channels, spec=spec)
         write_object(f"{path}/info", json.dumps(info).encode())
-        s = _open_precomputed(path)[0]
+        s = replace(_open_precomputed(path)[0], fill=volume.background)
     elif layer_format == "zarr3":
-        steps = [{"name": "transpose", "configuration": {"order": [3, 2, 1, 0]}}, {"name": "bytes", "configuration": {"endian": "little"}}]
+        axes = ("t", "c", "z", "y", "x")[frames == 1 :]
+        steps = [{"name": "transpose", "configuration": {"order": list(range(len(axes)))[::-1]}}, {"name": "bytes", "configuration": {"endian": "little"}}]
         steps += [{"name": compress, "configuration": {"level": 5}}] if compress else []
-        s = Scale("zarr3", f"{path}/0", axes=("c", "z", "y", "x"), codecs=[*steps, {"name": "crc32c"}], prefix="c", order="C", **base)
+        s = Scale("zarr3", f"{path}/0", axes=axes, codecs=[*steps, {"name": "crc32c"}], prefix="c", order="C", **base)
         write_zarr3_metadata(path, s)
     elif layer_format == "zarr2":
         s = Scale("zarr2", f"{path}/0", axes=("t", "c", "z", "y", "x"), codecs=[np.dtype(dtype).newbyteorder("<").str, compress], separator=".", order="C", **base)
@@ -498,27 +512,34 @@ def write_layer(volume: Volume, path: str, layer_format: str = "precomputed", dt
     suffix = codecs.suffix_of(compress) if layer_format == "precomputed" and not spec else ""
     value = volume.value
 
-    def payload(pdf: pd.DataFrame) -> tuple[list[int], bytes]:
-        g = [int(pdf[c].iloc[0]) for c in GXYZ]
+    def payload(pdf: pd.DataFrame) -> tuple[list[int], int, bytes]:
+        g, t = [int(pdf[c].iloc[0]) for c in GXYZ], int(pdf["t"].iloc[0])
+        if not 0 <= t < s.frames:
+            raise ValueError(f"frame {t} of {s.frames}")
         lo, hi = s.box(g)
-        a = np.full([b - a for a, b in zip(lo, hi)], s.fill, np.dtype(dtype))
-        a[tuple(pdf[c].to_numpy() - o for c, o in zip(XYZ, lo))] = pdf[value].to_numpy()
-        return g, encode(s, a[..., None])
+        a = np.full([*[b - a for a, b in zip(lo, hi)], s.channels], s.fill, np.dtype(dtype))
+        pdf = pdf[pdf["held"]]
+        a[(*[pdf[c].to_numpy() - o for c, o in zip(XYZ, lo)], pdf["c"].to_numpy())] = pdf[value].to_numpy()
+        return g, t, encode(s, a)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, data = payload(pdf)
+        g, t, data = payload(pdf)
         if suffix:
             data = codecs.stream(compress)[0](data)
-        at = chunk_path(s, g) + suffix
+        at = chunk_path(s, g, 0, t) + suffix
         write_object(at, data)
         return pd.DataFrame({"path": [at], "n_bytes": [len(data)]})
 
-    rows = volume.with_chunks(volume.voxels).select(*GXYZ, *XYZ, value)
+    ct = [F.col(n) if n in volume.voxels.columns else F.lit(0).alias(n) for n in "ct"]
+    rows = volume.with_chunks(volume.voxels).select(*GXYZ, *XYZ, *ct, value, F.lit(True).alias("held"))
+    if layer_format == "precomputed" and volume.background != 0:  # a chunk that isn't there reads as 0
+        zero = {n: F.lit(0).cast(kind) for n, kind in rows.dtypes if n not in (*GXYZ, "held")}
+        rows = rows.unionByName(volume.touched_chunks(volume.bounds).withColumns(zero | {"held": F.lit(False)}))
     if spec is None:
-        return cut(rows.groupBy(*GXYZ).applyInPandas(write, "path string, n_bytes bigint"), "written")
+        return cut(rows.groupBy(*GXYZ, "t").applyInPandas(write, "path string, n_bytes bigint"), "written")
 
     def coded(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, data = payload(pdf)
+        g, _, data = payload(pdf)
         return pd.DataFrame({"label": [morton(g, s.grid())], "payload": [data]})
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -527,7 +548,7 @@ def write_layer(volume: Volume, path: str, layer_format: str = "precomputed", dt
                 write_object(f"{s.root}/{name}", bytes(content))
             yield pd.DataFrame({"path": [f"{s.root}/{n}" for n in pdf["filename"]], "n_bytes": [len(c) for c in pdf["content"]]})
 
-    items = rows.groupBy(*GXYZ).applyInPandas(coded, "label bigint, payload binary")
+    items = rows.groupBy(*GXYZ, "t").applyInPandas(coded, "label bigint, payload binary")
     return cut(sharding.shard_files(items, spec).mapInPandas(store, "path string, n_bytes bigint"), "written")
 
 
@@ -538,8 +559,11 @@ def read_layer(spark: SparkSession, path: str, mip: int = 0, skip_background: bo
 
 
 def transfer(spark: SparkSession, source: str, target: str, chunk: Sequence[int] | None = None, mip: int = 0, **how) -> DataFrame:
-    """Read a level and write it anew: other format, chunk size, encoding or sharding."""
+    """Read a level and write it anew: other format, chunk size, encoding or sharding.
+
+    All channels and frames are carried over, and the fill value of the source.
+    """
     s = open_layer(source)[mip]
-    rows = read_layer(spark, source, mip, skip_background=True).select(*XYZ, F.col("value").cast("bigint").alias("label"))
-    v = Volume(rows, (s.offset, tuple(o + n for o, n in zip(s.offset, s.size))), chunk or s.chunk)
-    return write_layer(v, target, dtype=s.dtype, resolution=s.resolution, **how)
+    rows = read_layer(spark, source, mip, skip_background=True).select(*XYZ, "c", "t", F.col("value").alias("label"))
+    v = Volume(rows, (s.offset, tuple(o + n for o, n in zip(s.offset, s.size))), chunk or s.chunk, s.fill)
+    return write_layer(v, target, dtype=s.dtype, resolution=s.resolution, channels=s.channels, frames=s.frames, **how)
