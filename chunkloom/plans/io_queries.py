@@ -112,14 +112,25 @@ def skeleton_file_roundtrip(spark, sf_dir):
 
 @query(f"WITH {_USABLE} SELECT ids, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, class_label FROM (SELECT DISTINCT ids, x, y, z, class_label FROM a WHERE ids IS NOT NULL AND class_label IS NOT NULL)")
 def annotation_file_roundtrip(spark, sf_dir):
-    """Packed records in grid cells."""
+    """Packed records in grid cells; of those read back the ones with a class."""
+    return _cells(spark, sf_dir).where("class_label is not null")
+
+
+@query(f"WITH {_USABLE} SELECT DISTINCT ids, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, class_label FROM a WHERE ids IS NOT NULL")
+def annotation_file_roundtrip_all(spark, sf_dir):
+    """Packed records in grid cells, those without a class too."""
+    return _cells(spark, sf_dir)
+
+
+def _cells(spark, sf_dir):
+    """All usable annotations with an id; the smallest int32 stands for no class."""
     from chunkloom.operators import annotations
 
-    rows = annotations.usable(table(spark, sf_dir, "annotations")).dropna(subset=["ids", "class_label"])
+    rows = annotations.usable(table(spark, sf_dir, "annotations")).dropna(subset=["ids"])
     rows = rows.select("ids", *[c.cast("float").alias(n) for c, n in zip(annotations.point("geometry"), XYZ)], "class_label").distinct()
-    path, props = layers.local(fresh_path(spark, "cells")), [("class_label", "int32")]
-    objects.write_annotation_cells(rows, path, (200_000, 200_000, 100_000), props)
-    return objects.read_annotation_cells(spark, path, props, ["int"])
+    path, props, nulls = layers.local(fresh_path(spark, "cells")), [("class_label", "int32")], {"class_label": -(2**31)}
+    objects.write_annotation_cells(rows, path, (200_000, 200_000, 100_000), props, nulls)
+    return objects.read_annotation_cells(spark, path, props, ["int"], nulls)
 
 
 def _plain():

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -227,11 +227,14 @@ def decode_skeletons(files: DataFrame, transform: Sequence[Sequence[float]] = ID
 # --- annotations: cells of packed records -----------------------------------------------
 
 
-def write_annotation_cells(rows: DataFrame, path: str, cell: Sequence[float], properties: Sequence[tuple[str, str]]) -> DataFrame:
+def write_annotation_cells(rows: DataFrame, path: str, cell: Sequence[float], properties: Sequence[tuple[str, str]], nulls: Mapping[str, int] | None = None) -> DataFrame:
     """Points (``ids, x, y, z`` and properties) into one object per grid cell ``i_j_k``.
 
-    Dense cells are split by the caller choosing a finer grid, as levels do.
+    Dense cells are split by the caller choosing a finer grid, as levels do.  ``nulls`` has the
+    codes that stand for null, by property; a null without code, or a value that is the code
+    itself, is refused.
     """
+    nulls = dict(nulls or {})
     path, names = local(path), [n for n, _ in properties]
     dtype = codecs.annotation_dtype(1, properties)
     keyed = rows.select("ids", "x", "y", "z", *names, *[F.floor(F.col(c) / F.lit(float(s))).cast("bigint").alias(f"k{c}") for c, s in zip("xyz", cell)])
@@ -241,21 +244,33 @@ def write_annotation_cells(rows: DataFrame, path: str, cell: Sequence[float], pr
         rec = np.zeros(len(pdf), dtype)
         rec["_pt1"] = pdf[["x", "y", "z"]].to_numpy()
         for n in names:
-            rec[n] = pdf[n].to_numpy()
+            void = pdf[n].isna()
+            if n in nulls:
+                if (pdf[n] == nulls[n]).any():
+                    raise ValueError(f"{n} holds {nulls[n]}, its code for null")
+                rec[n] = pdf[n].mask(void, nulls[n]).to_numpy()
+            elif void.any() and rec[n].dtype.kind in "iu":
+                raise ValueError(f"{n} holds nulls and has no code for them")
+            else:
+                rec[n] = pdf[n].to_numpy()
         k = [int(pdf[f"k{c}"].iloc[0]) for c in "xyz"]
         return f"{path}/{k[0]}_{k[1]}_{k[2]}", codecs.encode_annotations(rec, pdf["ids"].to_numpy())
 
     return _stored(keyed, ["kx", "ky", "kz"], encode)
 
 
-def read_annotation_cells(spark: SparkSession, path: str, properties: Sequence[tuple[str, str]], kinds: Sequence[str]) -> DataFrame:
-    """``ids, x, y, z`` and the properties of all cells; ``kinds`` are their Spark types."""
+def read_annotation_cells(spark: SparkSession, path: str, properties: Sequence[tuple[str, str]], kinds: Sequence[str], nulls: Mapping[str, int] | None = None) -> DataFrame:
+    """``ids, x, y, z`` and the properties of all cells; ``kinds`` are their Spark types.
+
+    ``nulls`` has the codes that were written for null.
+    """
+    nulls = dict(nulls or {})
     dtype, names = codecs.annotation_dtype(1, properties), [n for n, _ in properties]
 
     def each(name: str, data: bytes) -> dict:
         rec, ids = codecs.decode_annotations(data, dtype)
         p = rec["_pt1"]
-        return {"ids": ids.astype(np.int64), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], **{n: rec[n] for n in names}}
+        return {"ids": ids.astype(np.int64), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], **{n: np.where(rec[n] == nulls[n], None, rec[n].astype(object)) if n in nulls else rec[n] for n in names}}
 
     schema = "ids bigint, x float, y float, z float" + "".join(f", `{n}` {k}" for n, k in zip(names, kinds))
     return _decoded(raw_objects(spark, path), schema, each)

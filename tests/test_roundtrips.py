@@ -1,6 +1,9 @@
 """Round trips through files keep everything that was written."""
 
+import pytest
+
 from chunkloom.plans import io_queries
+from chunkloom.sources import objects
 
 
 def test_small_tiles_are_written_and_read(spark, tmp_path, monkeypatch):
@@ -15,3 +18,18 @@ def test_small_tiles_are_written_and_read(spark, tmp_path, monkeypatch):
     assert got("spatial_index_file_roundtrip") == sorted(e for e in entries if e[0] == big)
     assert packed == [2]
     assert got("spatial_index_all_tiles_roundtrip") == sorted(entries)
+
+
+def test_annotations_without_a_class_come_back(spark, tmp_path):
+    rows = [(1, [1.0, 2.0, 3.0], 4), (2, [1.0, 2.0, 3.0], None), (3, [5e5, 2.0, 3.0], None), (None, [1.0, 2.0, 3.0], 4)]
+    spark.createDataFrame(rows, "ids bigint, geometry array<double>, class_label int").write.parquet(f"{tmp_path}/annotations.parquet")
+    got = lambda name: sorted(map(tuple, io_queries.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert got("annotation_file_roundtrip_all") == [(i, *p, k) for i, p, k in rows[:3]]
+    assert got("annotation_file_roundtrip") == [(1, 1.0, 2.0, 3.0, 4)]
+
+
+def test_a_code_for_null_is_no_value(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1.0, 2.0, 3.0, -7), (2, 1.0, 2.0, 3.0, None)], "ids bigint, x float, y float, z float, k int")
+    for nulls, said in (({"k": -7}, "its code for null"), (None, "no code")):
+        with pytest.raises(Exception, match=said):
+            objects.write_annotation_cells(rows, str(tmp_path), (10, 10, 10), [("k", "int32")], nulls)
