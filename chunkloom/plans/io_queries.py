@@ -91,9 +91,17 @@ def _lines(spark, sf_dir):
 @query(f"WITH {_MESH} SELECT segid, vid, x, y, z FROM cv")
 def mesh_file_roundtrip(spark, sf_dir):
     """Meshes packed into shard files, taken out and decoded."""
-    items = _through_shards(objects.mesh_payloads(*_lines(spark, sf_dir)))
-    v, _ = objects.decode_meshes(items)
-    return v.select("segid", "vid", *[F.col(c).cast("double").alias(c) for c in XYZ])
+    return _meshes(spark, sf_dir)[0].select("segid", "vid", *[F.col(c).cast("double").alias(c) for c in XYZ])
+
+
+@query(f"WITH {_MESH} SELECT segid, v1, v2, v3 FROM cf")
+def mesh_file_roundtrip_faces(spark, sf_dir):
+    """The faces of the meshes taken out of shard files."""
+    return _meshes(spark, sf_dir)[1].select("segid", "v1", "v2", "v3")
+
+
+def _meshes(spark, sf_dir):
+    return objects.decode_meshes(_through_shards(objects.mesh_payloads(*_lines(spark, sf_dir))))
 
 
 def _through_shards(items):
@@ -104,10 +112,28 @@ def _through_shards(items):
 
 @query(f"WITH {_SKEL} SELECT e.segid, count(*) AS n_edges FROM se e GROUP BY e.segid")
 def skeleton_file_roundtrip(spark, sf_dir):
+    return _skeletons(spark, sf_dir)[1].groupBy("segid").agg(F.count("*").alias("n_edges"))
+
+
+_RENUMBERED = f"{_SKEL}, r AS (SELECT segid, vid AS old, row_number() OVER (PARTITION BY segid ORDER BY vid) - 1 AS vid, x, y, z FROM sv)"
+
+
+@query(f"WITH {_RENUMBERED} SELECT segid, vid, x, y, z FROM r")
+def skeleton_file_roundtrip_vertices(spark, sf_dir):
+    """The vertices of the skeletons taken out of shard files, numbered from 0."""
+    return _skeletons(spark, sf_dir)[0]
+
+
+@query(f"WITH {_RENUMBERED} SELECT e.segid, p.vid AS a, q.vid AS b FROM se e JOIN r p ON p.segid = e.segid AND p.old = e.a JOIN r q ON q.segid = e.segid AND q.old = e.b")
+def skeleton_file_roundtrip_edges(spark, sf_dir):
+    """The ends of their edges."""
+    return _skeletons(spark, sf_dir)[1]
+
+
+def _skeletons(spark, sf_dir):
     from chunkloom.plans.object_queries import _skeleton
 
-    items = _through_shards(objects.skeleton_payloads(*_skeleton(spark, sf_dir)))
-    return objects.decode_skeletons(items)[1].groupBy("segid").agg(F.count("*").alias("n_edges"))
+    return objects.decode_skeletons(_through_shards(objects.skeleton_payloads(*_skeleton(spark, sf_dir))))
 
 
 @query(f"WITH {_USABLE} SELECT ids, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, class_label FROM (SELECT DISTINCT ids, x, y, z, class_label FROM a WHERE ids IS NOT NULL AND class_label IS NOT NULL)")

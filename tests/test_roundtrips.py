@@ -33,3 +33,12 @@ def test_a_code_for_null_is_no_value(spark, tmp_path):
     for nulls, said in (({"k": -7}, "its code for null"), (None, "no code")):
         with pytest.raises(Exception, match=said):
             objects.write_annotation_cells(rows, str(tmp_path), (10, 10, 10), [("k", "int32")], nulls)
+
+
+def test_faces_edges_and_vertices_come_back(spark, tmp_path):
+    rows = [(7, "A", 1 + n, n, 10.0 * n, n, 1.0) for n in (1, 2, 3)] + [(7, "N", 9, 2, 5.0, 5, 1.0)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_returnflag string, l_partkey bigint, l_suppkey bigint, l_quantity double, l_linenumber int, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = lambda name: sorted(map(tuple, io_queries.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert got("mesh_file_roundtrip_faces") == [(7, 0, 1, 2)]
+    assert got("skeleton_file_roundtrip_edges") == [(7, 0, 1), (7, 1, 2)]
+    assert got("skeleton_file_roundtrip_vertices") == [(7, 0, 2.0, 1.0, 10.0), (7, 1, 3.0, 2.0, 20.0), (7, 2, 4.0, 3.0, 30.0), (7, 3, 9.0, 2.0, 5.0)]
