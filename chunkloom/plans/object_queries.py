@@ -136,6 +136,13 @@ def annotations_by_relationship(spark, sf_dir):
     return annotations.by_relationship(a, "skeleton_id", often)
 
 
+@query("SELECT DISTINCT ids, unnest(skeleton_id) AS related_id FROM annotations WHERE ids IS NOT NULL AND len(skeleton_id) > 0")
+def annotations_by_relationship_all(spark, sf_dir):
+    """The lookup for every object, however few its annotations."""
+    a = _annotations(spark, sf_dir)
+    return annotations.by_relationship(a, "skeleton_id", annotations.relationships(a, "skeleton_id").select("related_id"))
+
+
 @query(f"WITH {_USABLE}, c AS (SELECT DISTINCT class_label, label_name FROM class_labels) SELECT DISTINCT ids, x, y, z, label_name FROM a LEFT JOIN c USING (class_label)")
 def annotation_table(spark, sf_dir):
     """Coordinates as columns, enum codes as names."""
