@@ -146,7 +146,8 @@ class Box:
         return ~self.valid() | (reduce(lambda a, b: a * b, [s.cast("double") for s in self.size()]) < 1)
 
     def empty(self) -> Column:
-        return reduce(lambda a, b: a * b, [s.cast("double") for s in self.size()]) < 20 * 2.220446049250313e-16
+        """No extent along some axis, or corners out of order."""
+        return reduce(lambda a, b: a | b, [s <= 0 for s in self.size()])
 
     def grown(self, by: Sequence) -> Box:
         return Box([a - _col(v) for a, v in zip(self.lo, by)], [b + _col(v) for b, v in zip(self.hi, by)])

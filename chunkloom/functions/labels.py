@@ -90,8 +90,8 @@ def without_compression(name: Column) -> Column:
 
 
 def segment_of_manifest(name: Column) -> Column:
-    """Segment of a manifest name like ``123:0``."""
-    return F.regexp_extract(name, r"\b(\d+):0", 1).try_cast("bigint")
+    """Segment of a manifest name like ``123:0``, perhaps below folders; null of other names."""
+    return F.regexp_extract(name, r"(?:^|/)([0-9]+):0$", 1).try_cast("bigint")
 
 
 def byte_range_of(name: Column) -> list[Column]:

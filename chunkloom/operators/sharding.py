@@ -170,67 +170,50 @@ def coalesced_ranges(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     return runs.groupBy(*group, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_ranges")).drop("_run")
 
 
+def _bits(n: float) -> int:
+    """Bits that number ``n`` things, none for a single one."""
+    return max(0, math.ceil(math.log2(n))) if n > 0 else 0
+
+
+#: A shard bit is saved where that leaves the shards at most this full.
+FULLEST = 1.1
+
+
 def params_for_hashed(labels: int, shard_index_bytes: int = 2**13, minishard_index_bytes: int = 2**15, min_shards: int = 1) -> tuple[int, int, int]:
     """(shard bits, minishard bits, preshift bits) for evenly hashed labels.
 
-    Index sizes give how many minishards a shard and labels a minishard may have; a
-    layout whose shards stay at most 55 % full loses a shard bit; ``min_shards`` moves
-    bits from minishards to shards.
+    ``need`` full minishards hold all labels.  A shard has as many minishards as its
+    index has slots; as many shards are made as ``need`` asks for, ``min_shards`` at
+    least, and every shard bit beyond what is needed is taken from the minishards.
     """
     if min_shards < 1:
         raise ValueError("one shard at least")
     if labels <= 0:
         return 0, 0, 0
-    slots, per = shard_index_bytes / SLOT_BYTES, minishard_index_bytes / ENTRY_BYTES
-    mini = shard = 0
-    if labels >= slots * per:
-        mini = math.ceil(math.log2(slots))
-        shard = math.ceil(math.log2(labels / (per * 2**mini)))
-    elif labels >= per:
-        mini = math.ceil(math.log2(labels / per))
-    if labels <= 0.55 * slots * per * 2**shard:
-        shard = max(0, shard - 1)
-    least = round(math.log2(min_shards))
-    moved = max(0, least - shard)
-    return shard + moved, max(0, mini - moved), 0
+    slots, need = shard_index_bytes / SLOT_BYTES, labels * ENTRY_BYTES / minishard_index_bytes
+    wanted = _bits(need / slots / FULLEST)
+    shard = max(wanted, round(math.log2(min_shards)))
+    return shard, max(0, min(_bits(slots), _bits(need)) - (shard - wanted)), 0
 
 
 def params_for_image(size: Sequence[int], chunk: Sequence[int], encoding: str, byte_width: int, shard_bytes: int = int(3.5e9), max_shard_index: int = 8192, max_minishard_index: int = 40000, max_per_minishard: int = 4000) -> Spec:
-    """Layout of an image: shards of about ``shard_bytes``, indices within their limits."""
-    cells = [-(-s // c) for s, c in zip(size, chunk)]
-    total_bits = sum(math.ceil(math.log2(n)) for n in cells)
-    if total_bits > 64:
+    """Layout of an image: the largest shards that keep every limit.
+
+    A shard of ``k`` index bits holds 2^k neighbouring chunks, no more than
+    ``shard_bytes`` of raw voxels (one chunk at least).  Its minishards hold as many
+    chunks as ``max_per_minishard`` and their index allow, and the shard's own index
+    has to list all of its minishards.  Codes have the bits of the grid's axes in all.
+    """
+    code = sum(_bits(-(-s // c)) for s, c in zip(size, chunk))
+    if code > 64:
         raise ValueError("more chunks than 64-bit codes")
-    chunks = math.prod(cells)
-    per_shard = 2 ** int(math.log2(math.ceil(shard_bytes / (math.prod(chunk) * byte_width))))
-    if chunks < per_shard:
-        per_shard = 2 ** math.ceil(math.log2(chunks))
-    shards = chunks / per_shard
-
-    def split() -> tuple[int, int]:
-        s = math.ceil(math.log2(shards))
-        return s, min(math.ceil(math.log2(per_shard)), total_bits - s)
-
-    shard_bits, pre = split()
-    mini, per_mini = 0, float(per_shard)
-    while per_mini > max_per_minishard:
-        per_mini /= 2
-        mini += 1
-        if (ENTRY_BYTES * per_mini > max_minishard_index and mini > pre) or SLOT_BYTES * 2**mini > max_shard_index:
-            mini -= 1
-            shards *= 2
-            shard_bits, pre = split()
-    pre -= mini
-    if size[2] == chunk[2]:  # flat volumes: codes lack the third axis
-        steps = pre // 3
-        while steps:
-            total_bits += 1
-            pre += 1
-            steps -= pre % 3 != 0
-    if pre < 0:
-        raise ValueError("no bits left within a minishard")
+    most = math.floor(math.log2(max(1, shard_bytes // (math.prod(chunk) * byte_width))))
+    low = math.floor(math.log2(max(1, min(max_per_minishard, max_minishard_index // ENTRY_BYTES))))
+    slots = math.floor(math.log2(max(1, max_shard_index // SLOT_BYTES)))
+    index = min(code, most, low + slots)
+    pre = min(index, low)
     lossy = encoding in ("jpeg", "png", "kempressed", "fpzip", "zfpc")
-    return Spec(pre, mini, max(0, total_bits - pre - mini), data_encoding="raw" if lossy else "gzip")
+    return Spec(pre, index - pre, code - index, data_encoding="raw" if lossy else "gzip")
 
 
 def image_shard_shape(spec: Spec, size: Sequence[int], chunk: Sequence[int]) -> tuple[int, ...]:

@@ -60,6 +60,20 @@ def test_shard_parameters():
         sharding.Spec(0, 40, 40)
 
 
+@pytest.mark.parametrize("size, chunk", [((1536, 1408, 2046), (128, 128, 64)), ((3072, 2816, 2046), (128, 128, 64)), ((40960, 40960, 990), (128, 128, 20)), ((3000, 70, 1), (64, 64, 1)), ((5, 5, 5), (64, 64, 64))])
+def test_image_layouts_keep_every_limit(size, chunk):
+    s = sharding.params_for_image(size, chunk, "raw", 1)
+    cells = [-(-a // c) for a, c in zip(size, chunk)]
+    index = s.preshift_bits + s.minishard_bits
+    assert index + s.shard_bits == sum((n - 1).bit_length() for n in cells)
+    assert 2**s.preshift_bits <= 40000 // 24 and 16 << s.minishard_bits <= 8192
+    assert np.prod(chunk) << index <= 3.5e9
+    shape = np.minimum(sharding.image_shard_shape(s, size, chunk), size)
+    most = np.prod([-(-int(a) // int(b)) for a, b in zip(size, shape)])
+    shards = {s.locate(layers.morton((x, y, z), cells))[1] for x in range(0, cells[0], 5) for y in range(0, cells[1], 5) for z in range(cells[2])}
+    assert 0 < len(shards) <= most <= 2**s.shard_bits
+
+
 def test_shard_files_round_trip(spark):
     for spec in (sharding.Spec(0, 2, 3), sharding.Spec(1, 0, 0, "murmurhash3_x86_128", "raw", "raw")):
         rows = [(k, bytes([k % 256] * (k % 7))) for k in [*range(0, 400, 3), 2**62]]
