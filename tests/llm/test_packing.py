@@ -43,6 +43,34 @@ def test_bin_completion_is_optimal_on_small_inputs():
         assert len(bins) == fewest(sizes, 20)
 
 
+def test_bin_completion_is_optimal_where_perfect_fillings_compete():
+    sizes = [11, 12, 14, 14, 17, 17, 17, 18, 21, 21, 23, 26, 27]
+    assert sum(k for _, k in packing.bin_completion({s: sizes.count(s) for s in sizes}, 60)) == 4
+    rng = random.Random(8)
+    for _ in range(400):
+        capacity = rng.choice([20, 60, 100, 150])
+        sizes = [rng.randint(capacity // 8, capacity // 2) for _ in range(rng.randint(5, 12))]
+        bins = expand(packing.bin_completion({s: sizes.count(s) for s in sizes}, capacity))
+        assert sorted(itertools.chain(*bins)) == sorted(sizes) and all(sum(b) <= capacity for b in bins)
+        assert len(bins) == fewest(sizes, capacity)
+
+
+def test_completions_are_all_undominated_sums():
+    rng = random.Random(6)
+    for _ in range(60):
+        sizes = [rng.randint(2, 12) for _ in range(8)]
+        counts, capacity = {s: sizes.count(s) for s in sizes}, 24
+        largest = max(counts)
+        rest = sorted(sizes, reverse=True)[1:]
+        every = {tuple(c) for n in range(8) for c in itertools.combinations(rest, n) if sum(c) <= capacity - largest}
+        left = counts | {largest: counts[largest] - 1}
+        kinds = sorted((s for s, c in left.items() if c), reverse=True)
+        want = {c for c in every if not packing._dominated(c, capacity - largest - sum(c), left, kinds)}
+        got = list(packing.completions(counts, largest, capacity))
+        assert {c for _, c in got} == want and len(got) == len(want)
+        assert [w for w, _ in got] == sorted(w for w, _ in got)
+
+
 def test_best_fit_and_bounds_agree_on_large_histograms():
     rng = random.Random(5)
     counts = {s: rng.randint(0, 10_000) for s in range(1, 1025)}
@@ -64,6 +92,7 @@ def test_pack_places_each_part_once(spark):
     assert set(got.doc_id) == {*range(300), 900, 903}
     assert (got.groupby("container").n_tokens.sum() <= packing.CAPACITY).all()
     assert set(got[got.n_parts > 1].doc_id) == {900}
+    assert (got[got.container >= packing.FULL].n_tokens == packing.CAPACITY).all() and (got.container >= packing.FULL).sum() == (got.n_tokens == packing.CAPACITY).sum()
     big = got[got.doc_id == 900].sort_values("part")
     assert (big.first_token.to_numpy() == big.n_tokens.cumsum().to_numpy() - big.n_tokens.to_numpy()).all()
     assert got.container.nunique() == -(-got.n_tokens.sum() // packing.CAPACITY)
