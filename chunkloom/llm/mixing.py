@@ -5,9 +5,13 @@ of sources are aggregated to one membership pattern, so the flow network has as
 nodes as there are patterns and sources, however many documents there are.  Tokens
 flow from patterns to the quotas of the sources.  Using a pattern's tokens once is
 free, each further use costs more than the one before, so repetition is spread and
-avoided where it can be.  Documents are then selected by a seeded hash.
+avoided where it can be.  Documents are then selected by a seeded hash: the texts of a
+pattern lie on a circle in the order of their hashes, and its sources take arcs that
+follow one another, so no text is used again before all have been used.  Shares are
+reported from the selected rows.
 
-Defined cases: null ids, null sources and sources without a target are left out; names
+Defined cases: null ids, null sources and sources without a target are left out, and so
+are null, empty and other texts without tokens; names
 match ignoring case and outer blanks; targets with null or non-positive weight get
 nothing; max_repeats below one counts as one; of a source named twice in the targets
 the weights add up and the larger cap holds; repeated rows count once; a source
@@ -26,8 +30,10 @@ from chunkloom.llm.tokens import MODEL, sized
 from chunkloom.session import cut
 
 SEED = 20240607
-#: Hash digits by which partial patterns are divided; two of them place the cut.
+#: Hash digits by which the texts of a pattern are divided; two of them place a cut.
 DIGIT = 4096
+#: Further uses up to so many have costs of their own, later ones in blocks that double.
+SINGLE = 16
 
 
 def clean(name: Column) -> Column:
@@ -80,6 +86,16 @@ class Network:
                 self.cap[e ^ 1] += amount
 
 
+def _blocks(uses: int) -> list[tuple[int, int]]:
+    """(first use, number of uses) of arcs of rising cost: about log2(uses) of them."""
+    out, r = [], 0
+    while r < uses:
+        n = min(1 if r < SINGLE else r, uses - r)
+        out.append((r, n))
+        r += n
+    return out
+
+
 def route(capacity: dict[tuple[str, str], float], quotas: dict[str, float], repeats: dict[str, int]) -> dict[tuple[str, str], float]:
     """Tokens that each (pattern, source) contributes.
 
@@ -93,12 +109,12 @@ def route(capacity: dict[tuple[str, str], float], quotas: dict[str, float], repe
     for p in patterns:
         mine = [(s, c) for (q, s), c in capacity.items() if q == p and s in quotas]
         one = max((c for _, c in mine), default=0.0)
-        for r in range(sum(repeats[s] for s, _ in mine)):
-            net.arc(0, at["p", p], one, float(r))  # the r-th further use costs r
+        for r, n in _blocks(sum(repeats[s] for s, _ in mine)):
+            net.arc(0, at["p", p], one * n, float(r))  # the r-th further use costs r
     arcs = {}
     for (p, s), c in sorted(capacity.items()):
         if s in quotas:
-            arcs[p, s] = [net.arc(at["p", p], at["s", s], c, 0.001 * r) for r in range(repeats[s])]
+            arcs[p, s] = [net.arc(at["p", p], at["s", s], c * n, 0.001 * r) for r, n in _blocks(repeats[s])]
     for s in sources:
         net.arc(at["s", s], end, quotas[s], 0.0)
     net.run(0, end, 1e-9 * max([1.0, *quotas.values()]))
@@ -109,7 +125,7 @@ def memberships(docs: DataFrame, targets: DataFrame, id_col: str, text: str, sou
     """``id, source, pattern, n_tokens`` of each document of a target's source."""
     known = targets.select(clean(F.col("source")).alias("source")).where("source is not null").distinct()
     rows = docs.select(id_col, text, clean(F.col(source)).alias("source")).join(F.broadcast(known), "source")  # a fixed list of targets
-    rows = cut(sized(rows, id_col, text, "source", model=model), "sized")
+    rows = cut(sized(rows, id_col, text, "source", model=model).where("n_tokens > 0"), "sized")
     # the sources of a text: collected per distinct (text, source), so at most one entry per target
     sets = rows.select("text_hash", "source").distinct().groupBy("text_hash").agg(F.array_join(F.array_sort(F.collect_set("source")), "|").alias("pattern"))
     shared = sets.where(F.contains("pattern", F.lit("|")))
@@ -143,38 +159,70 @@ class Mix:
         return out
 
     def report(self) -> DataFrame:
-        """``source, target_share, size_tokens, quota_tokens, routed_tokens, reached_share, falls_short``."""
+        """``source, target_share, size_tokens, quota_tokens, routed_tokens, selected_tokens,
+        reached_share, falls_short``; the reached shares are those of the selected rows."""
+        routed = dict.fromkeys(self.quotas, 0.0)
+        for (_, s), f in self.flow.items():
+            routed[s] += f
+        size = self.sizes()
+        rows = [(s, self.weights[s], int(size[s]), q, routed[s], q - routed[s] > 1e-6 * max(1.0, q)) for s, q in sorted(self.quotas.items())]
+        plan = self.spark.createDataFrame(rows, "source string, target_share double, size_tokens bigint, quota_tokens double, routed_tokens double, falls_short boolean")
+        taken = self.selection().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("selected_tokens"))  # one row per source
+        whole = taken.agg(F.sum("selected_tokens").alias("_whole"))
+        got = plan.join(F.broadcast(taken), "source", "left").join(F.broadcast(whole), how="left").withColumn("selected_tokens", F.coalesce("selected_tokens", F.lit(0)).cast("bigint"))
+        share = F.when(F.col("_whole") > 0, F.col("selected_tokens") / F.col("_whole")).otherwise(0.0)
+        return got.select("source", "target_share", "size_tokens", "quota_tokens", "routed_tokens", "selected_tokens", share.alias("reached_share"), "falls_short")
+
+    def short(self) -> DataFrame:
+        """``source``: those that their capped repetitions leave below their quota."""
         routed = dict.fromkeys(self.quotas, 0.0)
         for (_, s), f in self.flow.items():
             routed[s] += f
-        size, whole = self.sizes(), sum(routed.values())
-        rows = [(s, self.weights[s], int(size[s]), q, routed[s], routed[s] / whole if whole else 0.0, q - routed[s] > 1e-6 * max(1.0, q)) for s, q in sorted(self.quotas.items())]
-        return self.spark.createDataFrame(rows, "source string, target_share double, size_tokens bigint, quota_tokens double, routed_tokens double, reached_share double, falls_short boolean")
+        return self.spark.createDataFrame([(s,) for s, q in sorted(self.quotas.items()) if q - routed[s] > 1e-6 * max(1.0, q)], "source string")
+
+    def _arcs(self) -> list[tuple[str, str, float, float]]:
+        """(pattern, source, begin, end) on the pattern's circle, whose length is 1."""
+        out: list[tuple[str, str, float, float]] = []
+        at: dict[str, float] = {}
+        for (p, s), f in sorted(self.flow.items()):
+            c = self.capacity[p, s]
+            if c > 0 and f > 0:
+                begin = at.get(p, 0.0)
+                # whole rounds stay whole numbers
+                turns = f / c
+                at[p] = begin + (round(turns) if abs(turns - round(turns)) < 1e-9 else turns)
+                out.append((p, s, begin, at[p]))
+        return out
 
     def selection(self) -> DataFrame:
-        """``doc_id, source, n_copies``: how often each document of the mix is taken.
+        """``doc_id, source, n_copies, n_tokens``: how often each document of the mix is taken.
 
-        All documents of a pattern are taken as often as its tokens fit wholly into
-        what was routed; of the rest, those with the lowest seeded hashes.
+        A text at place u of its pattern's circle is taken once for each whole number k
+        with u + k in the source's arc.  The ends of the arcs are turned into bounds of
+        the hash, found digit by digit from token counts that merge on the map side.
         """
-        plan = []
-        for (p, s), f in self.flow.items():
-            c = self.capacity[p, s]
-            whole = int(f / c + 1e-9) if c else 0
-            plan.append((p, s, whole, max(0.0, f - whole * c)))
-        plan_df = F.broadcast(self.spark.createDataFrame(plan, "pattern string, source string, whole int, rest double"))  # one row per pattern and source
-        h = F.pmod(F.xxhash64(F.lit(self.seed), "id", "text_hash"), F.lit(DIGIT * DIGIT))
-        rows = self.docs.join(plan_df, ["pattern", "source"]).withColumn("high", F.floor(h / DIGIT).cast("int")).withColumn("low", F.pmod(h, F.lit(DIGIT)).cast("int"))
-
-        def below(part: DataFrame, keys: list[str], digit: str) -> DataFrame:
-            w = Window.partitionBy(*keys).orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)
-            return part.groupBy(*keys, digit).agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest")).withColumn("upto", F.sum("n").over(w))
-
-        keys = ["pattern", "source"]
-        high = below(rows.where("rest > 0"), keys, "high").where("upto > rest").groupBy(*keys).agg(F.min("high").alias("cut_high"), F.min_by(F.col("upto") - F.col("n"), "high").alias("taken"))
-        high = cut(high, "high")
-        edge = rows.join(F.broadcast(high), keys).where("high = cut_high").withColumn("rest", F.col("rest") - F.col("taken"))
-        low = cut(below(edge, keys, "low").where("upto > rest").groupBy(*keys).agg(F.min("low").alias("cut_low")), "low")
-        out = rows.join(F.broadcast(high), keys, "left").join(F.broadcast(low), keys, "left")
-        more = (F.col("rest") > 0) & (F.col("cut_high").isNull() | (F.col("high") < F.col("cut_high")) | ((F.col("high") == F.col("cut_high")) & (F.col("low") < F.col("cut_low"))))
-        return out.select(F.col("id").alias("doc_id"), "source", (F.col("whole") + F.when(more, 1).otherwise(0)).alias("n_copies")).where("n_copies > 0")
+        arcs = self._arcs()
+        plan = self.spark.createDataFrame([(p, s, int(b // 1), b % 1.0, int(e // 1), e % 1.0) for p, s, b, e in arcs], "pattern string, source string, b_turn int, b_at double, e_turn int, e_at double")
+        ends = self.spark.createDataFrame(sorted({(p, x % 1.0) for p, _, *be in arcs for x in be if x % 1.0}), "pattern string, at double")  # one row per arc at most
+        # within one source alone a text may be several documents, which count apart
+        key = F.when(F.contains("pattern", F.lit("|")), F.xxhash64(F.lit(self.seed), "text_hash")).otherwise(F.xxhash64(F.lit(self.seed), "id", "text_hash"))
+        h = F.pmod(key, F.lit(DIGIT * DIGIT)).cast("int")
+        rows = self.docs.withColumn("h", h)
+        cells = cut(rows.groupBy("pattern", F.floor(F.col("h") / DIGIT).cast("int").alias("high")).agg(F.sum("n_tokens").alias("n")), "high")
+        w = Window.partitionBy("pattern").orderBy("high").rowsBetween(Window.unboundedPreceding, 0)
+        cells = cells.withColumn("upto", F.sum("n").over(w)).withColumn("whole", F.sum("n").over(Window.partitionBy("pattern")))
+        goal = cells.join(F.broadcast(ends), "pattern").withColumn("goal", F.col("at") * F.col("whole")).where("upto > goal")
+        goal = goal.groupBy("pattern", "at").agg(F.min("high").alias("high"), F.min_by(F.col("goal") - F.col("upto") + F.col("n"), "high").alias("rest"))
+        goal = cut(goal, "ends")
+        edge = rows.join(F.broadcast(goal.select("pattern", "high").distinct()), (F.floor(rows["h"] / DIGIT) == F.col("high")) & (rows["pattern"] == goal["pattern"]), "left_semi")
+        low = edge.groupBy("pattern", F.floor(F.col("h") / DIGIT).cast("int").alias("high"), F.pmod("h", F.lit(DIGIT)).alias("low")).agg(F.sum("n_tokens").alias("n"))
+        low = low.withColumn("upto", F.sum("n").over(Window.partitionBy("pattern", "high").orderBy("low").rowsBetween(Window.unboundedPreceding, 0)))
+        bound = low.join(F.broadcast(goal), ["pattern", "high"]).where("upto > rest").groupBy("pattern", "at", "high").agg(F.min("low").alias("low"))
+        bound = cut(bound.select("pattern", "at", (F.col("high") * DIGIT + F.col("low")).alias("h")), "bounds")
+        for end in "be":
+            mine = F.broadcast(bound.select("pattern", F.col("at").alias(f"{end}_at"), F.col("h").alias(f"{end}_h")))
+            plan = plan.join(mine, ["pattern", f"{end}_at"], "left")
+        plan = F.broadcast(plan.select("pattern", "source", "b_turn", "e_turn", *[F.coalesce(f"{e}_h", F.when(F.col(f"{e}_at") > 0, DIGIT * DIGIT).otherwise(0)).alias(f"{e}_h") for e in "be"]))
+        copies = F.col("e_turn") - F.col("b_turn") + (F.col("h") < F.col("e_h")).cast("int") - (F.col("h") < F.col("b_h")).cast("int")
+        out = rows.join(plan, ["pattern", "source"])
+        return out.select(F.col("id").alias("doc_id"), "source", copies.alias("n_copies"), "n_tokens").where("n_copies > 0")

@@ -31,11 +31,11 @@ def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir).report().where("falls_short").select("source")
+    return _mix(spark, sf_dir).short()
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and routed shares of every source."""
+    """Target and reached shares of every source."""
     return _mix(spark, sf_dir).report()
 
 

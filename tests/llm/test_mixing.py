@@ -31,7 +31,10 @@ def test_mix_reaches_shares_and_reports_shortfalls(spark):
     report = {r["source"]: r for r in m.report().collect()}
     assert report["small"]["falls_short"] and not report["big"]["falls_short"]
     assert report["small"]["routed_tokens"] == pytest.approx(2 * report["small"]["size_tokens"])
-    sel = m.selection().join(m.docs.withColumnRenamed("id", "doc_id"), ["doc_id", "source"]).toPandas()
+    sel = m.selection().toPandas()
+    for name, r in report.items():
+        assert r["selected_tokens"] == (sel[sel.source == name].n_copies * sel[sel.source == name].n_tokens).sum()
+    assert sum(r["reached_share"] for r in report.values()) == pytest.approx(1)
     assert (sel[sel.source == "small"].n_copies == 2).all() and (sel.source == "small").sum() == 20
     big = sel[sel.source == "big"]
     picked, quota = (big.n_copies * big.n_tokens).sum(), report["big"]["quota_tokens"]
@@ -41,3 +44,24 @@ def test_mix_reaches_shares_and_reports_shortfalls(spark):
 def test_empty_tables(spark):
     m = mix(spark, [], [("a", 1.0, 1)])
     assert m.selection().count() == 0 and m.report().count() == 1
+
+
+def test_shared_texts_are_dealt_out_before_any_is_repeated(spark):
+    texts = [f"the text of number {i} that two sources share" for i in range(300)]
+    rows = [(2 * i + k, t, s, None) for i, t in enumerate(texts) for k, s in enumerate(("left", "right"))]
+    m = mix(spark, [*rows, (9000, None, "left", None), (9001, "", "right", None)], [("left", 0.25, 3), ("right", 0.25, 3)])
+    sel = m.selection().toPandas()
+    sel["text"] = sel.doc_id // 2
+    used = sel.groupby("text").n_copies.sum()
+    assert used.max() == 1 and used.sum() >= 299  # half of all tokens each: every text once, in one source
+    m = mix(spark, rows, [("left", 0.5, 3), ("right", 0.75, 3)])
+    sel = m.selection().toPandas()
+    used = sel.assign(text=sel.doc_id // 2).groupby("text").n_copies.sum()
+    assert set(used) <= {2, 3} and len(used) == 300
+    report = {r["source"]: r for r in m.report().collect()}
+    assert report["right"]["reached_share"] == pytest.approx(0.6, abs=0.01)
+
+
+def test_very_many_repetitions_need_few_arcs():
+    assert len(mixing._blocks(10**9)) < 50 and sum(n for _, n in mixing._blocks(10**9)) == 10**9
+    assert mixing.route({("a", "a"): 1.0}, {"a": 10.0**8}, {"a": 10**9})["a", "a"] == pytest.approx(10**8)
