@@ -50,6 +50,28 @@ def test_boxes(spark, rows, per_cell, block):
     assert {(r["left_id"], r["right_id"]) for r in found} == want
 
 
+def test_groups_stay_within_blocks(spark):
+    """A dense spot beside sparse points, with very many boxes over it."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.uniform(0, 5000, 3)]) for i in range(1500)] + [(10_000 + i, [float(v) for v in rng.normal(2500, 10, 3)]) for i in range(4000)]
+    boxes = spark.range(20_000).selectExpr("id + 1000000 as box_id", *[f"2480L as {c}0" for c in "xyz"], *[f"2480L + id % 40 as {c}1" for c in "xyz"])
+    groups = proximity._groups(points(spark, rows), 120.0, boxes, "euclidean", 100, 500)
+    sizes = groups.groupBy("cell", "part", "i", "j").count().toPandas()
+    assert sizes["count"].max() <= 2 * 500 * 1.35  # chunks are even up to chance
+    few = rows[::12]
+    got = {(r["left_id"], r["right_id"]) for r in proximity.radius_join(points(spark, few), 120.0, boxes.where("box_id % 400 = 0"), per_cell=20, block=30).where("kind = 'near'").collect()}
+    assert got == brute_near(few, 120.0)
+
+
+def test_boxes_on_the_sphere(spark):
+    rng = np.random.default_rng(9)
+    pts = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-180, 180, 500), rng.uniform(-90, 90, 500)))]
+    boxes = [(1, -20, -30, 45, 60), (2, 100, 80, 170, 90), (3, 0, 0, 0, 0), (4, -180, -90, 180, 90), (5, 10, -5, 30, 70)]
+    df = spark.createDataFrame([(b, float(x0), float(y0), float(x1), float(y1)) for b, x0, y0, x1, y1 in boxes], "box_id bigint, x0 double, y0 double, x1 double, y1 double")
+    got = {(r["left_id"], r["right_id"]) for r in proximity.radius_join(spark.createDataFrame(pts, "id bigint, x double, y double"), 1000.0, df, metric="great_circle", per_cell=30, block=60).where("kind = 'inside'").collect()}
+    assert got == {(b, i) for b, x0, y0, x1, y1 in boxes for i, x, y in pts if min(x0, x1) <= x <= max(x0, x1) and min(y0, y1) <= y <= max(y0, y1)}
+
+
 def test_great_circle(spark):
     rng = np.random.default_rng(8)
     rows = [(i, float(lon), float(lat)) for i, (lon, lat) in enumerate(zip(rng.uniform(-180, 180, 400), rng.uniform(-90, 90, 400)))] + [(900, 179.99, 10.0), (901, -179.99, 10.0), (902, 5.0, 90.0), (903, 100.0, 89.9999)]
