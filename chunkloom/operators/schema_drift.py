@@ -1,11 +1,17 @@
 """Schemas that drift between JSON documents: tagged-union inference and reports.
 
 Each document is turned into the set of its leaf paths, every one tagged with the
-type the value has there.  Schemas of documents fuse by path; alternatives of a path
-are kept side by side instead of being widened away.  From the fused schema follow a
-table with one typed branch per alternative plus a canonical conversion, the report
-of alternatives with the version in which each first appears, and the changes from
-one version to the next.
+type the value has there: its schema, a tagged union with one alternative per path.
+Schemas fuse by path; alternatives of a path are kept side by side instead of being
+widened away.  Fusing is associative, so partial schemas of parallel tasks fuse like
+one.  From the fused schema of all documents follow a table with one typed branch per
+alternative plus a canonical conversion, and the report of alternatives with the
+version in which each first appears; from the fused schema of neighbouring versions
+follow the changes: a path with alternatives on one side only came or went, one with
+different tags on its sides is retyped.
+
+Members may nest to any depth, which no built-in expression walks; so documents are
+parsed in Arrow batches, once each, and everything after that is expressions.
 
 Tags: boolean, integer (no fraction or exponent written), double, string, object
 (empty), null, array<tag>; integers with doubles in one array make double, other
@@ -33,8 +39,6 @@ from pyspark.sql.window import Window
 from chunkloom.session import cut
 
 FIELDS = "array<struct<path: string, tag: string, value: string, text: string>>"
-#: Versions of a layer are chained in blocks of so many numbers (see previous_version).
-BLOCK = 256
 
 
 def _refuse(name: str) -> Any:
@@ -103,7 +107,7 @@ def tagged_fields(text: str | None) -> list[tuple[str, str, str, str]] | None:
         doc = json.loads(text, parse_constant=_refuse)
         if not isinstance(doc, dict):
             return None
-        found = {p: (p, _tag(v), _value(v), v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for p, v in _leaves(doc)}
+        found = {p: (p, _tag(v), _value(v), v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))) for p, v in _leaves(doc)}
     except (ValueError, OverflowError, RecursionError):
         return None
     return sorted(found.values())
@@ -123,23 +127,36 @@ def with_fields(docs: DataFrame, text: str, out: str = "fields") -> DataFrame:
 def previous_version(versions: DataFrame, layer: str, order: str, payload: str, out: str) -> DataFrame:
     """Adds the payload of the layer's previous row, without one task per layer.
 
-    Rows are chained within blocks of BLOCK version numbers; the first of a block
-    takes the last of the layer's previous block, found over one row per block.  So
-    a layer that holds a third of all rows is still handled by many tasks.
+    Repeated rows count once.  Rows are range-partitioned by layer, version and content,
+    so a layer that holds a third of all rows, whatever its numbers, is spread over many
+    tasks.  They are chained within a range; the first of a range takes the last of the
+    layer's previous range.
     """
-    b = versions.withColumn("_block", F.floor(F.col(order) / BLOCK).cast("bigint"))
-    tie = F.xxhash64(payload)
-    w = Window.partitionBy(layer, "_block").orderBy(order, "_tie")
-    b = b.withColumn("_tie", tie).withColumn("_lag", F.lag(payload).over(w)).withColumn("_rn", F.row_number().over(w))
-    last = b.groupBy(layer, "_block").agg(F.max_by(payload, F.struct(order, "_tie")).alias("_last"))
-    last = last.withColumn("_prev", F.lag("_last").over(Window.partitionBy(layer).orderBy("_block"))).where("_prev is not null").select(layer, "_block", F.lit(1).alias("_rn"), "_prev")
-    return b.join(last, [layer, "_block", "_rn"], "left").withColumn(out, F.coalesce("_lag", "_prev")).drop("_block", "_tie", "_lag", "_rn", "_prev")
+    b = versions.withColumn("_tie", F.xxhash64(payload)).repartitionByRange(layer, order, "_tie").dropDuplicates([layer, order, "_tie"])
+    b = cut(b.withColumn("_part", F.spark_partition_id()), "ranges")  # fixes the ranges
+    w = Window.partitionBy(layer, "_part").orderBy(order, "_tie")
+    chained = b.withColumn("_lag", F.lag(payload).over(w)).withColumn("_rn", F.row_number().over(w))
+    # one row per range and layer that begins or ends in it; only layers of several ranges matter
+    ends = b.groupBy(layer, "_part").agg(F.max(F.struct(order, "_tie")).alias("_end")).withColumn("_to", F.lead("_part").over(Window.partitionBy(layer).orderBy("_part"))).where("_to is not null")
+    last = b.join(ends.select(layer, "_part", F.col(f"_end.{order}").alias(order), "_end._tie", "_to"), [layer, "_part", order, "_tie"])
+    last = last.select(layer, F.col("_to").alias("_part"), F.lit(1).alias("_rn"), F.col(payload).alias("_prev"))
+    return chained.join(last, [layer, "_part", "_rn"], "left").withColumn(out, F.coalesce("_lag", "_prev")).drop("_part", "_tie", "_lag", "_rn", "_prev")
 
 
 def _by_path(fields: Column) -> Column:
     return F.map_from_entries(F.transform(fields, lambda f: F.struct(f["path"], f)))
 
 
+def fused_pair(rows: DataFrame, before: str, after: str, out: str = "fused") -> DataFrame:
+    """Adds the fused schema of two documents: ``path`` with its alternative ``was`` in the
+    one and ``now`` in the other, null where the path is not there."""
+    keep = [c for c in rows.columns if c not in (before, after)]
+    paths = F.array_union(F.transform(before, lambda f: f["path"]), F.transform(after, lambda f: f["path"]))
+    rows = rows.select(*keep, _by_path(F.col(before)).alias("_was"), _by_path(F.col(after)).alias("_now"), paths.alias("_paths"))
+    one = lambda p: F.struct(p.alias("path"), F.try_element_at("_was", p).alias("was"), F.try_element_at("_now", p).alias("now"))
+    return rows.select(*keep, F.transform("_paths", one).alias(out))
+
+
 def changes(docs: DataFrame, layer: str, version: str, text: str) -> DataFrame:
     """``layer, version, change_kind, field_path`` from each readable version to the next.
 
@@ -148,22 +165,20 @@ def changes(docs: DataFrame, layer: str, version: str, text: str) -> DataFrame:
     the same path, null on neither side).
     """
     rows = docs.select(F.col(layer).alias("layer"), F.col(version).alias("version"), F.col(text).alias("text")).where("layer is not null and version is not null and text is not null").distinct()
-    # read twice by previous_version, so parsed once and written
-    seen = cut(with_fields(rows, "text").select("layer", "version", "fields").where("fields is not null"), "fields").distinct()
+    schema = F.transform("fields", lambda f: F.struct(f["path"].alias("path"), f["tag"].alias("tag"), f["value"].alias("value")))
+    # read more than once, so parsed once and written
+    seen = cut(with_fields(rows, "text").where("fields is not null").select("layer", "version", schema.alias("fields")), "fields")
     both = previous_version(seen, "layer", "version", "fields", "before").where("before is not null")
-    a, b = _by_path(F.col("before")), _by_path(F.col("fields"))
-    both = both.select("layer", "version", "before", "fields", a.alias("a"), b.alias("b"))
-    gone = F.filter("before", lambda f: ~F.map_contains_key("b", f["path"]))
-    new = F.filter("fields", lambda f: ~F.map_contains_key("a", f["path"]))
-    both = both.withColumn("gone", gone).withColumn("new", new)
+    both = fused_pair(both, "before", "fields")
+    alone = lambda here, there: F.transform(F.filter("fused", lambda f: f[here].isNotNull() & f[there].isNull()), lambda f: f[here])
+    both = both.withColumn("gone", alone("was", "now")).withColumn("new", alone("now", "was"))
 
     def values(col: str) -> Column:
         return F.transform(F.filter(col, lambda f: f["tag"] != "null"), lambda f: f["value"])
 
-    shared = F.array_intersect(values("gone"), values("new"))
-    both = both.withColumn("shared", shared)
+    both = both.withColumn("shared", F.array_intersect(values("gone"), values("new")))
     moved = lambda f: (f["tag"] != "null") & F.array_contains("shared", f["value"])
-    retyped = F.filter("fields", lambda f: F.map_contains_key("a", f["path"]) & (f["tag"] != "null") & (F.element_at("a", f["path"])["tag"] != "null") & (F.element_at("a", f["path"])["tag"] != f["tag"]))
+    retyped = F.filter("fused", lambda f: (f["was"]["tag"] != f["now"]["tag"]) & (f["was"]["tag"] != "null") & (f["now"]["tag"] != "null"))
 
     def kind(name: str, fields: Column) -> Column:
         return F.transform(fields, lambda f: F.struct(F.lit(name).alias("change_kind"), f["path"].alias("field_path")))
@@ -172,14 +187,24 @@ def changes(docs: DataFrame, layer: str, version: str, text: str) -> DataFrame:
     return both.select("layer", "version", F.explode(found).alias("c")).select("layer", "version", "c.*").distinct()
 
 
-def fused_schema(docs: DataFrame, version: str, text: str) -> DataFrame:
-    """``field_path, tag, n_documents, first_version``: the fused, tagged schema.
+def fused_schema(docs: DataFrame, version: str, text: str, *by: str) -> DataFrame:
+    """``field_path, tag, n_documents, first_version``: the fused, tagged schema, of all
+    documents or for each value of the columns ``by``.
 
     Counts merge on the map side, so partial schemas of parallel tasks fuse like one.
     """
-    rows = docs.select(F.col(version).alias("version"), F.col(text).alias("text")).where("text is not null")
-    one = with_fields(rows, "text").select("version", F.explode("fields").alias("f"))
-    return one.groupBy(F.col("f.path").alias("field_path"), F.col("f.tag").alias("tag")).agg(F.count("*").alias("n_documents"), F.min("version").alias("first_version"))
+    rows = docs.select(*by, F.col(version).alias("version"), F.col(text).alias("text")).where("text is not null")
+    one = with_fields(rows, "text").select(*by, "version", F.explode("fields").alias("f"))
+    return one.groupBy(*by, F.col("f.path").alias("field_path"), F.col("f.tag").alias("tag")).agg(F.count("*").alias("n_documents"), F.min("version").alias("first_version"))
+
+
+def appearing(docs: DataFrame, layer: str, version: str, text: str) -> DataFrame:
+    """``layer, field_path, tag, first_version, n_tags``: when each alternative of a layer's
+    paths first appears, and how many its path has in all."""
+    rows = docs.where(F.col(layer).isNotNull() & F.col(version).isNotNull()).select(layer, version, text).distinct()
+    schema = fused_schema(rows, version, text, layer)
+    tags = schema.groupBy(layer, "field_path").agg(F.count("*").alias("n_tags"))
+    return schema.join(tags, [layer, "field_path"]).select(F.col(layer).alias("layer"), "field_path", "tag", "first_version", "n_tags")
 
 
 #: Kinds of branch: which typed column of the unified table a tag goes to.

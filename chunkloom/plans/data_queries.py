@@ -54,9 +54,24 @@ def p3_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One consistent table: each value in its typed branch and in canonical form."""
+    return _branches(spark, sf_dir).withColumn("as_boolean", F.col("as_boolean").cast("int")).drop("canonical_numbers")
+
+
+def p3_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its canonical conversion: the numbers of every value that holds any, by place."""
+    return _branches(spark, sf_dir).select("file_id", "layer_id", "version_no", "field_path", F.posexplode("canonical_numbers").alias("pos", "number")).distinct()
+
+
+def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.typed_branches(table(spark, sf_dir, "n5_attributes"), ["file_id", "layer_id", "version_no"], "attributes")
 
 
+def p3_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each typed alternative of a layer's paths first appears."""
+    found = schema_drift.appearing(table(spark, sf_dir, "n5_attributes"), "layer_id", "version_no", "attributes")
+    return found.withColumnRenamed("layer", "layer_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.flat_nodes(table(spark, sf_dir, "zarr3_metadata"), "zinfo", "rec_id")
 
@@ -89,7 +104,7 @@ def p6_shard_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.count("*").alias("n_chunks"), F.sum("n_bytes").cast("bigint").alias("n_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_label_quantiles, p1_fid_quantiles, p2_found, p3_found, p3_schema, p3_table, p4_found, p5_found, p5_nanometers, p6_found, p6_shard_contents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_label_quantiles, p1_fid_quantiles, p2_found, p3_found, p3_schema, p3_table, p3_numbers, p3_alternatives, p4_found, p5_found, p5_nanometers, p6_found, p6_shard_contents)}
 
 _PAIRS = "pairs AS (SELECT DISTINCT label, fid FROM file_lookup WHERE label IS NOT NULL AND fid IS NOT NULL)"
 
@@ -120,7 +135,35 @@ placed AS (SELECT *, lower(to_hex((code >> (pre + mini)) & ((1 << shb) - 1))) h,
 chunks AS (SELECT layer_id, mip, gx, gy, gz, CASE WHEN length(h) < w THEN lpad(h, w, '0') ELSE h END AS shard, file_id, n_bytes, written_at FROM placed)
 """
 
+_LEAVES = r"""read AS (SELECT DISTINCT file_id, layer_id, version_no, attributes FROM n5_attributes WHERE json_valid(attributes) AND json_type(attributes) = 'OBJECT'),
+tree AS (SELECT read.*, replace(substr(j.fullkey, 3), '"', '') AS field_path, j.type AS kind, CAST(json(j.value) AS VARCHAR) AS value FROM read, json_tree(read.attributes) j WHERE j.key IS NOT NULL AND NOT contains(j.fullkey, '[')),
+leaf AS (SELECT file_id, layer_id, version_no, attributes, field_path, kind, value, regexp_replace(value, '"(?:[^"\\]|\\.)*"', 's', 'g') AS bare FROM tree WHERE kind <> 'OBJECT' OR value = '{}'),
+token AS (SELECT *, length(regexp_extract(bare, '^\[*')) AS depth, CASE WHEN kind = 'ARRAY' THEN regexp_extract_all(bare, '[-0-9.eE+]+|s|true|false|null') END AS words FROM leaf),
+named AS (SELECT *, list_sort(list_distinct(list_transform(words, lambda w: CASE WHEN w = 's' THEN 'string' WHEN w IN ('true', 'false') THEN 'boolean' WHEN w = 'null' THEN 'null' WHEN regexp_matches(w, '[.eE]') THEN 'double' ELSE 'integer' END))) AS kinds FROM token),
+fused AS (SELECT *, CASE WHEN len(kinds) > 1 THEN list_filter(kinds, lambda k: k <> 'null' AND NOT (k = 'integer' AND list_contains(kinds, 'double'))) ELSE kinds END AS alternatives FROM named),
+tagged AS (SELECT file_id, layer_id, version_no, attributes, field_path, value, CASE kind WHEN 'BOOLEAN' THEN 'boolean' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null'
+  ELSE concat(repeat('array<', depth), array_to_string(alternatives, '|'), repeat('>', depth)) END AS tag FROM fused)"""
+
+_TEXTS = "texts AS (SELECT DISTINCT file_id, layer_id, version_no, attributes, field_path, tag, CASE WHEN tag = 'string' THEN json_extract_string(value, '$') ELSE value END AS txt FROM tagged)"
+
 ORACLE = {
+    "p3_found": rf"""WITH {_LEAVES}, plain AS (SELECT DISTINCT layer_id, version_no, field_path, tag, CASE WHEN tag IN ('integer', 'double') THEN CAST(CAST(value AS DOUBLE) AS VARCHAR) WHEN starts_with(tag, 'array') THEN regexp_replace(value, '\.0+([,\]])', '\1', 'g') ELSE value END AS value FROM tagged WHERE layer_id IS NOT NULL AND version_no IS NOT NULL),
+version AS (SELECT layer_id, version_no, lag(version_no) OVER (PARTITION BY layer_id ORDER BY version_no) AS before FROM (SELECT DISTINCT layer_id, version_no FROM read WHERE layer_id IS NOT NULL AND version_no IS NOT NULL)),
+now AS (SELECT layer_id, version_no, field_path, tag, value FROM version JOIN plain USING (layer_id, version_no) WHERE before IS NOT NULL),
+was AS (SELECT v.layer_id, v.version_no, p.field_path, p.tag, p.value FROM version v JOIN plain p ON p.layer_id = v.layer_id AND p.version_no = v.before),
+new AS (SELECT * FROM now ANTI JOIN was USING (layer_id, version_no, field_path)), gone AS (SELECT * FROM was ANTI JOIN now USING (layer_id, version_no, field_path)),
+moved AS (SELECT DISTINCT layer_id, version_no, new.field_path AS to_path, gone.field_path AS from_path FROM new JOIN gone USING (layer_id, version_no, value) WHERE new.tag <> 'null' AND gone.tag <> 'null')
+SELECT DISTINCT layer_id, version_no, 'renamed' AS change_kind, to_path AS field_path FROM moved
+UNION ALL SELECT layer_id, version_no, 'added', field_path FROM new ANTI JOIN moved ON new.layer_id = moved.layer_id AND new.version_no = moved.version_no AND field_path = to_path
+UNION ALL SELECT layer_id, version_no, 'removed', field_path FROM gone ANTI JOIN moved ON gone.layer_id = moved.layer_id AND gone.version_no = moved.version_no AND field_path = from_path
+UNION ALL SELECT layer_id, version_no, 'retyped', field_path FROM now JOIN was USING (layer_id, version_no, field_path) WHERE now.tag <> was.tag AND now.tag <> 'null' AND was.tag <> 'null'""",
+    "p3_schema": f"""WITH {_LEAVES} SELECT field_path, tag, count(*) AS n_documents, min(version_no) AS first_version FROM tagged GROUP BY 1, 2""",
+    "p3_table": rf"""WITH {_LEAVES}, {_TEXTS} SELECT file_id, layer_id, version_no, field_path, tag, CASE WHEN tag = 'boolean' THEN CAST(txt = 'true' AS INTEGER) END AS as_boolean, CASE WHEN tag = 'integer' THEN TRY_CAST(txt AS BIGINT) END AS as_integer, CASE WHEN tag = 'double' THEN TRY_CAST(txt AS DOUBLE) END AS as_double, CASE WHEN tag = 'string' THEN txt END AS as_string,
+  CASE WHEN tag NOT IN ('boolean', 'integer', 'double', 'string', 'null') THEN txt END AS as_json FROM texts""",
+    "p3_numbers": rf"""WITH {_LEAVES}, {_TEXTS}, bare AS (SELECT *, string_split(regexp_replace(txt, '[\[\]"\s]', '', 'g'), ',') AS parts FROM texts WHERE tag <> 'boolean' AND regexp_matches(regexp_replace(txt, '[\[\]"\s]', '', 'g'), '^[-+]?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?(,[-+]?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)*$'))
+SELECT DISTINCT file_id, layer_id, version_no, field_path, CAST(i - 1 AS INTEGER) AS pos, CAST(parts[i] AS DOUBLE) AS number FROM bare, (SELECT unnest(range(1, 1001)) AS i) WHERE i <= len(parts)""",
+    "p3_alternatives": f"""WITH {_LEAVES}, a AS (SELECT layer_id, field_path, tag, min(version_no) AS first_version FROM tagged WHERE layer_id IS NOT NULL AND version_no IS NOT NULL GROUP BY 1, 2, 3)
+SELECT layer_id, field_path, tag, first_version, count(*) OVER (PARTITION BY layer_id, field_path) AS n_tags FROM a""",
     "p1_found": f"""WITH {_PAIRS}, n AS (SELECT count(*) AS n FROM pairs)
 SELECT 'label' AS key_field, label AS key_value FROM pairs, n GROUP BY label, n.n HAVING count(*) * 1000 >= n.n * 6
 UNION ALL SELECT 'fid', fid FROM pairs, n GROUP BY fid, n.n HAVING count(*) * 1000 >= n.n * 6""",

@@ -48,9 +48,19 @@ def test_fused_schema_and_branches(spark):
     fused = {(r["field_path"], r["tag"]): (r["n_documents"], r["first_version"]) for r in sd.fused_schema(frame(spark, rows), "version_no", "attributes").collect()}
     assert fused == {("r", "array<integer>"): (1, 1), ("r", "string"): (1, 2), ("r", "array<double>"): (1, 3), ("r", "boolean"): (1, 4), ("r", "integer"): (1, 6)}
     t = {r["version_no"]: r for r in sd.typed_branches(frame(spark, rows), ["layer_id", "version_no"], "attributes").collect()}
-    assert t[2]["canonical_numbers"] == [1.0, 2.5] and t[2]["as_string"] == "1,2.5" and t[1]["canonical_numbers"] == [1.0, 2.0] and t[1]["as_json"] == "[1, 2]"
+    assert t[2]["canonical_numbers"] == [1.0, 2.5] and t[2]["as_string"] == "1,2.5" and t[1]["canonical_numbers"] == [1.0, 2.0] and t[1]["as_json"] == "[1,2]"
     assert t[4]["as_boolean"] is True and t[4]["canonical_numbers"] is None and t[6]["as_integer"] == 7
 
 
+def test_sparse_version_numbers_and_appearing_alternatives(spark):
+    big = 17
+    rows = [(1, v * 6_000_011 + big, json.dumps({"a": v % 2 or "x"})) for v in range(300)] + [(2, 5, '{"a": 1}'), (2, 5, '{"a": 1}'), (2, 5, '{"b": 1}')]
+    got = changed(spark, rows)
+    assert {g for g in got if g[0] == 1} == {(1, v * 6_000_011 + big, "retyped", "a") for v in range(1, 300)}
+    assert len({g for g in got if g[0] == 2}) == 1  # one number with two contents: compared in some fixed order
+    found = {(r["layer"], r["field_path"], r["tag"]): (r["first_version"], r["n_tags"]) for r in sd.appearing(frame(spark, rows), "layer_id", "version_no", "attributes").collect()}
+    assert found == {(1, "a", "string"): (big, 2), (1, "a", "integer"): (big + 6_000_011, 2), (2, "a", "integer"): (5, 1), (2, "b", "integer"): (5, 1)}
+
+
 def test_empty(spark):
     assert changed(spark, []) == set()
