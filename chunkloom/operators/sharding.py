@@ -57,6 +57,18 @@ class Spec:
         """(minishard, shard in hex) of bigint keys."""
         return grid.shard_location(self.hashed(key), F.lit(self.minishard_bits), F.lit(self.shard_bits))
 
+    def place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(minishards, shards) of uint64 keys."""
+        h = keys.astype(np.uint64) >> np.uint64(self.preshift_bits) if self.preshift_bits < 64 else np.zeros(len(keys), np.uint64)
+        if self.hash != "identity":
+            h = murmur_low64(h)
+        low = np.uint64((1 << self.minishard_bits) - 1)
+        high = (h >> np.uint64(self.minishard_bits)) if self.minishard_bits < 64 else np.zeros(len(keys), np.uint64)
+        return h & low, high & np.uint64((1 << self.shard_bits) - 1)
+
+    def shard_name(self, shard: int) -> str:
+        return format(int(shard), "x").zfill(-(-self.shard_bits // 4))
+
     def locate(self, key: int) -> tuple[int, str]:
         """The same for one key on the driver."""
         h = key >> self.preshift_bits
@@ -64,7 +76,7 @@ class Spec:
             h = int(murmur_low64(np.array([h], dtype=np.uint64))[0])
         minishard = h & ((1 << self.minishard_bits) - 1)
         shard = (h >> self.minishard_bits) & ((1 << self.shard_bits) - 1)
-        return minishard, format(shard, "x").zfill(-(-self.shard_bits // 4))
+        return minishard, self.shard_name(shard)
 
 
 def _pack(data: bytes, encoding: str) -> bytes:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from chunkloom.operators import sharding, spatial
 from chunkloom.operators.sharding import Spec
 from chunkloom.operators.volume import XYZ, Volume
-from chunkloom.plans.volume_queries import V, volume
+from chunkloom.plans.volume_queries import B, V, volume
 from chunkloom.plans.object_queries import _INDEX, _MESH, _SKEL, _USABLE
-from chunkloom.sources import layers, objects
+from chunkloom.sources import layers, objects, shards
 from chunkloom.session import cut, fresh_path, table
 from chunkloom.streaming import ingest
 
@@ -81,6 +81,157 @@ def transfer_format(spark, sf_dir):
     return _read(spark, target)
 
 
+def _transferred(spark, sf_dir, how: dict, **target):
+    """A layer written, transferred without decoding a voxel, and read back."""
+    source, out = _written(spark, sf_dir, **how), layers.local(fresh_path(spark, "layer"))
+    layers.transfer(spark, source, out, **target)
+    return _read(spark, out)
+
+
+@query(_ALL)
+def transfer_objects(spark, sf_dir):
+    """Unsharded chunks with another compression of their files."""
+    return _transferred(spark, sf_dir, {}, compress="zstd")
+
+
+@query(_ALL)
+def transfer_pack(spark, sf_dir):
+    """Encoded chunks packed into shard files."""
+    return _transferred(spark, sf_dir, {}, spec=Spec(1, 2, 8))
+
+
+@query(_ALL)
+def transfer_unpack(spark, sf_dir):
+    """Encoded chunks taken out of shard files."""
+    return _transferred(spark, sf_dir, {"spec": Spec(1, 2, 8)})
+
+
+@query(_ALL)
+def transfer_shards(spark, sf_dir):
+    """Whole shard files, as the layouts are equal."""
+    return _transferred(spark, sf_dir, {"spec": Spec(1, 2, 8)}, spec=Spec(1, 2, 8))
+
+
+@query(f"WITH {V} SELECT x, y, z, label FROM v WHERE x >= 100 AND x < 400 AND y < 50 AND z <= 4")
+def sharded_cutout(spark, sf_dir):
+    """A cutout from shard files: of each only the ranges of chunks in the box are read."""
+    return _read(spark, _written(spark, sf_dir, spec=Spec(1, 2, 8))).where("x >= 100 and x < 400 and y < 50 and z <= 4")
+
+
+_FRAMED = f"WITH {V} SELECT x, y, z, CAST(x % 2 AS INTEGER) AS c, CAST(y % 3 AS INTEGER) AS t, label FROM v"
+
+
+def _framed(spark, sf_dir, layer_format: str):
+    """Voxels in two channels, one chunk each, and three frames, two in a chunk."""
+    v = volume(spark, sf_dir)
+    rows = v.voxels.select(*XYZ, (F.col("x") % 2).cast("int").alias("c"), (F.col("y") % 3).cast("int").alias("t"), "label")
+    path = layers.local(fresh_path(spark, "layer"))
+    layers.write_layer(Volume(cut(rows, "voxels"), v.bounds, _FLAT), path, layer_format, compress="zstd" if layer_format == "zarr3" else "zlib", channels=2, frames=3, channel_chunk=1, frame_chunk=2)
+    return layers.read_layer(spark, path, skip_background=True).select(*XYZ, "c", "t", F.col("value").alias("label"))
+
+
+@query(_FRAMED)
+def zarr3_frames_roundtrip(spark, sf_dir):
+    return _framed(spark, sf_dir, "zarr3")
+
+
+@query(_FRAMED)
+def zarr2_frames_roundtrip(spark, sf_dir):
+    return _framed(spark, sf_dir, "zarr2")
+
+
+@query(f"WITH {V}, c AS (SELECT CAST(x // 2 AS BIGINT) AS x, CAST(y // 2 AS BIGINT) AS y, z, label, count(*) AS n FROM v GROUP BY 1, 2, 3, 4), d AS (SELECT x, y, z, label FROM (SELECT *, row_number() OVER (PARTITION BY x, y, z ORDER BY n DESC, label) AS r FROM c) WHERE r = 1) SELECT 0 AS mip, x, y, z, label FROM v UNION ALL SELECT 1, x, y, z, label FROM d")
+def zarr3_levels_roundtrip(spark, sf_dir):
+    """Two levels of one layer, the coarser one added to the finer."""
+    v = volume(spark, sf_dir)
+    fine = Volume(cut(v.voxels.select(*XYZ, "label"), "voxels"), v.bounds, _FLAT)
+    coarse = Volume(fine.downsample((2, 2, 1)), ((0, 0, 1), (-(-v.bounds[1][0] // 2), -(-v.bounds[1][1] // 2), v.bounds[1][2])), _FLAT)
+    path = layers.local(fresh_path(spark, "layer"))
+    layers.write_layer(fine, path, "zarr3", compress="zstd")
+    layers.write_layer(coarse, path, "zarr3", resolution=(2, 2, 1), compress="zstd", level=1)
+    out = [layers.read_layer(spark, path, k, skip_background=True).select(F.lit(k).alias("mip"), *XYZ, F.col("value").alias("label")) for k in range(2)]
+    return out[0].unionByName(out[1])
+
+
+_CHUNKS = f"{B}, s AS (SELECT DISTINCT x // 1024 AS gx, y // 128 AS gy, (z - 1) // 8 AS gz FROM v), g AS (SELECT gx, gy, gz, x1, y1, z1 FROM (SELECT unnest(range(0, (x1 + 1023) // 1024)) AS gx FROM b), (SELECT unnest(range(0, (y1 + 127) // 128)) AS gy FROM b), (SELECT unnest(range(0, (z1 + 6) // 8)) AS gz FROM b), b)"
+
+
+def _known(rows):
+    return rows.select("gx", "gy", "gz", "is_stored")
+
+
+@query(f"WITH {_CHUNKS} SELECT g.gx, g.gy, g.gz, s.gx IS NOT NULL AS is_stored FROM g LEFT JOIN s USING (gx, gy, gz)")
+def zarr3_chunk_exists(spark, sf_dir):
+    """Which chunks of a layer in files are stored."""
+    return _known(layers.chunk_exists(spark, _written(spark, sf_dir, layer_format="zarr3", compress="zstd")))
+
+
+@query(f"WITH {_CHUNKS} SELECT g.gx, g.gy, g.gz, s.gx IS NOT NULL AS is_stored FROM g LEFT JOIN s USING (gx, gy, gz)")
+def sharded_chunk_exists(spark, sf_dir):
+    """The same from the indices of shard files."""
+    return _known(layers.chunk_exists(spark, _written(spark, sf_dir, spec=Spec(1, 2, 8))))
+
+
+@query(f"WITH {_CHUNKS} SELECT gx, gy, gz, (least((gx + 1) * 1024, x1) - gx * 1024) * (least((gy + 1) * 128, y1) - gy * 128) * (least((gz + 1) * 8, z1 - 1) - gz * 8) * 4 AS n_bytes FROM g SEMI JOIN s USING (gx, gy, gz)")
+def download_chunks(spark, sf_dir):
+    """The encoded chunks of a layer, undecoded."""
+    return layers.download_chunks(spark, _written(spark, sf_dir)).select("gx", "gy", "gz", F.octet_length("payload").cast("bigint").alias("n_bytes"))
+
+
+@query(f"WITH {V} SELECT x, y, z, label FROM v WHERE NOT (x < 1024 AND y < 128)")
+def zarr3_delete_chunks(spark, sf_dir):
+    """A layer in files after the chunks of a box were deleted."""
+    path = _written(spark, sf_dir, layer_format="zarr3", compress="zstd")
+    layers.delete_chunks(spark, path, box=((0, 0, 1), (10, 10, 2)))
+    return _read(spark, path)
+
+
+@query(f"WITH {V} SELECT x, y, z, label FROM v WHERE val > 40")
+def delete_black_files(spark, sf_dir):
+    """A layer written again: objects of chunks that hold only background now are deleted."""
+    v = volume(spark, sf_dir)
+    rows, path, chunk = cut(v.voxels.select(*XYZ, "label", "val"), "voxels"), layers.local(fresh_path(spark, "layer")), (256, 64, 8)
+    layers.write_layer(Volume(rows.drop("val"), v.bounds, chunk), path)
+    layers.write_layer(Volume(rows.where("val > 40").drop("val"), v.bounds, chunk), path, erase=True)
+    return _read(spark, path)
+
+
+_STORED = "s AS (SELECT DISTINCT l_orderkey + 1 AS label FROM lineitem), w AS (SELECT DISTINCT p_partkey AS label FROM part)"
+
+
+def _label_shards(spark, sf_dir, spec: Spec, payload):
+    """Shard files of all order numbers, and the part numbers as labels that are asked for."""
+    labels = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 1).alias("label")).distinct()
+    path = layers.local(fresh_path(spark, "shards"))
+    layers.write_shards(labels.withColumn("payload", payload), path, spec)
+    return path, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("label"))
+
+
+_HASHED = Spec(1, 4, 5, "murmurhash3_x86_128")
+
+
+@query(f"WITH {_STORED} SELECT label, concat('label ', label) AS payload FROM s SEMI JOIN w USING (label)")
+def shard_lookup(spark, sf_dir):
+    """Payloads of some labels by byte ranges: index, minishard indices, then the payloads."""
+    path, wanted = _label_shards(spark, sf_dir, _HASHED, F.encode(F.concat(F.lit("label "), F.col("label").cast("string")), "utf-8"))
+    return shards.shard_lookup(wanted, path, _HASHED).select("label", F.decode("payload", "utf-8").alias("payload"))
+
+
+@query(f"WITH {_STORED} SELECT w.label, s.label IS NOT NULL AS is_stored FROM w LEFT JOIN s USING (label)")
+def shard_exists(spark, sf_dir):
+    """Whether labels are stored, from the indices alone."""
+    path, wanted = _label_shards(spark, sf_dir, _HASHED, F.encode(F.col("label").cast("string"), "utf-8"))
+    return shards.shard_exists(wanted, path, _HASHED).select("label", "is_stored")
+
+
+@query(f"WITH {_STORED} SELECT label, label % 50 AS size FROM s")
+def shard_list_labels(spark, sf_dir):
+    """All labels of shard files with their sizes, from the indices alone."""
+    spec = Spec(3, 2, 4, data_encoding="raw")
+    path, _ = _label_shards(spark, sf_dir, spec, F.encode(F.repeat(F.lit("v"), (F.col("label") % 50).cast("int")), "utf-8"))
+    return shards.list_labels(spark, path, spec).select("label", "size")
+
+
 def _lines(spark, sf_dir):
     from chunkloom.plans.object_queries import _mesh
     from chunkloom.operators import mesh

@@ -308,9 +308,26 @@ def shard_location_identity(spark, sf_dir):
     return rows.select("code", minishard.alias("minishard"), shard.alias("shard"))
 
 
-@query()
+def _mixed(c: str) -> str:
+    """The final mixing of a 32-bit word, in two steps of SQL."""
+    one = f"((xor({c}, {c} // 65536) * 2246822507) & {MASK})"
+    two = f"((xor({one}, {one} // 8192) * 3266489909) & {MASK})"
+    return f"xor({two}, {two} // 65536)"
+
+
+#: MurmurHash3_x86_128 of the label's 8 bytes after a shift by 6, its lower 64 bits.
+_MURMUR = f"""{V}, k AS (SELECT DISTINCT label, CAST(label >> 6 AS HUGEINT) AS key FROM v),
+w AS (SELECT label, ((key & {MASK}) * 597399067) & {MASK} AS a, ((key // 4294967296) * 2869860233) & {MASK} AS b FROM k),
+r AS (SELECT label, ((((a * 32768) & {MASK}) + a // 131072) * 2869860233) & {MASK} AS a, ((((b * 65536) & {MASK}) + b // 65536) * 951274213) & {MASK} AS b FROM w),
+s AS (SELECT label, xor(a, CAST(8 AS HUGEINT)) AS h1, xor(b, CAST(8 AS HUGEINT)) AS h2, CAST(8 AS HUGEINT) AS h3 FROM r),
+t AS (SELECT label, (h1 + h2 + h3 + h3) & {MASK} AS h1, h2, h3 FROM s), u AS (SELECT label, h1, (h2 + h1) & {MASK} AS h2, (h3 + h1) & {MASK} AS h3 FROM t),
+f AS (SELECT label, {_mixed("h1")} AS h1, {_mixed("h2")} AS h2, {_mixed("h3")} AS h3 FROM u),
+g AS (SELECT label, (h1 + h2 + h3 + h3) & {MASK} AS h1, h2 FROM f), h AS (SELECT label, h1 + ((h2 + h1) & {MASK}) * 4294967296 AS h FROM g)"""
+
+
+@query(f"WITH {_MURMUR} SELECT label, CAST(h & 2047 AS BIGINT) AS minishard, lpad(lower(to_hex(CAST((h // 2048) & 127 AS BIGINT))), 2, '0') AS shard FROM h")
 def shard_location_murmur(spark, sf_dir):
-    """Hashed placement of all labels; the hash is beyond SQL."""
+    """Hashed placement of all labels."""
     labels = volume(spark, sf_dir).voxels.select("label").distinct()
     minishard, shard = sharding.Spec(6, 11, 7, "murmurhash3_x86_128").location(F.col("label"))
     return labels.select("label", minishard.alias("minishard"), shard.alias("shard"))
@@ -356,10 +373,10 @@ def range_coalesce(spark, sf_dir):
     return sharding.coalesced_ranges(r, ["file_no"])
 
 
-@query(f"WITH {_SIZES} SELECT label, size FROM q ORDER BY size DESC, label LIMIT 100")
+@query(f"WITH {_SIZES} SELECT label, size FROM q ORDER BY size DESC, label")
 def list_labels_by_size(spark, sf_dir):
-    """The 100 largest labels, a top-k report."""
-    return _label_sizes(spark, sf_dir).select("label", "size").orderBy(F.desc("size"), "label").limit(100)
+    """All labels, the largest first."""
+    return _label_sizes(spark, sf_dir).select("label", "size").orderBy(F.desc("size"), "label")
 
 
 @query("SELECT DISTINCT l_orderkey + 1 AS label, concat('label ', l_orderkey + 1) AS payload FROM lineitem")
@@ -372,7 +389,8 @@ def shard_roundtrip(spark, sf_dir):
     return back.select("label", F.decode("payload", "utf-8").alias("payload"))
 
 
-@query()
+@query("""WITH e AS (SELECT DISTINCT l_orderkey + 1 AS label FROM lineitem), p AS (SELECT label, (label >> 5) & 15 AS shard, (label >> 3) & 3 AS minishard, label % 50 AS size FROM e)
+SELECT concat(lower(to_hex(shard)), '.shard') AS filename, minishard, label, CAST(64 + sum(size) OVER (PARTITION BY shard ORDER BY minishard, label) - size AS BIGINT) AS "offset", size FROM p""")
 def shard_index(spark, sf_dir):
     """Byte ranges of all labels in their shard files."""
     labels = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 1).alias("label")).distinct()

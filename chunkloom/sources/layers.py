@@ -4,8 +4,13 @@
 t, value`` rows of precomputed (unsharded or sharded), zarr 2, zarr 3 and N5 layers; the
 format is told from the metadata files or given as ``layer_format``.  Filters on x, y
 and z are pushed down to the list of chunks, a partition reads a few chunks, and the
-option ``skip_background`` leaves out background voxels.  Paths have to be mounted on
+option ``skip_background`` leaves out background voxels.  The driver only counts chunks:
+a partition is a range of numbers of which the executor works out its chunks, and of
+shard files only the byte ranges of wanted chunks are read.  Paths have to be mounted on
 all executors.
+
+Chunks are also handled undecoded: listed, looked up, deleted, and transferred, which
+decodes voxels only where the two layers' chunks differ.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import shutil
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -23,13 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from chunkloom.functions.boxes import reify  # noqa: F401  (re-exported for index expressions)
+from chunkloom.functions.boxes import Corners, reify  # noqa: F401  (re-exported for index expressions)
 from chunkloom.operators import sharding
 from chunkloom.operators.volume import GXYZ, XYZ, Volume
 from chunkloom.session import cut
 from chunkloom.sources import codecs
+from chunkloom.sources.shards import ShardFile
 
 CHUNKS_PER_PARTITION = 64
+#: The driver plans no more partitions than this; beyond it they take more chunks each.
+MAX_PARTITIONS = 20_000
 #: How voxel types are carried in Spark, which has no unsigned types.
 SPARK_TYPES = {"uint8": "int", "int8": "int", "uint16": "int", "int16": "int", "uint32": "bigint", "int32": "int", "uint64": "bigint", "int64": "bigint", "float32": "float", "float64": "double"}
 
@@ -67,6 +76,7 @@ class Scale:
     order: str = "F"
     fill: float = 0
     channel_chunk: int = 1
+    frame_chunk: int = 1
     block: tuple[int, ...] = (8, 8, 8)
     spec: dict | None = None
 
@@ -125,8 +135,8 @@ def _ome_scale(fmt: str, root: str, ms: dict, ds: dict, dtype: str, shape: Seque
     scale, shift = _transforms(ds.get("coordinateTransformations"), ms.get("coordinateTransformations"))
     res = _by_axis(axes, scale or [1.0] * len(axes), default=1.0)
     off = tuple(int(math.floor(s / r)) for s, r in zip(_by_axis(axes, shift or [0.0] * len(axes), default=0.0), res))
-    cc = _by_axis(axes, chunk, "c")[0]
-    return Scale(fmt, root, dtype, _by_axis(axes, shape), _by_axis(axes, chunk), off, res, _by_axis(axes, shape, "c")[0], _by_axis(axes, shape, "t")[0], axes, channel_chunk=cc, **more)
+    cc, tt = _by_axis(axes, chunk, "c")[0], _by_axis(axes, chunk, "t")[0]
+    return Scale(fmt, root, dtype, _by_axis(axes, shape), _by_axis(axes, chunk), off, res, _by_axis(axes, shape, "c")[0], _by_axis(axes, shape, "t")[0], axes, channel_chunk=cc, frame_chunk=tt, **more)
 
 
 def _fill(a: dict) -> float:
@@ -214,29 +224,37 @@ def write_object(path: str, data: bytes) -> None:
     os.replace(part, path)
 
 
-def _to_xyzc(s: Scale, a: np.ndarray) -> np.ndarray:
-    """An array in stored axis order as (x, y, z, c)."""
-    axes = [x for x in s.axes if x != "t"]
-    if "t" in s.axes:
-        a = a.take(0, axis=s.axes.index("t"))
-    if "c" not in axes:
-        a, axes = a[..., None], [*axes, "c"]
-    return a.transpose([axes.index(x) for x in ("x", "y", "z", "c")])
+ORDER = ("x", "y", "z", "c", "t")
+
+
+def copy_object(source: str, target: str) -> int:
+    """Copies a file in blocks, aside and renamed; its size."""
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    part = f"{target}.{os.getpid()}.part"
+    shutil.copyfile(source, part)
+    os.replace(part, target)
+    return os.path.getsize(target)
+
+
+def _in_order(s: Scale, a: np.ndarray) -> np.ndarray:
+    """An array in stored axis order as (x, y, z, c, t)."""
+    axes = [*s.axes, *(n for n in ORDER if n not in s.axes)]
+    return a.reshape(a.shape + (1,) * (len(axes) - a.ndim)).transpose([axes.index(n) for n in ORDER])
 
 
 def decode(s: Scale, data: bytes, shape: Sequence[int]) -> np.ndarray:
-    """A stored chunk as (x, y, z, c) voxels, cropped to ``shape``."""
+    """A stored chunk as (x, y, z, c, t) voxels, its space cropped to ``shape``."""
     dtype = np.dtype(s.dtype)
     if s.layer_format == "precomputed":
-        return codecs.decode_chunk(data, s.encoding, (*shape, s.channel_chunk), dtype, s.block)
+        return codecs.decode_chunk(data, s.encoding, (*shape, s.channel_chunk), dtype, s.block)[..., None]
     if s.layer_format == "n5":
         mode, n = np.frombuffer(data, ">u2", 2)
         if mode:
             raise codecs.Unsupported("N5 blocks of varying length")
         dims = np.frombuffer(data, ">u4", n, 4)
         raw = codecs.stream(s.codecs[0])[1](data[4 + 4 * n :])
-        return np.frombuffer(raw, dtype.newbyteorder(">")).astype(dtype).reshape([int(d) for d in dims], order="F")[..., None][: shape[0], : shape[1], : shape[2]]
-    full = [dict(zip("xyz", s.chunk), c=s.channel_chunk, t=1)[a] for a in s.axes]
+        return np.frombuffer(raw, dtype.newbyteorder(">")).astype(dtype).reshape([int(d) for d in dims], order="F")[..., None, None][: shape[0], : shape[1], : shape[2]]
+    full = [dict(zip("xyz", s.chunk), c=s.channel_chunk, t=s.frame_chunk)[a] for a in s.axes]
     if s.layer_format == "zarr2":
         a = np.frombuffer(codecs.stream(s.codecs[1])[1](data), np.dtype(s.codecs[0])).reshape(full, order=s.order)
     else:
@@ -254,21 +272,25 @@ def decode(s: Scale, data: bytes, shape: Sequence[int]) -> np.ndarray:
             else:
                 data = codecs.stream(c["name"])[1](data)
         a = np.frombuffer(data, kind).reshape([full[p] for p in perm]).transpose(np.argsort(perm))
-    return _to_xyzc(s, a)[: shape[0], : shape[1], : shape[2]]
+    return _in_order(s, a)[: shape[0], : shape[1], : shape[2]]
 
 
 def encode(s: Scale, a: np.ndarray) -> bytes:
-    """(x, y, z, c) voxels as a stored chunk; zarr chunks are filled up to full size."""
+    """(x, y, z, c, t) voxels as a stored chunk; zarr chunks are filled up to full size.
+
+    Voxels without a last axis are one frame.
+    """
     dtype = np.dtype(s.dtype)
+    a = a[..., None] if a.ndim == 4 else a
     if s.layer_format == "precomputed":
-        return codecs.encode_chunk(np.asfortranarray(a.astype(dtype)), s.encoding, s.block)
+        return codecs.encode_chunk(np.asfortranarray(a[..., 0].astype(dtype)), s.encoding, s.block)
     if s.layer_format == "n5":
         raise codecs.Unsupported("writing N5")
-    full = np.full((*s.chunk, s.channel_chunk), s.fill, dtype)
+    full = np.full((*s.chunk, s.channel_chunk, s.frame_chunk), s.fill, dtype)
     full[tuple(slice(0, n) for n in a.shape)] = a
-    out = full.transpose([("x", "y", "z", "c").index(x) for x in s.axes if x in "xyzc"]) if "c" in s.axes else full[..., 0].transpose([("x", "y", "z").index(x) for x in s.axes if x in "xyz"])
-    if "t" in s.axes:
-        out = np.expand_dims(out, s.axes.index("t"))
+    gone = tuple(i for i, n in enumerate(ORDER) if n not in s.axes)
+    kept = [n for n in ORDER if n in s.axes]
+    out = full.squeeze(gone).transpose([kept.index(n) for n in s.axes])
     if s.layer_format == "zarr2":
         return codecs.stream(s.codecs[1])[0](out.astype(np.dtype(s.codecs[0])).tobytes(s.order))
     data = b""
@@ -285,7 +307,7 @@ def encode(s: Scale, a: np.ndarray) -> bytes:
     return data
 
 
-def rows_of(s: Scale, g: Sequence[int], a: np.ndarray, c0: int, t: int, skip: bool, kind: str) -> pa.RecordBatch:
+def rows_of(s: Scale, g: Sequence[int], a: np.ndarray, c0: int, t0: int, skip: bool, kind: str) -> pa.RecordBatch:
     """Voxels of a chunk as Arrow rows."""
     lo, _ = s.box(g)
     idx = np.nonzero(a != s.fill) if skip else tuple(i.reshape(-1) for i in np.indices(a.shape))
@@ -294,13 +316,49 @@ def rows_of(s: Scale, g: Sequence[int], a: np.ndarray, c0: int, t: int, skip: bo
         v = v.view(np.int64) if v.flags.c_contiguous else np.ascontiguousarray(v).view(np.int64)
     xyz = [pa.array(idx[d].astype(np.int64) + lo[d]) for d in range(3)]
     types = {"int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
-    n = len(v)
-    return pa.RecordBatch.from_arrays([*xyz, pa.array((idx[3] + c0).astype(np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(v.astype(types[kind].to_pandas_dtype()))], names=["x", "y", "z", "c", "t", "value"])
+    ct = [pa.array((idx[d] + first).astype(np.int32)) for d, first in ((3, c0), (4, t0))]
+    return pa.RecordBatch.from_arrays([*xyz, *ct, pa.array(v.astype(types[kind].to_pandas_dtype()))], names=["x", "y", "z", "c", "t", "value"])
+
+
+class ChunkPlan:
+    """The chunks that a box touches, numbered in units: single chunks, or of sharded levels
+    the boxes of chunks that share a shard file.  Numbers are dealt out, not lists."""
+
+    def __init__(self, s: Scale, lo: Sequence[int] | None = None, hi: Sequence[int] | None = None) -> None:
+        self.scale = s
+        lo, hi = lo or s.offset, hi or [o + n for o, n in zip(s.offset, s.size)]
+        self.first = [max(0, (a - o) // c) for a, o, c in zip(lo, s.offset, s.chunk)]
+        self.last = [min(n, -(-(b - o) // c)) for b, o, c, n in zip(hi, s.offset, s.chunk, s.grid())]
+        self.unit = (1, 1, 1)
+        if s.spec:
+            self.unit = tuple(n // c for n, c in zip(sharding.image_shard_shape(_spec(s.spec), s.size, s.chunk), s.chunk))
+        self.from_unit = [a // u for a, u in zip(self.first, self.unit)]
+        spans = [max(0, -(-b // u) - f) if b > a else 0 for a, b, u, f in zip(self.first, self.last, self.unit, self.from_unit)]
+        self.counts = [*spans, -(-s.channels // s.channel_chunk), -(-s.frames // s.frame_chunk)]
+        self.units = math.prod(self.counts)
+
+    def partitions(self) -> list[tuple[int, int]]:
+        """Ranges of unit numbers."""
+        per = max(1 if self.scale.spec else CHUNKS_PER_PARTITION, -(-self.units // MAX_PARTITIONS))
+        return [(a, min(a + per, self.units)) for a in range(0, self.units, per)] or [(0, 0)]
+
+    def chunks(self, unit: int) -> Iterator[tuple[tuple[int, ...], int, int]]:
+        """(grid position, channel chunk, frame chunk) of a unit's chunks, x fastest."""
+        at = []
+        for n in self.counts:
+            unit, k = divmod(unit, n)
+            at.append(k)
+        ranges = [range(max(a, (f + k) * u), min(b, (f + k + 1) * u)) for a, b, f, k, u in zip(self.first, self.last, self.from_unit, at, self.unit)]
+        for z in ranges[2]:
+            for y in ranges[1]:
+                for x in ranges[0]:
+                    yield (x, y, z), at[3], at[4]
 
 
 @dataclass
-class Chunks(InputPartition):
-    jobs: list
+class Units(InputPartition):
+    start: int
+    stop: int
 
 
 class VolumeReader(DataSourceReader):
@@ -326,46 +384,43 @@ class VolumeReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        s = self.scale
-        ranges = [range(max(0, (a - o) // c), min(n, -(-(b - o) // c))) for a, b, o, c, n in zip(self.lo, self.hi, s.offset, s.chunk, s.grid())]
-        if s.spec:
-            wanted = {(x, y, z) for z in ranges[2] for y in ranges[1] for x in ranges[0]}
-            spec = _spec(s.spec)
-            names: dict[str, set] = {}
-            for g in wanted:
-                names.setdefault(spec.locate(morton(g, s.grid()))[1], set()).add(g)
-            return [Chunks([(n, gs)]) for n, gs in sorted(names.items())]
-        jobs = [((x, y, z), c, t) for t in range(s.frames) for c in range(-(-s.channels // s.channel_chunk)) for z in ranges[2] for y in ranges[1] for x in ranges[0]]
-        return [Chunks(jobs[i : i + CHUNKS_PER_PARTITION]) for i in range(0, len(jobs), CHUNKS_PER_PARTITION)] or [Chunks([])]
-
-    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
+        return [Units(a, b) for a, b in ChunkPlan(self.scale, self.lo, self.hi).partitions()]
+
+    def read(self, partition: Units) -> Iterator[pa.RecordBatch]:
         s, kind = self.scale, SPARK_TYPES[self.scale.dtype]
-        if s.spec:
-            spec = _spec(s.spec)
-            for name, wanted in partition.jobs:
-                data = read_object(f"{s.root}/{name}.shard")
-                codes = {morton(g, s.grid()): g for g in wanted}
-                stored = sharding.disassemble(spec, data) if data else {}
-                for code, g in sorted(codes.items()):
-                    lo, hi = s.box(g)
-                    shape = [b - a for a, b in zip(lo, hi)]
-                    if code in stored:
-                        yield rows_of(s, g, decode(s, stored[code], shape), 0, 0, self.skip, kind)
-                    elif not self.skip:
-                        yield rows_of(s, g, np.full((*shape, s.channels), s.fill, s.dtype), 0, 0, False, kind)
-            return
-        for g, c, t in partition.jobs:
-            lo, hi = s.box(g)
-            shape = [b - a for a, b in zip(lo, hi)]
-            data = read_object(chunk_path(s, g, c, t))
-            n = min(s.channel_chunk, s.channels - c * s.channel_chunk)
-            if data is None:
-                if self.skip:
+        plan = ChunkPlan(s, self.lo, self.hi)
+        for unit in range(partition.start, partition.stop):
+            for (g, c, t), data in stored_chunks(s, plan.chunks(unit)):
+                if data is None and self.skip:
                     continue
-                a = np.full((*shape, n), s.fill, s.dtype)
-            else:
-                a = decode(s, data, shape)[..., :n]
-            yield rows_of(s, g, a, c * s.channel_chunk, t, self.skip, kind)
+                lo, hi = s.box(g)
+                shape = [b - a for a, b in zip(lo, hi)]
+                c0, t0 = c * s.channel_chunk, t * s.frame_chunk
+                n, m = min(s.channel_chunk, s.channels - c0), min(s.frame_chunk, s.frames - t0)
+                a = np.full((*shape, n, m), s.fill, s.dtype) if data is None else decode(s, data, shape)[..., :n, :m]
+                yield rows_of(s, g, a, c0, t0, self.skip and data is not None, kind)
+
+
+def stored_chunks(s: Scale, chunks: Iterator[tuple[tuple[int, ...], int, int]]) -> Iterator[tuple[tuple[tuple[int, ...], int, int], bytes | None]]:
+    """Each chunk with its stored bytes (without the stream compression of its file), or None."""
+    if not s.spec:
+        for k in chunks:
+            yield k, read_object(chunk_path(s, *k))
+        return
+    spec, grid = _spec(s.spec), s.grid()
+    wanted = list(chunks)  # of one shard
+    codes = np.array([morton(g, grid) for g, _, _ in wanted], dtype=np.uint64)
+    _, shards = spec.place(codes)
+    for number in np.unique(shards):
+        mine = np.nonzero(shards == number)[0]
+        shard = ShardFile(f"{s.root}/{spec.shard_name(number)}.shard", spec)
+        found = set()
+        for k, data in shard.payloads(codes[mine]):
+            found.add(k)
+            yield wanted[mine[k]], data
+        shard.close()
+        for k in set(range(len(mine))) - found:
+            yield wanted[mine[k]], None
 
 
 def _spec(d: dict) -> sharding.Spec:
@@ -456,15 +511,22 @@ def to_mip(info: dict, mip) -> int:
     return mip % n
 
 
+def _with_level(levels: list[dict], new: dict) -> list[dict]:
+    """The levels of a group with one replaced or added; level 0 begins a new group."""
+    kept = [] if new["path"] == "0" else [d for d in levels if d["path"] != new["path"]]
+    return sorted([*kept, new], key=lambda d: (len(d["path"]), d["path"]))
+
+
 def write_zarr3_metadata(path: str, s: Scale) -> None:
     scale = [dict(zip("xyz", s.resolution)).get(a, 1.0) for a in s.axes]
     shift = [dict(zip("xyz", [o * r for o, r in zip(s.offset, s.resolution)])).get(a, 0.0) for a in s.axes]
     kinds = {"t": "time", "c": "channel"}
     axes = [{"name": a, "type": kinds.get(a, "space")} | ({"unit": "nanometer"} if a in "xyz" else {}) for a in s.axes]
     ds = {"path": os.path.basename(s.root), "coordinateTransformations": [{"type": "scale", "scale": scale}, {"type": "translation", "translation": shift}]}
-    group = {"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"version": "0.5", "multiscales": [{"name": "", "axes": axes, "datasets": [ds]}]}}}
+    before = (((_json(f"{path}/zarr.json") or {}).get("attributes") or {}).get("ome") or {}).get("multiscales") or [{"datasets": []}]
+    group = {"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"version": "0.5", "multiscales": [{"name": "", "axes": axes, "datasets": _with_level(before[0]["datasets"], ds)}]}}}
     sizes = dict(zip("xyz", s.size)) | {"c": s.channels, "t": s.frames}
-    chunks = dict(zip("xyz", s.chunk)) | {"c": s.channel_chunk, "t": 1}
+    chunks = dict(zip("xyz", s.chunk)) | {"c": s.channel_chunk, "t": s.frame_chunk}
     array = {"zarr_format": 3, "node_type": "array", "shape": [sizes[a] for a in s.axes], "data_type": s.dtype, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [chunks[a] for a in s.axes]}}, "chunk_key_encoding": {"name": "default" if s.prefix else "v2", "configuration": {"separator": s.separator}}, "fill_value": _named_fill(s.fill), "codecs": s.codecs}
     write_object(f"{path}/zarr.json", json.dumps(group).encode())
     write_object(f"{s.root}/zarr.json", json.dumps(array).encode())
@@ -473,97 +535,263 @@ def write_zarr3_metadata(path: str, s: Scale) -> None:
 def write_zarr2_metadata(path: str, s: Scale) -> None:
     scale = [dict(zip("xyz", s.resolution)).get(a, 1.0) for a in s.axes]
     shift = [dict(zip("xyz", [o * r for o, r in zip(s.offset, s.resolution)])).get(a, 0.0) for a in s.axes]
-    attrs = {"multiscales": [{"version": "0.4", "axes": [{"name": a} for a in s.axes], "datasets": [{"path": os.path.basename(s.root), "coordinateTransformations": [{"type": "scale", "scale": scale}, {"type": "translation", "translation": shift}]}]}]}
+    ds = {"path": os.path.basename(s.root), "coordinateTransformations": [{"type": "scale", "scale": scale}, {"type": "translation", "translation": shift}]}
+    before = (_json(f"{path}/.zattrs") or {}).get("multiscales") or [{"datasets": []}]
+    attrs = {"multiscales": [{"version": "0.4", "axes": [{"name": a} for a in s.axes], "datasets": _with_level(before[0]["datasets"], ds)}]}
     sizes = dict(zip("xyz", s.size)) | {"c": s.channels, "t": s.frames}
-    chunks = dict(zip("xyz", s.chunk)) | {"c": s.channel_chunk, "t": 1}
+    chunks = dict(zip("xyz", s.chunk)) | {"c": s.channel_chunk, "t": s.frame_chunk}
     array = {"zarr_format": 2, "shape": [sizes[a] for a in s.axes], "chunks": [chunks[a] for a in s.axes], "dtype": s.codecs[0], "compressor": {"id": s.codecs[1]} if s.codecs[1] else None, "order": s.order, "dimension_separator": s.separator, "fill_value": _named_fill(s.fill), "filters": None}
     write_object(f"{path}/.zattrs", json.dumps(attrs).encode())
     write_object(f"{s.root}/.zarray", json.dumps(array).encode())
 
 
-def write_layer(volume: Volume, path: str, layer_format: str = "precomputed", dtype: str = "uint32", resolution: Sequence[float] = (1, 1, 1), compress: str = "gzip", encoding: str = "raw", spec: sharding.Spec | None = None, channels: int = 1, frames: int = 1) -> DataFrame:
+def write_layer(volume: Volume, path: str, layer_format: str = "precomputed", dtype: str = "uint32", resolution: Sequence[float] = (1, 1, 1), compress: str = "gzip", encoding: str = "raw", spec: sharding.Spec | None = None, channels: int = 1, frames: int = 1, channel_chunk: int | None = None, frame_chunk: int = 1, level: int = 0, erase: bool = False) -> DataFrame:
     """Writes a volume's stored chunks in parallel; ``path, n_bytes`` of each object.
 
     Chunks that hold only background are not written, unless the format has no fill value
-    and the background is not 0.  Voxels may have columns ``c`` and ``t``, numbers of at most
-    ``channels`` and ``frames``; precomputed layers hold one frame.  Objects have names that
-    follow from the grid, so a retried task replaces what it wrote before.
+    and the background is not 0; with ``erase`` objects that stood in their place are
+    deleted.  Voxels may have columns ``c`` and ``t``, numbers of at most ``channels`` and
+    ``frames``; precomputed layers hold one frame.  A ``level`` above 0 is added to a layer
+    that is there.  Objects have names that follow from the grid, so a retried task
+    replaces what it wrote before.
     """
-    if layer_format == "precomputed" and frames > 1:
-        raise codecs.Unsupported(f"writing {frames} frames to a precomputed layer")
     path = local(path).rstrip("/")
-    size = tuple(b - a for a, b in zip(*volume.bounds))
-    base = dict(dtype=dtype, size=size, chunk=volume.chunk, offset=volume.bounds[0], resolution=tuple(resolution), fill=volume.background, channels=channels, frames=frames, channel_chunk=channels)
-    if layer_format == "precomputed":
-        info = create_info(size, resolution, volume.chunk, dtype, volume.bounds[0], encoding=encoding, channels=channels, spec=spec)
-        write_object(f"{path}/info", json.dumps(info).encode())
-        s = replace(_open_precomputed(path)[0], fill=volume.background)
-    elif layer_format == "zarr3":
-        axes = ("t", "c", "z", "y", "x")[frames == 1 :]
-        steps = [{"name": "transpose", "configuration": {"order": list(range(len(axes)))[::-1]}}, {"name": "bytes", "configuration": {"endian": "little"}}]
-        steps += [{"name": compress, "configuration": {"level": 5}}] if compress else []
-        s = Scale("zarr3", f"{path}/0", axes=axes, codecs=[*steps, {"name": "crc32c"}], prefix="c", order="C", **base)
-        write_zarr3_metadata(path, s)
-    elif layer_format == "zarr2":
-        s = Scale("zarr2", f"{path}/0", axes=("t", "c", "z", "y", "x"), codecs=[np.dtype(dtype).newbyteorder("<").str, compress], separator=".", order="C", **base)
-        write_zarr2_metadata(path, s)
-    else:
-        raise codecs.Unsupported(f"writing {layer_format}")
+    s = _new_scale(volume, path, layer_format, dtype, resolution, compress, encoding, spec, channels, frames, channel_chunk or channels, frame_chunk, level)
     suffix = codecs.suffix_of(compress) if layer_format == "precomputed" and not spec else ""
     value = volume.value
 
-    def payload(pdf: pd.DataFrame) -> tuple[list[int], int, bytes]:
-        g, t = [int(pdf[c].iloc[0]) for c in GXYZ], int(pdf["t"].iloc[0])
-        if not 0 <= t < s.frames:
-            raise ValueError(f"frame {t} of {s.frames}")
+    def payload(pdf: pd.DataFrame) -> tuple[list[int], int, int, bytes]:
+        g, c, t = [int(pdf[n].iloc[0]) for n in GXYZ], int(pdf["gc"].iloc[0]), int(pdf["gt"].iloc[0])
+        if not (0 <= pdf["t"].min() and pdf["t"].max() < s.frames and 0 <= pdf["c"].min() and pdf["c"].max() < s.channels):
+            raise ValueError(f"a channel or frame outside of {s.channels} and {s.frames}")
         lo, hi = s.box(g)
-        a = np.full([*[b - a for a, b in zip(lo, hi)], s.channels], s.fill, np.dtype(dtype))
+        a = np.full([*[b - a for a, b in zip(lo, hi)], s.channel_chunk, s.frame_chunk], s.fill, np.dtype(dtype))
         pdf = pdf[pdf["held"]]
-        a[(*[pdf[c].to_numpy() - o for c, o in zip(XYZ, lo)], pdf["c"].to_numpy())] = pdf[value].to_numpy()
-        return g, t, encode(s, a)
+        a[(*[pdf[n].to_numpy() - o for n, o in zip(XYZ, lo)], pdf["c"].to_numpy() - c * s.channel_chunk, pdf["t"].to_numpy() - t * s.frame_chunk)] = pdf[value].to_numpy()
+        return g, c, t, encode(s, a)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, t, data = payload(pdf)
+        g, c, t, data = payload(pdf)
         if suffix:
             data = codecs.stream(compress)[0](data)
-        at = chunk_path(s, g, 0, t) + suffix
+        at = chunk_path(s, g, c, t) + suffix
         write_object(at, data)
         return pd.DataFrame({"path": [at], "n_bytes": [len(data)]})
 
-    ct = [F.col(n) if n in volume.voxels.columns else F.lit(0).alias(n) for n in "ct"]
+    ct = [F.col(n).cast("int").alias(n) if n in volume.voxels.columns else F.lit(0).alias(n) for n in "ct"]
     rows = volume.with_chunks(volume.voxels).select(*GXYZ, *XYZ, *ct, value, F.lit(True).alias("held"))
     if layer_format == "precomputed" and volume.background != 0:  # a chunk that isn't there reads as 0
         zero = {n: F.lit(0).cast(kind) for n, kind in rows.dtypes if n not in (*GXYZ, "held")}
         rows = rows.unionByName(volume.touched_chunks(volume.bounds).withColumns(zero | {"held": F.lit(False)}))
+    rows = rows.withColumn("gc", F.floor(F.col("c") / s.channel_chunk)).withColumn("gt", F.floor(F.col("t") / s.frame_chunk))
+    if erase and not spec:
+        stale = chunk_objects(volume.spark, path, level).join(rows.select(*GXYZ, "gc", "gt").distinct(), [*GXYZ, "gc", "gt"], "left_anti")
+        _delete(stale).count()
     if spec is None:
-        return cut(rows.groupBy(*GXYZ, "t").applyInPandas(write, "path string, n_bytes bigint"), "written")
+        return cut(rows.groupBy(*GXYZ, "gc", "gt").applyInPandas(write, "path string, n_bytes bigint"), "written")
 
     def coded(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, _, data = payload(pdf)
+        g, _, _, data = payload(pdf)
         return pd.DataFrame({"label": [morton(g, s.grid())], "payload": [data]})
 
+    return write_shards(rows.groupBy(*GXYZ, "gc", "gt").applyInPandas(coded, "label bigint, payload binary"), s.root, spec)
+
+
+def write_shards(items: DataFrame, root: str, spec: sharding.Spec) -> DataFrame:
+    """``label, payload`` rows as shard files below a folder; ``path, n_bytes``."""
+    root = local(root).rstrip("/")
+
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["filename"], pdf["content"]):
-                write_object(f"{s.root}/{name}", bytes(content))
-            yield pd.DataFrame({"path": [f"{s.root}/{n}" for n in pdf["filename"]], "n_bytes": [len(c) for c in pdf["content"]]})
+                write_object(f"{root}/{name}", bytes(content))
+            yield pd.DataFrame({"path": [f"{root}/{n}" for n in pdf["filename"]], "n_bytes": [len(c) for c in pdf["content"]]})
 
-    items = rows.groupBy(*GXYZ, "t").applyInPandas(coded, "label bigint, payload binary")
     return cut(sharding.shard_files(items, spec).mapInPandas(store, "path string, n_bytes bigint"), "written")
 
 
+def _new_scale(volume: Volume, path: str, layer_format: str, dtype: str, resolution: Sequence[float], compress: str, encoding: str, spec: sharding.Spec | None, channels: int, frames: int, channel_chunk: int, frame_chunk: int, level: int) -> Scale:
+    """Writes the documents of a level and opens it."""
+    size = tuple(b - a for a, b in zip(*volume.bounds))
+    base = dict(dtype=dtype, size=size, chunk=volume.chunk, offset=volume.bounds[0], resolution=tuple(resolution), fill=volume.background, channels=channels, frames=frames, channel_chunk=channel_chunk, frame_chunk=frame_chunk)
+    if layer_format == "precomputed":
+        if frames > 1:
+            raise codecs.Unsupported(f"writing {frames} frames to a precomputed layer")
+        info = create_info(size, resolution, volume.chunk, dtype, volume.bounds[0], encoding=encoding, channels=channels, spec=spec)
+        if level:
+            old = _json(f"{path}/info")
+            info = old | {"scales": [*old["scales"][:level], info["scales"][0], *old["scales"][level + 1 :]]}
+        write_object(f"{path}/info", json.dumps(info).encode())
+        return replace(_open_precomputed(path)[level], fill=volume.background)
+    if layer_format == "zarr3":
+        axes = ("t", "c", "z", "y", "x")[frames == 1 :]
+        steps = [{"name": "transpose", "configuration": {"order": list(range(len(axes)))[::-1]}}, {"name": "bytes", "configuration": {"endian": "little"}}]
+        steps += [{"name": compress, "configuration": {"level": 5}}] if compress else []
+        s = Scale("zarr3", f"{path}/{level}", axes=axes, codecs=[*steps, {"name": "crc32c"}], prefix="c", order="C", **base)
+        write_zarr3_metadata(path, s)
+    elif layer_format == "zarr2":
+        s = Scale("zarr2", f"{path}/{level}", axes=("t", "c", "z", "y", "x"), codecs=[np.dtype(dtype).newbyteorder("<").str, compress], separator=".", order="C", **base)
+        write_zarr2_metadata(path, s)
+    else:
+        raise codecs.Unsupported(f"writing {layer_format}")
+    return s
+
+
+# --- undecoded chunks -------------------------------------------------------------------
+
+
+def chunk_objects(spark: SparkSession, path: str, mip: int = 0, box: Corners | None = None) -> DataFrame:
+    """``gx, gy, gz, gc, gt, path`` of all chunks that a box touches, stored or not.
+
+    ``path`` is that of the object without the suffix of its compression, or of the shard.
+    """
+    s = open_layer(path)[mip]
+    plan = ChunkPlan(s, *(box or (None, None)))
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spec = _spec(s.spec) if s.spec else None
+        for pdf in batches:
+            rows = []
+            for unit in pdf["id"].tolist():
+                for g, c, t in plan.chunks(unit):
+                    rows.append((*g, c, t, f"{s.root}/{spec.locate(morton(g, s.grid()))[1]}.shard" if spec else chunk_path(s, g, c, t)))
+            yield pd.DataFrame(rows, columns=[*GXYZ, "gc", "gt", "path"])
+
+    return spark.range(0, plan.units, 1, len(plan.partitions())).mapInPandas(name, "gx bigint, gy bigint, gz bigint, gc bigint, gt bigint, path string")
+
+
+def chunk_exists(spark: SparkSession, path: str, mip: int = 0, box: Corners | None = None) -> DataFrame:
+    """``gx, gy, gz, gc, gt, is_stored, n_bytes`` (as stored); shards are looked up in their indices."""
+    s = open_layer(path)[mip]
+    plan = ChunkPlan(s, *(box or (None, None)))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for unit in pdf["id"].tolist():
+                wanted = list(plan.chunks(unit))
+                if s.spec:
+                    spec = _spec(s.spec)
+                    codes = np.array([morton(g, s.grid()) for g, _, _ in wanted], dtype=np.uint64)
+                    _, shards = spec.place(codes)
+                    sizes = np.full(len(codes), -1, np.int64)
+                    for number in np.unique(shards):
+                        shard = ShardFile(f"{s.root}/{spec.shard_name(number)}.shard", spec)
+                        sizes[shards == number] = shard.find(codes[shards == number])[1]
+                        shard.close()
+                else:
+                    sizes = [next((os.path.getsize(p) for p in _stored_paths(chunk_path(s, *k))), -1) for k in wanted]
+                rows += [(*g, c, t, int(n) >= 0, None if n < 0 else int(n)) for (g, c, t), n in zip(wanted, sizes)]
+            out = pd.DataFrame(rows, columns=[*GXYZ, "gc", "gt", "is_stored", "n_bytes"])
+            yield out.astype({"n_bytes": "Int64"})
+
+    return spark.range(0, plan.units, 1, len(plan.partitions())).mapInPandas(look, "gx bigint, gy bigint, gz bigint, gc bigint, gt bigint, is_stored boolean, n_bytes bigint")
+
+
+def _stored_paths(path: str) -> Iterator[str]:
+    return (path + x for x in ("", *codecs.SUFFIXES) if os.path.exists(path + x))
+
+
+def download_chunks(spark: SparkSession, path: str, mip: int = 0, box: Corners | None = None) -> DataFrame:
+    """``gx, gy, gz, gc, gt, payload``: the stored chunks of a box as they were encoded,
+    without the compression of their files."""
+    s = open_layer(path)[mip]
+    plan = ChunkPlan(s, *(box or (None, None)))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for unit in pdf["id"].tolist():
+                rows = [(*g, c, t, data) for (g, c, t), data in stored_chunks(s, plan.chunks(unit)) if data is not None]
+                if rows:
+                    yield pd.DataFrame(rows, columns=[*GXYZ, "gc", "gt", "payload"])
+
+    return spark.range(0, plan.units, 1, len(plan.partitions())).mapInPandas(read, "gx bigint, gy bigint, gz bigint, gc bigint, gt bigint, payload binary")
+
+
+def delete_chunks(spark: SparkSession, path: str, mip: int = 0, box: Corners | None = None) -> DataFrame:
+    """Deletes the objects of all chunks that a box touches; ``path`` of each that was there."""
+    if open_layer(path)[mip].spec:
+        raise codecs.Unsupported("deleting single chunks of shard files")
+    return cut(_delete(chunk_objects(spark, path, mip, box)), "deleted")
+
+
+def _delete(objects: DataFrame) -> DataFrame:
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            gone = []
+            for path in pdf["path"]:
+                for p in list(_stored_paths(path)):
+                    try:
+                        os.remove(p)
+                        gone.append(p)
+                    except FileNotFoundError:  # by another attempt of this task
+                        pass
+            yield pd.DataFrame({"path": gone}, dtype=object)
+
+    return objects.select("path").mapInPandas(remove, "path string")
+
+
 def read_layer(spark: SparkSession, path: str, mip: int = 0, skip_background: bool = False, layer_format: str | None = None) -> DataFrame:
     register(spark)
     r = spark.read.format("chunked_volume").option("mip", str(mip)).option("skip_background", str(skip_background).lower())
     return (r.option("layer_format", layer_format) if layer_format else r).load(local(path))
 
 
-def transfer(spark: SparkSession, source: str, target: str, chunk: Sequence[int] | None = None, mip: int = 0, **how) -> DataFrame:
-    """Read a level and write it anew: other format, chunk size, encoding or sharding.
+def route(s: Scale, chunk: Sequence[int], layer_format: str, encoding: str, spec: sharding.Spec | None) -> str:
+    """How chunks travel: 'shards' (files as they are), 'objects', 'pack' (into shards),
+    'unpack', or 'voxels' where they have to be decoded."""
+    if s.layer_format != "precomputed" or layer_format != "precomputed" or tuple(chunk) != tuple(s.chunk) or encoding != s.encoding:
+        return "voxels"
+    if s.spec and spec and _spec(s.spec) == spec:
+        return "shards"
+    return "pack" if spec else "unpack" if s.spec else "objects"
+
 
-    All channels and frames are carried over, and the fill value of the source.
+def transfer(spark: SparkSession, source: str, target: str, chunk: Sequence[int] | None = None, mip: int = 0, layer_format: str = "precomputed", encoding: str | None = None, spec: sharding.Spec | None = None, compress: str = "gzip", **how) -> DataFrame:
+    """A level in another format, chunk size, encoding or sharding; ``path, n_bytes``.
+
+    All channels and frames are carried over, and the fill value of the source.  Between
+    precomputed layers of equal chunks and encoding the stored bytes are carried over
+    undecoded, whole shard files where the layouts are equal too.
     """
     s = open_layer(source)[mip]
-    rows = read_layer(spark, source, mip, skip_background=True).select(*XYZ, "c", "t", F.col("value").alias("label"))
-    v = Volume(rows, (s.offset, tuple(o + n for o, n in zip(s.offset, s.size))), chunk or s.chunk, s.fill)
-    return write_layer(v, target, dtype=s.dtype, resolution=s.resolution, channels=s.channels, frames=s.frames, **how)
+    target, chunk = local(target).rstrip("/"), tuple(chunk or s.chunk)
+    encoding = encoding or (s.encoding if s.layer_format == "precomputed" else "raw")
+    way = route(s, chunk, layer_format, encoding, spec)
+    bounds = (s.offset, tuple(o + n for o, n in zip(s.offset, s.size)))
+    if way == "voxels":
+        rows = read_layer(spark, source, mip, skip_background=True).select(*XYZ, "c", "t", F.col("value").alias("label"))
+        how = {"channel_chunk": s.channel_chunk, "frame_chunk": s.frame_chunk} | how if layer_format != "precomputed" else how
+        return write_layer(Volume(rows, bounds, chunk, s.fill), target, layer_format, s.dtype, s.resolution, compress, encoding, spec, s.channels, s.frames, **how)
+    new = _new_scale(Volume(spark.range(0), bounds, chunk, s.fill), target, "precomputed", s.dtype, s.resolution, compress, encoding, spec, s.channels, 1, s.channels, 1, how.get("level", 0))
+    if way == "shards":
+        names = spark.range(0, 1 << spec.shard_bits, 1, min(1 << spec.shard_bits, MAX_PARTITIONS))
+
+        def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                done = []
+                for n in pdf["id"]:
+                    name = f"{spec.shard_name(n)}.shard"
+                    if os.path.exists(f"{s.root}/{name}"):
+                        done.append((f"{new.root}/{name}", copy_object(f"{s.root}/{name}", f"{new.root}/{name}")))
+                yield pd.DataFrame(done, columns=["path", "n_bytes"])
+
+        return cut(names.mapInPandas(copy, "path string, n_bytes bigint"), "written")
+    chunks = download_chunks(spark, source, mip)
+    if way == "pack":
+        size = s.grid()
+        code = F.pandas_udf(lambda x, y, z: pd.Series([morton(g, size) for g in zip(x, y, z)], dtype="int64"), "bigint")
+        return write_shards(chunks.select(code(*GXYZ).alias("label"), "payload"), new.root, spec)
+    suffix = codecs.suffix_of(compress)
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = []
+            for x, y, z, data in zip(*[pdf[g] for g in GXYZ], pdf["payload"]):
+                data = codecs.stream(compress)[0](bytes(data)) if suffix else bytes(data)
+                at = chunk_path(new, (x, y, z)) + suffix
+                write_object(at, data)
+                done.append((at, len(data)))
+            yield pd.DataFrame(done, columns=["path", "n_bytes"])
+
+    return cut(chunks.mapInPandas(store, "path string, n_bytes bigint"), "written")
