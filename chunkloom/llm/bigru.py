@@ -74,9 +74,47 @@ class BiGRU:
             out[i] = s
         return out, kept
 
+    def _run(self, x: np.ndarray) -> np.ndarray:
+        """The states of ``_states`` without what only training needs, in reused buffers.
+
+        Signs of both gates are turned beforehand, so a sigmoid is exp, + 1 and reciprocal.
+        """
+        t, b = x.shape
+        h = self.h
+        gates = np.matmul(self.emb[None], self.wx) + self.bx
+        to_zr, to_n = -gates[..., : 2 * h].reshape(-1, 2 * h), np.ascontiguousarray(gates[..., 2 * h :]).reshape(-1, h)
+        w_zr, w_n = np.ascontiguousarray(-self.wh[..., : 2 * h]), np.ascontiguousarray(self.wh[..., 2 * h :])
+        both = np.stack([x, x[::-1] + (PAD + 1)], axis=1).astype(np.intp)  # rows of the two tables
+        live = x != PAD
+        holes = ~live.all(axis=1)
+        holes = holes | holes[::-1]
+        live = np.stack([live, live[::-1]], axis=1)[..., None]
+        out = np.zeros((t + 1, 2, b, h), self.wh.dtype)
+        zr, g = (np.empty((2, b, 2 * h), self.wh.dtype) for _ in range(2))
+        n, q = (np.empty((2, b, h), self.wh.dtype) for _ in range(2))
+        with np.errstate(over="ignore"):
+            for i in range(t):
+                s, new = out[i], out[i + 1]
+                np.matmul(s, w_zr, out=zr)
+                zr += to_zr.take(both[i], axis=0, out=g, mode="clip")
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                np.matmul(s, w_n, out=q)
+                q += self.bn
+                q *= zr[..., h:]
+                q += to_n.take(both[i], axis=0, out=n, mode="clip")
+                np.tanh(q, out=n)
+                np.subtract(s, n, out=new)
+                new *= zr[..., :h]
+                new += n
+                if holes[i]:
+                    new *= live[i]
+        return out[1:]
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         """(T, B) byte codes to (T, B, classes)."""
-        s, _ = self._states(x, False)
+        s = self._run(x)
         return s[:, 0] @ self.wo[: self.h] + s[::-1, 1] @ self.wo[self.h :] + self.bo
 
     def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> float:

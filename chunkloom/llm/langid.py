@@ -7,9 +7,11 @@ lowest hashes), as such and spliced into texts that change language midway; rows
 label the half-trained network contradicts are taken out before training goes on.
 
 Position probabilities are pooled to words, neighbouring words of one language to
-segments.  A segment of fewer than MIN_WORDS words joins its neighbours: shorter
-stretches, names and cut-off words make no segment.  A document's probabilities are
-pooled over its segments.  All texts are labelled whole, in overlapping windows.
+segments.  A segment has MIN_WORDS words or more, and by their probabilities nearly so
+many of them and more than half are expected to be in its language; others join a
+neighbour, so shorter stretches, names and cut-off words make no segment.  A document's
+probabilities are pooled over all of its words.  All texts are labelled whole, in
+overlapping windows.
 
 Defined cases: null ids are ignored; null and empty texts and texts without words have
 no language; a language is known by its code, ISO 639-3 code or either name, ignoring
@@ -19,6 +21,7 @@ where no row is labelled, or the table is empty, the result is empty.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -31,17 +34,18 @@ from pyspark.sql.window import Window
 from chunkloom.llm.bigru import PAD, BiGRU
 
 SAMPLE_PER_LANGUAGE = 800
+#: Of a longer text the sample holds a stretch of so many characters.
+STRETCH = 4000
 #: Bytes of a sampled text that one training example shows, from a place in it by chance.
 TRAIN_BYTES = 128
 BATCH, STEPS, PURGE_AT = 64, 560, 220
 #: Labelling windows: so many bytes, of which so many at either end only give context.
-WINDOW, MARGIN = 320, 48
-ROWS_AT_ONCE = 384
-MIN_WORDS = 4
-#: Log-odds by which words have to favour a language that changes within a clause.
-INNER_GAIN = 18.0
+WINDOW, MARGIN = 640, 48
+#: Windows run together, and bytes of texts whose windows are sorted by length.
+ROWS_AT_ONCE, POOL_BYTES = 384, 2_000_000
+#: Words of a segment, and how many of them are expected to be in its language.
+MIN_WORDS, EXPECTED = 4, 3.6
 SEED = 11
-_STOPS = ".!?:;/|—–()[]«»\"“”\n"
 
 _WORD = re.compile(r"\S+")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -81,8 +85,8 @@ def labelled_sample(docs: DataFrame, codes: DataFrame, sides: list[tuple[str, st
         rate = F.when(F.col("code") == code, F.lit(min(1_000_000, int(4e6 * per_language / count) + 1))).otherwise(rate)
     thin = rows.where(F.pmod("h", F.lit(1_000_000)) < rate)
     w = Window.partitionBy("code").orderBy("h", "text")
-    # of very long texts a stretch suffices as an example
-    span = F.when(F.length("text") > 4000, F.substr("text", (F.pmod("h", F.length("text") - 4000) + 1).cast("int"), F.lit(4000))).otherwise(F.col("text"))
+    # of very long texts a stretch suffices as an example, from a place that its hash gives
+    span = F.when(F.length("text") > STRETCH, F.substr("text", (F.pmod("h", F.length("text") - STRETCH) + 1).cast("int"), F.lit(STRETCH))).otherwise(F.col("text"))
     best = thin.select("code", "h", span.alias("text")).dropDuplicates(["code", "h"]).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_language)
     return best.select("code", "text").orderBy("code", "text").toPandas()
 
@@ -124,33 +128,23 @@ def _examples(texts: list[bytes], spaces: list[np.ndarray], labels: np.ndarray,
 def train(sample: pd.DataFrame, classes: list[str], steps: int = STEPS, seed: int = SEED) -> BiGRU:
     """The network, trained on ``code, text`` rows."""
     rng = np.random.default_rng(seed)
-    texts = [lowered(t).encode("utf-8", "replace") for t in sample["text"]]
+    raw = [lowered(t).encode("utf-8", "replace") for t in sample["text"]]
     labels = np.array([classes.index(c) for c in sample["code"]], dtype=np.int64)
-    spaces = [np.concatenate([[0], np.flatnonzero(np.frombuffer(t, np.uint8) == 32) + 1]) for t in texts]
+    spaces = [np.concatenate([[0], np.flatnonzero(np.frombuffer(t, np.uint8) == 32) + 1]) for t in raw]
     model = BiGRU(len(classes), seed=seed)
     by = [np.flatnonzero(labels == k) for k in range(len(classes))]
     for i in range(steps):
         if i == PURGE_AT:  # wrong labels and mixed texts teach nothing right
-            agree = _agreement(model, texts, labels)
+            agree = _agreement(model, raw, labels)
             by = [idx[agree[idx] > 0.9] if (agree[idx] > 0.9).sum() >= 20 else idx for idx in by]
-        x, y = _examples(texts, spaces, labels, by, rng)
+        x, y = _examples(raw, spaces, labels, by, rng)
         model.step(x, y, 6e-3 * min(1.0, (i + 1) / 20) * (0.5 * (1 + np.cos(np.pi * i / steps)) + 0.02))
     return model
 
 
 def _agreement(model: BiGRU, texts: list[bytes], labels: np.ndarray) -> np.ndarray:
-    """Share of each text's (first 400) positions that the network labels as given."""
-    out = np.zeros(len(texts))
-    for s in range(0, len(texts), 256):
-        part = texts[s : s + 256]
-        n = min(400, max(map(len, part)))
-        x = np.full((n, len(part)), PAD, np.int64)
-        for b, t in enumerate(part):
-            x[: min(n, len(t)), b] = np.frombuffer(t[:n], np.uint8)
-        hit = model.logits(x).argmax(axis=-1) == labels[s : s + 256][None, :]
-        on = x != PAD
-        out[s : s + 256] = (hit & on).sum(axis=0) / np.maximum(1, on.sum(axis=0))
-    return out
+    """Share of each whole text's positions that the network labels as given."""
+    return np.array([(lp.argmax(axis=1) == k).mean() if len(lp) else 0.0 for lp, k in zip(label_positions(model, texts), labels)])
 
 
 def label_positions(model: BiGRU, texts: list[bytes]) -> list[np.ndarray]:
@@ -158,92 +152,141 @@ def label_positions(model: BiGRU, texts: list[bytes]) -> list[np.ndarray]:
     core = WINDOW - 2 * MARGIN
     jobs = []
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t)), core):
+        if len(t) <= WINDOW:
+            jobs.append((len(t), i, 0, 0, len(t), len(t)))
+            continue
+        for at in range(0, len(t), core):
             lo, hi = max(0, at - MARGIN), min(len(t), at + core + MARGIN)
-            jobs.append((hi - lo, i, at, lo, hi))
+            jobs.append((hi - lo, i, at, lo, hi, min(len(t), at + core)))
     jobs.sort()  # windows of like length run together
     out = [np.zeros((len(t), model.k), np.float32) for t in texts]
     for s in range(0, len(jobs), ROWS_AT_ONCE):
         part = jobs[s : s + ROWS_AT_ONCE]
         x = np.full((max(1, part[-1][0]), len(part)), PAD, np.int64)
-        for b, (_, i, _, lo, hi) in enumerate(part):
+        for b, (_, i, _, lo, hi, _) in enumerate(part):
             x[: hi - lo, b] = np.frombuffer(texts[i][lo:hi], np.uint8)
         lg = model.logits(x)
         lg -= lg.max(axis=-1, keepdims=True)
         lg -= np.log(np.exp(lg).sum(axis=-1, keepdims=True))
-        for b, (_, i, at, lo, _) in enumerate(part):
-            end = min(len(texts[i]), at + core)
+        for b, (_, i, at, lo, _, end) in enumerate(part):
             out[i][at:end] = lg[at - lo : end - lo, b]
     return out
 
 
-def segments(text: str, logp: np.ndarray) -> list[tuple[int, int, int, float, int]]:
-    """(first character, end, class, confidence, words) of each part in one language.
+class _Runs:
+    """Neighbouring words of one language, merged until none is doubtful.
+
+    The run with the fewest sure words goes first, from a heap; only what touches a
+    change is looked at again, so a text of n runs takes about n log n steps.
+    """
 
-    ``logp`` are the log-probabilities of the bytes of ``text``, which is in lower case.
+    def __init__(self, pooled: np.ndarray) -> None:
+        self.sure = np.concatenate([np.zeros((1, pooled.shape[1])), np.cumsum(np.exp(pooled), axis=0, dtype=float)])
+        self.logp = np.concatenate([np.zeros((1, pooled.shape[1])), np.cumsum(pooled, axis=0, dtype=float)])
+        k = pooled.argmax(axis=1)
+        edges = np.flatnonzero(np.diff(k)) + 1
+        self.a, self.b = [0, *edges.tolist()], [*edges.tolist(), len(k)]
+        self.k = [int(k[a]) for a in self.a]
+        n = len(self.a)
+        self.before, self.after = list(range(-1, n - 1)), [*range(1, n), -1]
+        self.stamp = [0] * n
+
+    def weight(self, i: int) -> float:
+        """Words of a run that are expected to be in its language; names and cut words are not sure."""
+        return float(self.sure[self.b[i], self.k[i]] - self.sure[self.a[i], self.k[i]])
+
+    def doubtful(self, i: int) -> bool:
+        n, expected = self.b[i] - self.a[i], self.weight(i)
+        return n < MIN_WORDS or expected < EXPECTED or expected <= n / 2
+
+    def near(self, i: int) -> list[int]:
+        return [j for j in (self.before[i], self.after[i]) if j >= 0]
+
+    def merged(self) -> list[tuple[int, int, int]]:
+        heap = [(self.weight(i), self.a[i], i, 0) for i in range(len(self.a))] if len(self.a) > 1 else []
+        heapq.heapify(heap)
+        while heap:
+            _, _, i, stamp = heapq.heappop(heap)
+            near = self.near(i)
+            if stamp != self.stamp[i] or not near or not self.doubtful(i):
+                continue
+            spoken = self.logp[self.b[i]] - self.logp[self.a[i]]
+            # a doubtful stretch joins the neighbour that its own words rather suggest
+            self.k[i] = self.k[max(near, key=lambda j: (not self.doubtful(j), spoken[self.k[j]]))]
+            for j in near:
+                if self.k[j] == self.k[i]:
+                    self._absorb(i, j)
+            for j in [i, *self.near(i)]:
+                self.stamp[j] += 1
+                heapq.heappush(heap, (self.weight(j), self.a[j], j, self.stamp[j]))
+        out, i = [], next(i for i in range(len(self.a)) if self.before[i] == -1 and self.stamp[i] >= 0)
+        while i >= 0:
+            out.append((self.a[i], self.b[i], self.k[i]))
+            i = self.after[i]
+        return out
+
+    def _absorb(self, i: int, j: int) -> None:
+        """Run j, next to i and of its language, becomes part of it."""
+        self.a[i], self.b[i] = min(self.a[i], self.a[j]), max(self.b[i], self.b[j])
+        if self.before[i] == j:
+            self.before[i] = self.before[j]
+            if self.before[i] >= 0:
+                self.after[self.before[i]] = i
+        else:
+            self.after[i] = self.after[j]
+            if self.after[i] >= 0:
+                self.before[self.after[i]] = i
+        self.stamp[j] = -1
+
+
+def segments(text: str, logp: np.ndarray) -> list[tuple[int, int, int, float, int, float]]:
+    """(first character, end, class, confidence, words, probability) of each part in one language.
+
+    ``logp`` are the log-probabilities of the bytes of ``text``, which is in lower case.  The
+    confidence is that of the part's own words, the probability that of its language over
+    all words of the text.
     """
-    words = [m for m in _WORD.finditer(text) if _LETTER.search(m.group())]
+    words = [m.span() for m in _WORD.finditer(text) if _LETTER.search(m.group())]
     if not words:
         return []
+    begins, ends = np.array(words).T
     if text.isascii():
-        at = None
+        b0, b1 = begins, ends
     else:
         at = np.zeros(len(text) + 1, np.int64)
-        at[1:] = np.cumsum([len(c.encode("utf-8", "replace")) for c in text])
-    begins = np.array([m.start() for m in words])
-    ends = np.array([m.end() for m in words])
-    b0, b1 = (begins, ends) if at is None else (at[begins], at[ends])
-    total = np.zeros((len(logp) + 1, logp.shape[1]))
-    np.cumsum(logp, axis=0, out=total[1:])
-    pooled = (total[b1] - total[b0]) / (b1 - b0)[:, None]  # mean log-probability per word
-    k = pooled.argmax(axis=1)
-    edges = np.flatnonzero(np.diff(k)) + 1
-    runs = [[int(a), int(b)] for a, b in zip([0, *edges], [*edges, len(k)])]
-    runs = [[a, b, int(k[a])] for a, b in runs]
-    sure = np.exp(pooled)
-
-    def weight(run: list[int]) -> float:
-        """Words of a run, each as far as it is sure; names and cut words are not."""
-        return float(sure[run[0] : run[1], run[2]].sum())
-
-    # a change counts as between clauses if one ends within a word or two of it
-    stops = [any(c in _STOPS for c in text[e - 1 : n]) for e, n in zip(ends[:-1], begins[1:])]
-    clause = [any(stops[max(0, j - 2) : j + 3]) for j in range(len(stops))]
-
-    def near(i: int) -> list[int]:
-        return [j for j in (i - 1, i + 1) if 0 <= j < len(runs)]
-
-    def doubtful(i: int) -> bool:
-        """Too few sure words, or a change of language within a clause on weak grounds."""
-        a, b, k = runs[i]
-        if weight(runs[i]) < MIN_WORDS - 0.4:
-            return True
-        inner = [j for j in near(i) if not clause[(a if j < i else b) - 1]]
-        return any(float((pooled[a:b, k] - pooled[a:b, runs[j][2]]).sum()) < INNER_GAIN for j in inner)
-
-    while len(runs) > 1:
-        weak = [j for j in range(len(runs)) if doubtful(j)]
-        if not weak:
-            break
-        i = min(weak, key=lambda j: (weight(runs[j]), j))
-        a, b, _ = runs[i]
-        # a doubtful stretch joins the neighbour that its own words rather suggest
-        j = max(near(i), key=lambda j: (weight(runs[j]) >= MIN_WORDS - 0.4, pooled[a:b, runs[j][2]].sum()))
-        runs[i][2] = runs[j][2]
-        joined: list[list[int]] = []
-        for r in runs:
-            if joined and joined[-1][2] == r[2]:
-                joined[-1][1] = r[1]
-            else:
-                joined.append(list(r))
-        runs = joined
+        at[1:] = np.cumsum(_widths(text))
+        b0, b1 = at[begins], at[ends]
+    # mean log-probability per word, from its own positions
+    spans = np.column_stack([b0, b1]).reshape(-1)
+    whole = np.add.reduceat(logp, spans if spans[-1] < len(logp) else spans[:-1], axis=0)[::2]
+    pooled = whole / (b1 - b0)[:, None]
+    sure, size = np.exp(pooled), b1 - b0
+    share = np.average(sure, axis=0, weights=size)
     out = []
-    for a, b, c in runs:
-        conf = float(np.average(sure[a:b, c], weights=(b1 - b0)[a:b]))
-        out.append((int(begins[a]), int(ends[b - 1]), c, conf, b - a))
+    for a, b, c in _Runs(pooled).merged():
+        conf = float(np.average(sure[a:b, c], weights=size[a:b]))
+        out.append((int(begins[a]), int(ends[b - 1]), c, conf, b - a, float(share[c])))
     return out
 
 
+def _widths(text: str) -> np.ndarray:
+    """Bytes of each character in UTF-8; lone surrogates are replaced by one byte."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where((code >= 0xD800) & (code < 0xE000), 1, np.array([1, 2, 3, 4])[np.searchsorted([0x80, 0x800, 0x10000], code, side="right")])
+
+
+def _pools(texts: pd.Series) -> Iterator[tuple[int, int]]:
+    """Slices of about POOL_BYTES characters; one text at least."""
+    at, size = 0, 0
+    for i, n in enumerate(texts.str.len()):
+        if i > at and size + n > POOL_BYTES:
+            yield at, i
+            at, size = i, 0
+        size += n
+    if at < len(texts):
+        yield at, len(texts)
+
+
 class LanguageLabels:
     """Trains on ``docs`` and labels documents; ``classes`` are language codes."""
 
@@ -253,12 +296,19 @@ class LanguageLabels:
         self.classes = sorted(sample["code"].unique())
         self.model = train(sample, self.classes, steps) if self.classes else None
 
+    @classmethod
+    def reusing(cls, codes: DataFrame, classes: list[str], frozen: dict) -> LanguageLabels:
+        """Labels by a network trained before (its ``classes`` and ``model.frozen()``)."""
+        new = cls.__new__(cls)
+        new.codes, new.classes, new.model = codes, classes, BiGRU.thaw(frozen)
+        return new
+
     def segments(self, docs: DataFrame, id_col: str, text: str, *keep: str) -> DataFrame:
-        """``doc_id, start_char, end_char, lang, confidence, n_words`` and kept columns."""
+        """``doc_id, start_char, end_char, lang, confidence, n_words, probability`` and kept columns."""
         kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("_text"), *keep)
         kept = kept.where("doc_id is not null and _text is not null").distinct()
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name not in ("doc_id", "_text"))
-        schema = "doc_id bigint, start_char int, end_char int, lang string, confidence double, n_words int" + (", " + kinds if kinds else "")
+        schema = "doc_id bigint, start_char int, end_char int, lang string, confidence double, n_words int, probability double" + (", " + kinds if kinds else "")
         if self.model is None:
             return docs.sparkSession.createDataFrame([], schema)
         sent = docs.sparkSession.sparkContext.broadcast((self.model.frozen(), self.classes))
@@ -268,25 +318,26 @@ class LanguageLabels:
             frozen, classes = sent.value
             model = BiGRU.thaw(frozen)
             for pdf in batches:
-                for s in range(0, len(pdf), 1000):
-                    part = pdf.iloc[s : s + 1000]
+                for lo, hi in _pools(pdf["_text"]):
+                    part = pdf.iloc[lo:hi]
                     raw = [lowered(t) for t in part["_text"]]
                     rows = []
                     for r, (t, lp) in enumerate(zip(raw, label_positions(model, [t.encode("utf-8", "replace") for t in raw]))):
                         rows += [(r, *x) for x in segments(t, lp)]
-                    got = pd.DataFrame(rows, columns=["r", "start_char", "end_char", "k", "confidence", "n_words"])
+                    got = pd.DataFrame(rows, columns=["r", "start_char", "end_char", "k", "confidence", "n_words", "probability"])
                     got["lang"] = [classes[k] for k in got["k"]]
                     src = part.iloc[got["r"].to_numpy(dtype=int)].reset_index(drop=True)
-                    out = pd.concat([src[["doc_id"]], got[["start_char", "end_char", "lang", "confidence", "n_words"]], src[names]], axis=1)
+                    out = pd.concat([src[["doc_id"]], got[["start_char", "end_char", "lang", "confidence", "n_words", "probability"]], src[names]], axis=1)
                     yield out.astype({"start_char": "int32", "end_char": "int32", "n_words": "int32"})
 
         return kept.mapInPandas(run, schema)
 
 
 def document_languages(found: DataFrame, *keep: str) -> DataFrame:
-    """``doc_id, lang, confidence, n_words`` pooled over a document's segments."""
+    """``doc_id, lang, confidence, probability, n_words`` of each document's languages: the
+    confidence of the words in the language, and its probability pooled over all words."""
     total = F.sum("n_words")
-    return found.groupBy("doc_id", "lang", *keep).agg((F.sum(F.col("confidence") * F.col("n_words")) / total).alias("confidence"), total.alias("n_words"))
+    return found.groupBy("doc_id", "lang", *keep).agg((F.sum(F.col("confidence") * F.col("n_words")) / total).alias("confidence"), F.max("probability").alias("probability"), total.alias("n_words"))
 
 
 def contradicted(found: DataFrame, codes: DataFrame, label: str) -> DataFrame:

@@ -64,7 +64,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's languages with pooled confidences."""
     found, _ = _segments(spark, sf_dir)
-    return langid.document_languages(found.drop("label").distinct()).withColumn("confidence", F.round("confidence", 6))
+    return langid.document_languages(found.drop("label").distinct()).withColumns({c: F.round(c, 6) for c in ("confidence", "probability")})
 
 
 QUERIES = {f.__name__: f for f in (p7_found, p7_packed, p7_containers, p8_found, p8_report, p8_selection, p9_found, p9_segments, p9_documents)}

@@ -77,6 +77,8 @@ def test_labels_documents_and_segments(spark, labels):
     assert got == {(2, "en"), (3, "en"), (3, "xx"), (7, "xx"), (8, "en"), (8, "xx")}
     for r in found.where("doc_id = 3").collect():
         assert 0 < r["confidence"] <= 1 and r["n_words"] == 9 and mixed[r["start_char"] : r["end_char"]].count(" ") == 8
+    again = langid.LanguageLabels.reusing(codes, model.classes, model.model.frozen()).segments(docs, "doc_id", "text", "label")
+    assert sorted(map(tuple, again.select("doc_id", "lang", "n_words").collect())) == sorted(map(tuple, found.select("doc_id", "lang", "n_words").collect()))
     per = {(r["doc_id"], r["lang"]): r["n_words"] for r in langid.document_languages(found).collect()}
     assert per[8, "xx"] == 12 and per[1, "en"] == 9
 
@@ -93,7 +95,7 @@ def test_bytes_and_characters_line_up():
     assert len(low) == len(text)
     logp = np.full((len(low.encode()), 2), -1.0)
     logp[:, 1] = -0.01
-    assert langid.segments(low, logp) == [(0, len(text), 1, pytest.approx(np.exp(-0.01)), 4)]
+    assert langid.segments(low, logp) == [(0, len(text), 1, pytest.approx(np.exp(-0.01)), 4, pytest.approx(np.exp(-0.01)))]
 
 
 def test_labels_do_not_depend_on_the_batch():
@@ -111,3 +113,58 @@ def test_held_out_accuracy(spark):
     held = [sentence(A if i % 2 == 0 else B, rng) for i in range(40)]
     hit = [lp.sum(axis=0).argmax() == i % 2 for i, lp in enumerate(langid.label_positions(model, [t.encode() for t in held]))]
     assert np.mean(hit) > 0.95
+
+
+def positions(text, stretches, sure=0.97):
+    """Log-probabilities of three classes: 0, but in the given (start, end) words class 1 or 2."""
+    p = np.full((len(text), 3), (1 - sure) / 2)
+    p[:, 0] = sure
+    at = [(m.start(), m.end()) for m in langid._WORD.finditer(text)]
+    for first, last, k in stretches:
+        p[at[first][0] : at[last - 1][1]] = [(sure if j == k else (1 - sure) / 2) for j in range(3)]
+    return np.log(p)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 9])
+@pytest.mark.parametrize("start", [0, 7, 25])
+def test_stretches_count_from_four_words_on(n, start):
+    text = " ".join(["word"] * 40)
+    got = langid.segments(text, positions(text, [(start, start + n, 1)]))
+    assert [(s[2], s[4]) for s in got] == ([(0, 40)] if n < 4 else [x for x in [(0, start), (1, n), (0, 40 - start - n)] if x[1]])
+
+
+def test_unsure_words_make_no_segment():
+    text = " ".join(["word"] * 40)
+    logp = positions(text, [])
+    some = positions(text, [(10, 18, 1)], sure=0.45)
+    logp[50:90] = some[50:90]
+    assert [s[2] for s in langid.segments(text, logp)] == [0]
+
+
+def test_probabilities_are_pooled_over_the_document():
+    text = " ".join(["word"] * 20)
+    got = langid.segments(text, positions(text, [(10, 20, 1)]))
+    assert [s[2] for s in got] == [0, 1] and all(s[3] == pytest.approx(0.97) for s in got)
+    assert got[0][5] == pytest.approx((0.97 + 0.015) / 2)
+
+
+def test_merging_is_fast_on_long_alternating_texts():
+    import time
+
+    text = " ".join(["word"] * 40_000)
+    logp = positions(text, [(i, i + 1, 1 + i % 2) for i in range(0, 40_000, 2)])
+    begin = time.time()
+    got = langid.segments(text, logp)
+    assert time.time() - begin < 20 and sum(s[4] for s in got) == 40_000
+
+
+def test_inference_equals_the_states_of_training():
+    m = BiGRU(3, seed=2)
+    x = np.random.default_rng(1).integers(0, 256, (30, 5))
+    x[20:, 1], x[3:, 4] = langid.PAD, langid.PAD
+    assert np.allclose(m._run(x), m._states(x, False)[0], atol=1e-5)
+
+
+def test_bytes_of_odd_characters():
+    text = "a\u00e9\u20ac\U0001f600\ud800b"
+    assert langid._widths(text).tolist() == [len(c.encode("utf-8", "replace")) for c in text]
