@@ -20,14 +20,17 @@ UNITS: list[tuple[str, str, float, float]] = [
     ("length", "yard yards", 9.144e8, 0.0),
     ("length", "m meter meters metre metres", 1e9, 0.0),
     ("length", "km kilometer kilometers kilometre kilometres", 1e12, 0.0),
-    ("time", "ns nanosecond nanoseconds", 1e-9, 0.0),
-    ("time", "us µs microsecond microseconds", 1e-6, 0.0),
-    ("time", "ms millisecond milliseconds", 1e-3, 0.0),
+    ("time", "ns", 1e-9, 0.0),
+    ("time", "us µs", 1e-6, 0.0),
+    ("time", "ms", 1e-3, 0.0),
     ("time", "s sec second seconds", 1.0, 0.0),
     ("time", "min minute minutes", 60.0, 0.0),
     ("time", "h hour hours", 3600.0, 0.0),
     ("time", "d day days", 86400.0, 0.0),
 ]
+#: Decimal prefixes and their powers of ten; seconds come with all of them.
+PREFIXES = {"yotta": 24, "zetta": 21, "exa": 18, "peta": 15, "tera": 12, "giga": 9, "mega": 6, "kilo": 3, "hecto": 2, "deca": 1, "deci": -1, "centi": -2, "milli": -3, "micro": -6, "nano": -9, "pico": -12, "femto": -15, "atto": -18, "zepto": -21, "yocto": -24}
+UNITS += [("time", f"{p}second {p}seconds", float(f"1e{e}"), 0.0) for p, e in PREFIXES.items()]
 NUMBER = r"[-+]?[0-9]+(?:[.,][0-9]+)?(?:[eE][-+]?[0-9]+)?"
 
 

@@ -25,8 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_T = "struct<name: string>"
-_NESTED = f"array<struct<name: string, axes: array<struct<name: string>>, datasets: array<struct<name: string, transforms: array<{_T}>>>, transforms: array<{_T}>>>"
+from chunkloom.session import cut
+
+_T = "struct<name: string, values: array<double>>"
+_NESTED = f"array<struct<name: string, axes: array<struct<name: string, type: string, unit: string>>, datasets: array<struct<name: string, transforms: array<{_T}>>>, transforms: array<{_T}>>>"
 
 
 def once(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
@@ -71,7 +73,13 @@ def _entries(v: Column, make) -> Column:
 
 
 def _transforms(v: Column) -> Column:
-    return _entries(_get(v, "$.coordinateTransformations"), lambda t: F.struct(_name(t, "type").alias("name")))
+    return _entries(_get(v, "$.coordinateTransformations"), lambda t: F.struct(_name(t, "type").alias("name"), _numbers(t).alias("values")))
+
+
+def _numbers(t: Column) -> Column:
+    """The numbers of a scale or translation; what is no number is null and keeps its place."""
+    of = F.coalesce(_real(_get(t, "$.scale")), _real(_get(t, "$.translation")))
+    return F.transform(_list(of), lambda v: F.when(~_is(v, "STRING"), _get(v, "$", "double")))
 
 
 def multiscales_of(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -85,7 +93,7 @@ def multiscales_of(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
 def nested_multiscales(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """``keys`` and the normalised multiscales of each readable document."""
     v = multiscales_of(docs, text, keys)
-    axis = lambda e: F.struct(F.when(_is(e, "STRING"), _get(e, "$", "string")).otherwise(_name(e, "name")).alias("name"))
+    axis = lambda e: F.struct(F.when(_is(e, "STRING"), _get(e, "$", "string")).otherwise(_name(e, "name")).alias("name"), *[_get(e, f"$.{m}", "string").alias(m) for m in ("type", "unit")])
     one = lambda m: F.struct(
         _name(m, "name").alias("name"),
         _entries(_get(m, "$.axes"), axis).alias("axes"),
@@ -127,18 +135,65 @@ def _plain(column: pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _flatten_batch(batch: pa.RecordBatch, keys: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _levels(batch: pa.RecordBatch, keys: list[str]) -> dict[str, list[Level]]:
+    """The levels of a batch by table; transforms hang on multiscales and on datasets."""
     at = {n: _plain(batch.column(i)) for i, n in enumerate(batch.schema.names)}
     top = Level(at["multiscales"], {k: at[k] for k in keys})
     m = top.child(at["multiscales"], "multiscale_pos")
     axes, sets = m.child(m.field("axes"), "item_pos"), m.child(m.field("datasets"), "item_pos")
-    tables = [("multiscale", m), ("axis", axes), ("dataset", sets), ("transform", m.child(m.field("transforms"), "transform_pos")), ("transform", sets.child(sets.field("transforms"), "transform_pos"))]
-    for kind, level in tables:
-        n = len(level.values)
-        if n:
-            minus = pa.array(_arange(n) * 0 - 1).cast(pa.int32())
-            cols = level.inherited | {"node_kind": pa.array([kind]).take(pa.array(_arange(n) * 0)), "node_name": level.field("name")}
-            yield pa.RecordBatch.from_arrays([cols.get(f.name, minus).cast(f.type) for f in schema], schema=schema)
+    steps = [m.child(m.field("transforms"), "transform_pos"), sets.child(sets.field("transforms"), "transform_pos")]
+    return {"multiscale": [m], "axis": [axes], "dataset": [sets], "transform": steps}
+
+
+def _flatten_batch(batch: pa.RecordBatch, keys: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for kind, levels in _levels(batch, keys).items():
+        for level in levels:
+            n = len(level.values)
+            if n:
+                minus = pa.array(_arange(n) * 0 - 1).cast(pa.int32())
+                cols = level.inherited | {"node_kind": pa.array([kind]).take(pa.array(_arange(n) * 0)), "node_name": level.field("name")}
+                yield pa.RecordBatch.from_arrays([cols.get(f.name, minus).cast(f.type) for f in schema], schema=schema)
+
+
+#: The related tables: level, then column -> (where it comes from, type).  Positions lead
+#: from a row to its parents.
+TABLES: dict[str, tuple[str, dict[str, tuple[str, str]]]] = {
+    "multiscales": ("multiscale", {"multiscale_pos": ("multiscale_pos", "int"), "name": ("name", "string")}),
+    "axes": ("axis", {"multiscale_pos": ("multiscale_pos", "int"), "axis_pos": ("item_pos", "int"), "name": ("name", "string"), "type": ("type", "string"), "unit": ("unit", "string")}),
+    "datasets": ("dataset", {"multiscale_pos": ("multiscale_pos", "int"), "dataset_pos": ("item_pos", "int"), "path": ("name", "string")}),
+    "transforms": ("transform", {"multiscale_pos": ("multiscale_pos", "int"), "dataset_pos": ("item_pos", "int"), "transform_pos": ("transform_pos", "int"), "type": ("name", "string")}),
+    "transform_values": ("transform", {"multiscale_pos": ("multiscale_pos", "int"), "dataset_pos": ("item_pos", "int"), "transform_pos": ("transform_pos", "int"), "value_pos": ("value_pos", "int"), "value": ("", "double")}),
+}
+
+
+def flat_tables(docs: DataFrame, text: str, key: str) -> dict[str, DataFrame]:
+    """The related tables of TABLES, each with ``key`` and the positions of its parents;
+    ``dataset_pos`` is -1 in a transform of the multiscale itself.
+
+    Documents are normalised once and written; every table is flattened from that.
+    """
+    nested = nested_multiscales(docs.select(key, text).distinct(), text, [key])
+    nested = cut(nested.select(F.col(key).cast("bigint").alias(key), "multiscales"), "nested")
+    return {name: _flat_table(nested, key, *TABLES[name]) for name in TABLES}
+
+
+def _flat_table(nested: DataFrame, key: str, level_name: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    kinds = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    schema = pa.schema([(key, pa.int64()), *[(n, kinds[t]) for n, (_, t) in columns.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for level in _levels(batch, [key])[level_name]:
+                if "value_pos" in columns:
+                    level = level.child(level.field("values"), "value_pos")
+                n = len(level.values)
+                if n:
+                    minus = pa.array(_arange(n) * 0 - 1).cast(pa.int32())
+                    source = lambda name: level.values if not name else level.inherited.get(name, minus) if name.endswith("_pos") else level.field(name)
+                    cols = [level.inherited[key], *[source(name) for name, _ in columns.values()]]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return nested.mapInArrow(run, f"`{key}` bigint, " + ", ".join(f"{n} {t}" for n, (_, t) in columns.items())).distinct()
 
 
 def flat_nodes(docs: DataFrame, text: str, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkloom.functions import units
 from chunkloom.operators import compaction, flatten, proximity, schema_drift, selection, unit_norm
 from chunkloom.session import cut, table
 
@@ -76,6 +77,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.flat_nodes(table(spark, sf_dir, "zarr3_metadata"), "zinfo", "rec_id")
 
 
+def _nested_table(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return flatten.flat_tables(table(spark, sf_dir, "zarr3_metadata"), "zinfo", "rec_id")[name]
+
+    query.__name__, query.__doc__ = f"p4_{name}", f"The table of {name.replace('_', ' ')}, with the positions of its parents."
+    return query
+
+
+p4_multiscales, p4_axes, p4_datasets, p4_transforms, p4_transform_values = map(_nested_table, flatten.TABLES)
+
+
 def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_norm.recordings(*[table(spark, sf_dir, n) for n in ("zarr2_axes", "zarr3_metadata", "sharded_info")])
 
@@ -104,7 +116,7 @@ def p6_shard_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.count("*").alias("n_chunks"), F.sum("n_bytes").cast("bigint").alias("n_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_label_quantiles, p1_fid_quantiles, p2_found, p3_found, p3_schema, p3_table, p3_numbers, p3_alternatives, p4_found, p5_found, p5_nanometers, p6_found, p6_shard_contents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_label_quantiles, p1_fid_quantiles, p2_found, p3_found, p3_schema, p3_table, p3_numbers, p3_alternatives, p4_found, p4_multiscales, p4_axes, p4_datasets, p4_transforms, p4_transform_values, p5_found, p5_nanometers, p6_found, p6_shard_contents)}
 
 _PAIRS = "pairs AS (SELECT DISTINCT label, fid FROM file_lookup WHERE label IS NOT NULL AND fid IS NOT NULL)"
 
@@ -144,6 +156,60 @@ fused AS (SELECT *, CASE WHEN len(kinds) > 1 THEN list_filter(kinds, lambda k: k
 tagged AS (SELECT file_id, layer_id, version_no, attributes, field_path, value, CASE kind WHEN 'BOOLEAN' THEN 'boolean' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null'
   ELSE concat(repeat('array<', depth), array_to_string(alternatives, '|'), repeat('>', depth)) END AS tag FROM fused)"""
 
+
+def _member(e: str, name: str, otherwise: str = "''") -> str:
+    """A scalar member of a JSON value as text."""
+    return f"CASE WHEN json_type({e}, '$.{name}') IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') THEN json_extract_string({e}, '$.{name}') ELSE {otherwise} END"
+
+
+def _unwrapped(e: str) -> str:
+    """A JSON value, parsed once more if it is a string."""
+    return f"CASE WHEN json_type({e}) <> 'VARCHAR' THEN {e} WHEN json_valid(json_extract_string({e}, '$')) THEN CAST(json_extract_string({e}, '$') AS JSON) END"
+
+
+def _children(parent: str, keys: str, member: str, pos: str) -> str:
+    """Entries of a member that is a list, or one value in place of a list, with their positions."""
+    lst = f"CASE WHEN json_type({member}) = 'ARRAY' THEN json_extract({member}, '$[*]') WHEN {member} IS NOT NULL AND json_type({member}) <> 'NULL' THEN [{member}] END"
+    return f"SELECT {keys}, CAST(i - 1 AS INTEGER) AS {pos}, l[i] AS e FROM (SELECT {keys}, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT {keys}, {lst} AS l FROM {parent}))"
+
+
+def _nested_sql(key: str) -> str:
+    """CTEs ms, ax, ds, tr, va: the levels of the readable documents."""
+    return f"""d AS (SELECT DISTINCT {key}, zinfo FROM zarr3_metadata WHERE json_valid(zinfo) AND json_type(zinfo) = 'OBJECT'),
+a AS (SELECT {key}, {_unwrapped("x")} AS a FROM (SELECT {key}, json_extract(zinfo, '$.attributes') AS x FROM d)), o AS (SELECT {key}, a, {_unwrapped("x")} AS o FROM (SELECT {key}, a, json_extract(a, '$.ome') AS x FROM a)),
+m AS (SELECT {key}, CASE WHEN coalesce(json_type(o, '$.multiscales'), 'NULL') <> 'NULL' THEN json_extract(o, '$.multiscales') ELSE json_extract(a, '$.multiscales') END AS m FROM o),
+ms AS (SELECT * FROM ({_children("m", key, "m", "multiscale_pos")}) WHERE json_type(e) <> 'NULL'),
+ax AS (SELECT * FROM ({_children("ms", key + ", multiscale_pos", "json_extract(e, '$.axes')", "item_pos")}) WHERE json_type(e) <> 'NULL'),
+ds AS (SELECT * FROM ({_children("ms", key + ", multiscale_pos", "json_extract(e, '$.datasets')", "item_pos")}) WHERE json_type(e) <> 'NULL'),
+tr AS (SELECT * FROM ({_children(f"(SELECT {key}, multiscale_pos, -1 AS item_pos, e FROM ms UNION ALL SELECT {key}, multiscale_pos, item_pos, e FROM ds)", key + ", multiscale_pos, item_pos", "json_extract(e, '$.coordinateTransformations')", "transform_pos")}) WHERE json_type(e) <> 'NULL'),
+va AS ({_children("tr", key + ", multiscale_pos, item_pos, transform_pos", "CASE WHEN coalesce(json_type(e, '$.scale'), 'NULL') <> 'NULL' THEN json_extract(e, '$.scale') ELSE json_extract(e, '$.translation') END", "value_pos")})"""
+
+
+_AXIS_NAME = f"CASE WHEN json_type(e) = 'VARCHAR' THEN json_extract_string(e, '$') ELSE {_member('e', 'name')} END"
+_NESTED = _nested_sql("rec_id")
+
+
+def _in_note(text: str, group: int) -> str:
+    """Of the first number with a unit in a text the number (1) or the unit (2); 0: the first unit alone."""
+    names = units._names("length")
+    pattern = rf"(?i)(?:^|[^\p{{L}}0-9.,])({units.NUMBER})\s*({names})(?:$|[^\p{{L}}])" if group else rf"(?i)(?:^|[^\p{{L}}])({names})(?:$|[^\p{{L}}])"
+    return f"regexp_extract({text}, '{pattern}', {group or 1})"
+
+
+_RECORDED = f"""{_NESTED}, alias AS (SELECT * FROM (VALUES {", ".join(f"('{a}', CAST({f!r} AS DOUBLE))" for a, f, _ in units.aliases("length"))}) AS t(alias, factor)),
+z2 AS (SELECT DISTINCT layer_id, mip, lower(trim(axis_name)) AS axis_name, nullif(trim(unit), '') AS stated, CASE WHEN NOT isnan(scale_value) THEN scale_value END AS v, note FROM zarr2_axes),
+r2 AS (SELECT layer_id, mip, axis_name, CASE WHEN v IS NULL AND stated IS NULL THEN TRY_CAST(replace({_in_note("note", 1)}, ',', '.') AS DOUBLE) ELSE v END AS value,
+  coalesce(stated, nullif(CASE WHEN v IS NULL THEN {_in_note("note", 2)} ELSE {_in_note("note", 0)} END, ''), 'nm') AS unit, 'zarr2' AS origin FROM z2),
+doc AS (SELECT DISTINCT rec_id, layer_id FROM zarr3_metadata),
+axis3 AS (SELECT rec_id, item_pos AS i, lower(trim(CASE WHEN json_type(e) = 'VARCHAR' THEN json_extract_string(e, '$') ELSE {_member("e", "name", "NULL")} END)) AS axis_name, {_member("e", "unit", "NULL")} AS unit FROM ax WHERE multiscale_pos = 0),
+step3 AS (SELECT rec_id, item_pos AS mip, arg_min(CAST(json_extract(e, '$.scale') AS VARCHAR), transform_pos) AS s FROM tr WHERE multiscale_pos = 0 AND item_pos >= 0 AND json_extract_string(e, '$.type') = 'scale' GROUP BY 1, 2),
+r3 AS (SELECT layer_id, mip, axis_name, TRY_CAST(json_extract_string(s, concat('$[', i, ']')) AS DOUBLE) AS value, coalesce(nullif(trim(unit), ''), 'nm') AS unit, 'zarr3' AS origin FROM step3 JOIN axis3 USING (rec_id) JOIN doc USING (rec_id)),
+sh AS (SELECT DISTINCT layer_id, mip, coalesce(resolution, CASE WHEN len(string_split(scale_key, '_')) = 3 THEN list_transform(string_split(scale_key, '_'), lambda t: TRY_CAST(t AS DOUBLE)) END) AS r, description FROM sharded_info),
+rs AS (SELECT layer_id, mip, unnest(['x', 'y', 'z']) AS axis_name, unnest([r[1], r[2], r[3]]) AS value, coalesce(nullif({_in_note("description", 0)}, ''), 'nm') AS unit, 'sharded' AS origin FROM sh),
+every AS (SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM rs),
+recorded AS (SELECT layer_id, mip, axis_name, value * factor AS nm, origin FROM every JOIN alias ON translate(lower(regexp_replace(unit, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g')), '\u03bc\u212b', '\u00b5\u00e5') = alias
+  WHERE axis_name IN ('x', 'y', 'z') AND value > 0 AND NOT isnan(value) AND value < CAST('infinity' AS DOUBLE) AND layer_id IS NOT NULL AND mip IS NOT NULL)"""
+
 _TEXTS = "texts AS (SELECT DISTINCT file_id, layer_id, version_no, attributes, field_path, tag, CASE WHEN tag = 'string' THEN json_extract_string(value, '$') ELSE value END AS txt FROM tagged)"
 
 ORACLE = {
@@ -177,6 +243,16 @@ s AS (SELECT id, x, y, z, gx + a.o AS gx, gy + b.o AS gy, gz + c.o AS gz FROM g,
 r AS (SELECT DISTINCT roi_id, least(x0, x1) x0, greatest(x0, x1) x1, least(y0, y1) y0, greatest(y0, y1) y1, least(z0, z1) z0, greatest(z0, z1) z1 FROM rois WHERE x0 + x1 + y0 + y1 + z0 + z1 IS NOT NULL)
 SELECT DISTINCT 'near' AS pair_kind, g.id AS left_id, s.id AS right_id FROM g JOIN s USING (gx, gy, gz) WHERE g.id < s.id AND (g.x - s.x) * (g.x - s.x) + (g.y - s.y) * (g.y - s.y) + (g.z - s.z) * (g.z - s.z) <= 14400
 UNION ALL SELECT DISTINCT 'inside', roi_id, id FROM p JOIN r ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1""",
+    "p4_found": f"""WITH {_NESTED} SELECT DISTINCT * FROM (SELECT rec_id, 'multiscale' AS node_kind, multiscale_pos, -1 AS item_pos, -1 AS transform_pos, {_member("e", "name")} AS node_name FROM ms
+UNION ALL SELECT rec_id, 'axis', multiscale_pos, item_pos, -1, {_AXIS_NAME} FROM ax UNION ALL SELECT rec_id, 'dataset', multiscale_pos, item_pos, -1, {_member("e", "path")} FROM ds
+UNION ALL SELECT rec_id, 'transform', multiscale_pos, item_pos, transform_pos, {_member("e", "type")} FROM tr)""",
+    "p4_multiscales": f"WITH {_NESTED} SELECT DISTINCT rec_id, multiscale_pos, {_member('e', 'name')} AS name FROM ms",
+    "p4_axes": f"WITH {_NESTED} SELECT DISTINCT rec_id, multiscale_pos, item_pos AS axis_pos, {_AXIS_NAME} AS name, {_member('e', 'type', 'NULL')} AS type, {_member('e', 'unit', 'NULL')} AS unit FROM ax",
+    "p4_datasets": f"WITH {_NESTED} SELECT DISTINCT rec_id, multiscale_pos, item_pos AS dataset_pos, {_member('e', 'path')} AS path FROM ds",
+    "p4_transforms": f"WITH {_NESTED} SELECT DISTINCT rec_id, multiscale_pos, item_pos AS dataset_pos, transform_pos, {_member('e', 'type')} AS type FROM tr",
+    "p4_transform_values": f"WITH {_NESTED} SELECT DISTINCT rec_id, multiscale_pos, item_pos AS dataset_pos, transform_pos, value_pos, CAST(e AS DOUBLE) AS value FROM va WHERE json_type(e) IN ('UBIGINT', 'BIGINT', 'DOUBLE')",
+    "p5_found": f"WITH {_RECORDED} SELECT layer_id, CAST(mip AS INTEGER) AS mip, axis_name FROM recorded GROUP BY ALL HAVING max(nm) > min(nm) * 1.01",
+    "p5_nanometers": f"WITH {_RECORDED} SELECT DISTINCT layer_id, CAST(mip AS INTEGER) AS mip, axis_name, origin, round(nm, 6) AS size_nm FROM recorded",
     "p6_found": _CHUNK_SQL + "SELECT DISTINCT layer_id, mip, CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy, CAST(gz AS INT) AS gz, shard FROM chunks",
     "p6_shard_contents": _CHUNK_SQL
     + """, kept AS (SELECT layer_id, mip, gx, gy, gz, shard, n_bytes, row_number() OVER (PARTITION BY layer_id, mip, gx, gy, gz ORDER BY written_at DESC NULLS LAST, file_id DESC, n_bytes DESC) AS rn FROM chunks)

@@ -68,3 +68,21 @@ def test_disagreements(spark):
     r = spark.createDataFrame([(1, 0, "x", 100.0), (1, 0, "x", 101.0), (2, 0, "x", 100.0), (2, 0, "x", 101.1), (3, 0, "x", 1.0)], "layer_id bigint, mip int, axis_name string, common_value double")
     assert [x["layer_id"] for x in unit_norm.disagreements(r).collect()] == [2]
     assert unit_norm.disagreements(r.where(F.lit(False))).count() == 0
+
+
+def test_flat_tables_keep_their_parents(spark):
+    ms = [{"name": "m", "axes": [{"name": "x", "type": "space", "unit": "nm"}, "y"], "datasets": [None, {"path": "a", "coordinateTransformations": [{"type": "scale", "scale": [4, None, "5", 2.5]}, {"type": "translation", "translation": 7}]}], "coordinateTransformations": {"type": "identity"}}]
+    rows = [(1, json.dumps({"attributes": {"multiscales": ms}})), (1, json.dumps({"attributes": {"multiscales": ms}})), (2, "no"), (None, None)]
+    got = {n: {tuple(r) for r in t.collect()} for n, t in flatten.flat_tables(docs(spark, rows), "zinfo", "rec_id").items()}
+    assert got == {
+        "multiscales": {(1, 0, "m")}, "axes": {(1, 0, 0, "x", "space", "nm"), (1, 0, 1, "y", None, None)}, "datasets": {(1, 0, 1, "a")},
+        "transforms": {(1, 0, 1, 0, "scale"), (1, 0, 1, 1, "translation"), (1, 0, -1, 0, "identity")}, "transform_values": {(1, 0, 1, 0, 0, 4.0), (1, 0, 1, 0, 3, 2.5), (1, 0, 1, 1, 0, 7.0)},
+    }
+    assert all(t.count() == 0 for t in flatten.flat_tables(docs(spark, []), "zinfo", "rec_id").values())
+
+
+def test_seconds_come_with_all_prefixes():
+    from chunkloom.functions import units
+
+    known = {a: f for a, f, _ in units.aliases("time")}
+    assert known["yottasecond"] == 1e24 and known["zeptosecond"] == 1e-21 and known["hectoseconds"] == 100 and known["millisecond"] == 1e-3 and known["day"] == 86400
