@@ -23,7 +23,7 @@ def token_count(text: Column, model: str = MODEL) -> Column:
         for texts in batches:
             yield pd.Series([len(x) for x in sp.encode(texts.fillna("").tolist(), num_threads=1)], dtype="int64")
 
-    return count(text)
+    return count.asNondeterministic()(text)  # not to be evaluated again for a filter on the counts
 
 
 def sized(docs: DataFrame, id_col: str, text: str, *keep: str, model: str = MODEL) -> DataFrame:
