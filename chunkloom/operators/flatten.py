@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 
 from chunkloom.session import cut
 
-_T = "struct<name: string, values: array<double>>"
-_NESTED = f"array<struct<name: string, axes: array<struct<name: string, type: string, unit: string>>, datasets: array<struct<name: string, transforms: array<{_T}>>>, transforms: array<{_T}>>>"
+
+def _shape(full: bool) -> str:
+    """The nested shape that documents are normalised to; ``full`` with all columns of TABLES."""
+    t = "struct<name: string" + (", values: array<double>>" if full else ">")
+    axis = "struct<name: string" + (", type: string, unit: string>" if full else ">")
+    return f"array<struct<name: string, axes: array<{axis}>, datasets: array<struct<name: string, transforms: array<{t}>>>, transforms: array<{t}>>>"
 
 
 def once(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
@@ -72,8 +76,8 @@ def _entries(v: Column, make) -> Column:
     return F.transform(_list(v), lambda e: F.when(_real(e).isNotNull(), make(e)))
 
 
-def _transforms(v: Column) -> Column:
-    return _entries(_get(v, "$.coordinateTransformations"), lambda t: F.struct(_name(t, "type").alias("name"), _numbers(t).alias("values")))
+def _transforms(v: Column, full: bool) -> Column:
+    return _entries(_get(v, "$.coordinateTransformations"), lambda t: F.struct(_name(t, "type").alias("name"), *([_numbers(t).alias("values")] if full else [])))
 
 
 def _numbers(t: Column) -> Column:
@@ -90,17 +94,17 @@ def multiscales_of(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return once(v, keys, _m=F.coalesce(_real(_get(F.col("_o"), "$.multiscales")), F.col("_n"))).where("_m is not null")
 
 
-def nested_multiscales(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
+def nested_multiscales(docs: DataFrame, text: str, keys: list[str], full: bool = True) -> DataFrame:
     """``keys`` and the normalised multiscales of each readable document."""
     v = multiscales_of(docs, text, keys)
-    axis = lambda e: F.struct(F.when(_is(e, "STRING"), _get(e, "$", "string")).otherwise(_name(e, "name")).alias("name"), *[_get(e, f"$.{m}", "string").alias(m) for m in ("type", "unit")])
+    axis = lambda e: F.struct(F.when(_is(e, "STRING"), _get(e, "$", "string")).otherwise(_name(e, "name")).alias("name"), *[_get(e, f"$.{m}", "string").alias(m) for m in ("type", "unit") if full])
     one = lambda m: F.struct(
         _name(m, "name").alias("name"),
         _entries(_get(m, "$.axes"), axis).alias("axes"),
-        _entries(_get(m, "$.datasets"), lambda d: F.struct(_name(d, "path").alias("name"), _transforms(d).alias("transforms"))).alias("datasets"),
-        _transforms(m).alias("transforms"),
+        _entries(_get(m, "$.datasets"), lambda d: F.struct(_name(d, "path").alias("name"), _transforms(d, full).alias("transforms"))).alias("datasets"),
+        _transforms(m, full).alias("transforms"),
     )
-    return v.select(*keys, _entries(F.col("_m"), one).cast(_NESTED).alias("multiscales"))
+    return v.select(*keys, _entries(F.col("_m"), one).cast(_shape(full)).alias("multiscales"))
 
 
 class Level:
@@ -198,7 +202,7 @@ def _flat_table(nested: DataFrame, key: str, level_name: str, columns: dict[str,
 
 def flat_nodes(docs: DataFrame, text: str, key: str) -> DataFrame:
     """``key, node_kind, multiscale_pos, item_pos, transform_pos, node_name``."""
-    nested = nested_multiscales(docs.select(key, text).distinct(), text, [key])
+    nested = nested_multiscales(docs.select(key, text).distinct(), text, [key], full=False)
     schema = pa.schema([(key, pa.int64()), ("node_kind", pa.string()), ("multiscale_pos", pa.int32()), ("item_pos", pa.int32()), ("transform_pos", pa.int32()), ("node_name", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

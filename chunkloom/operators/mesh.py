@@ -149,14 +149,115 @@ def components(vertices: DataFrame, edges: DataFrame, most: int = 64) -> DataFra
     raise RuntimeError("components did not settle")
 
 
-def thin_paths(vertices: DataFrame, edges: DataFrame, every: int) -> DataFrame:
-    """Vertices kept when paths numbered in vertex order are thinned: each ``every``-th,
-    and always ends and joints."""
+def path_positions(vertices: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+    """``segid, start, first, vid, pos, length``: the vertices along each path.
+
+    Paths lead from end or joint to end or joint (degree other than 2) over vertices of
+    degree 2; they begin at the smaller of both, ``first`` is the vertex after it.  A ring
+    without joints begins at its smallest vertex.  Ends and joints are in all their paths;
+    vertices without edges are in none.
+
+    Places are found by pointer doubling over directed edges, so rounds grow with the
+    logarithm of the longest path and no path is gathered.  Each round's table is written.
+    """
+    e = cut(consolidate_edges(edges), "edges")
+    deg = cut(degrees(e), "degrees")
+    comp = components(deg.select("segid", "vid"), e, most)
+    ring = deg.join(comp, ["segid", "vid"]).groupBy("segid", "component").agg(F.max(F.abs(F.col("degree") - 2)).alias("_d")).where("_d = 0")
+    ends = deg.where("degree <> 2").select("segid", "vid").unionByName(ring.select("segid", F.col("component").alias("vid"))).withColumn("is_end", F.lit(True))
+    darts = e.unionByName(e.select("segid", F.col("b").alias("a"), F.col("a").alias("b")))
+    darts = darts.join(ends.withColumnRenamed("vid", "b"), ["segid", "b"], "left").join(ends.select("segid", F.col("vid").alias("a"), F.col("is_end").alias("from_end")), ["segid", "a"], "left")
+    darts = cut(darts.select("segid", "a", "b", F.coalesce("is_end", F.lit(False)).alias("is_end"), F.coalesce("from_end", F.lit(False)).alias("from_end")), "darts")
+    # a dart goes on from b to the neighbour that is not a
+    on = darts.where("not from_end").select("segid", F.col("a").alias("b"), F.col("b").alias("c"))
+    go = darts.where("not is_end").join(on, ["segid", "b"]).where("a <> c").select("segid", "a", "b", "c")
+    at = darts.join(go, ["segid", "a", "b"], "left").select("segid", "a", "b", "from_end", F.lit(1).cast("bigint").alias("n"), F.col("b").alias("end"), F.col("a").alias("last"), F.when(F.col("c").isNotNull(), F.struct(F.col("b").alias("a"), F.col("c").alias("b"))).alias("next"))
+    for _ in range(most):
+        at = cut(at, "paths")
+        if at.where("next is not null").isEmpty():
+            break
+        far = at.select("segid", F.struct("a", "b").alias("next"), F.col("n").alias("_n"), F.col("end").alias("_end"), F.col("last").alias("_last"), F.col("next").alias("_next"))
+        at = at.join(far, ["segid", "next"], "left").select("segid", "a", "b", "from_end", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.coalesce("_end", "end").alias("end"), F.when(F.col("_end").isNull(), F.col("last")).otherwise(F.col("_last")).alias("last"), F.col("_next").alias("next"))
+    else:
+        raise RuntimeError("paths did not settle")
+    end = F.struct(F.col("end").alias("start"), F.col("last").alias("first"))
+    # an end sees its path from one dart, an inner vertex from two
+    own = F.struct(F.col("a").alias("start"), F.col("b").alias("first"))
+    outer = at.where("from_end").select("segid", F.least(own, end).alias("path"), F.col("a").alias("vid"), F.when(own <= end, F.lit(0).cast("bigint")).otherwise(F.col("n")).alias("pos"), F.col("n").alias("length")).distinct()
+    inner = at.where("not from_end").groupBy("segid", F.col("a").alias("vid")).agg(F.min(F.struct(end.alias("path"), F.col("n").alias("pos"))).alias("m"), F.sum("n").alias("length"))
+    rows = outer.unionByName(inner.select("segid", "m.path", "vid", "m.pos", "length"))
+    return rows.select("segid", "path.start", "path.first", "vid", "pos", "length")
+
+
+PATH = ["segid", "start", "first"]
+
+
+def thin_paths(vertices: DataFrame, edges: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges when every ``every``-th vertex of a path is kept, counted from
+    its begin, and always ends and joints."""
     if every < 1 or int(every) != every:
         raise ValueError("a positive whole number")
-    pos = F.row_number().over(Window.partitionBy("segid").orderBy("vid")) - 1
-    rows = vertices.withColumn("_pos", pos).join(degrees(edges), ["segid", "vid"])
-    return rows.where((F.col("degree") != 2) | (F.col("_pos") % int(every) == 0)).select("segid", "vid", *POS)
+    kept = cut(path_positions(vertices, edges).where((F.col("pos") % int(every) == 0) | (F.col("pos") == F.col("length"))), "kept")
+    # the kept vertex before: one step back to the last multiple
+    step = F.when(F.col("pos") % int(every) == 0, F.col("pos") - int(every)).otherwise(F.col("pos") - F.col("pos") % int(every))
+    back = kept.where("pos > 0").withColumn("pos", step).withColumnRenamed("vid", "b").join(kept.select(*PATH, "pos", F.col("vid").alias("a")), [*PATH, "pos"])
+    return vertices.join(kept.select("segid", "vid").distinct(), ["segid", "vid"], "left_semi"), consolidate_edges(back.select("segid", "a", "b"))
+
+
+def smooth_paths(vertices: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """Vertices at the mean of ``n`` neighbours along their path (fewer near its ends); ends
+    and joints stay, and so do vertices without edges."""
+    if n < 1 or int(n) != n:
+        raise ValueError("a positive whole number")
+    rows = path_positions(vertices, edges).join(vertices, ["segid", "vid"])
+    # each position is handed to the places that it counts for
+    near = F.sequence(F.greatest(F.col("pos") - (n - 1) // 2, F.lit(0)), F.least(F.col("pos") + n // 2, F.col("length")))
+    means = rows.select(*PATH, "length", F.explode(near).alias("pos"), *POS).groupBy(*PATH, "pos").agg(*[F.avg(c).alias(f"_{c}") for c in POS])
+    inner = rows.where("pos > 0 and pos < length").select(*PATH, "pos", "vid").join(means, [*PATH, "pos"]).select("segid", "vid", *[f"_{c}" for c in POS])
+    return vertices.join(inner, ["segid", "vid"], "left").select("segid", "vid", *[F.coalesce(f"_{c}", c).alias(c) for c in POS])
+
+
+def renumbered_skeletons(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices numbered from 0 in their order, without those that no edge touches, and their edges."""
+    kept = connected_vertices(vertices, edges)
+    kept = cut(kept.withColumn("new_vid", (F.row_number().over(Window.partitionBy("segid").orderBy("vid")) - 1).cast("bigint")), "kept")
+    return kept.select("segid", F.col("new_vid").alias("vid"), *POS), _renumbered(edges, kept.select("segid", "vid", "new_vid"), ["a", "b"])
+
+
+def crop_skeletons(vertices: DataFrame, edges: DataFrame, box: Corners) -> tuple[DataFrame, DataFrame]:
+    """Vertices inside (faces of the box included) and the edges between them."""
+    kept = vertices.where(Box.of(*box).contains_point([F.col(c) for c in POS]))
+    ids = kept.select("segid", "vid")
+    both = edges.join(ids.withColumnRenamed("vid", "a"), ["segid", "a"], "left_semi").join(ids.withColumnRenamed("vid", "b"), ["segid", "b"], "left_semi")
+    return kept, both.select("segid", "a", "b")
+
+
+def merge_skeletons(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fragments of a segment (``frag``, ids from 0 within each) as one skeleton, unconnected.
+
+    Further columns of the vertices are carried over; all fragments share them, being columns.
+    """
+    n = vertices.groupBy("segid", "frag").agg((F.max("vid") + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("segid").orderBy("frag").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = n.select("segid", "frag", before.cast("bigint").alias("_s"))
+    extra = [c for c in vertices.columns if c not in ("segid", "frag", "vid")]
+    v = vertices.join(shift, ["segid", "frag"]).select("segid", (F.col("vid") + F.col("_s")).alias("vid"), *extra)
+    return v, edges.join(shift, ["segid", "frag"]).select("segid", *[(F.col(c) + F.col("_s")).alias(c) for c in "ab"])
+
+
+def equivalent(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``segid, is_equivalent``: whether both sides have the same places and the same edges
+    between places, whatever the numbers of vertices and the directions of edges."""
+
+    def told(v: DataFrame, e: DataFrame) -> DataFrame:
+        place = F.struct(*POS)
+        points = v.select("segid", place.alias("p"), F.lit(None).cast("struct<x: double, y: double, z: double>").alias("q"))
+        end = lambda c: v.select("segid", F.col("vid").alias(c), place.alias(f"_{c}"))
+        pairs = e.join(end("a"), ["segid", "a"]).join(end("b"), ["segid", "b"]).select("segid", F.least("_a", "_b").alias("p"), F.greatest("_a", "_b").alias("q"))
+        return points.unionByName(pairs).distinct()
+
+    both = told(*a).withColumn("_side", F.lit(1)).unionByName(told(*b).withColumn("_side", F.lit(2)))
+    return both.groupBy("segid", "p", "q").agg(F.count("*").alias("_n")).groupBy("segid").agg((F.min("_n") == 2).alias("is_equivalent"))
 
 
 def smoothed(rows: DataFrame, key: str, order: str, value: str, half: int) -> DataFrame:

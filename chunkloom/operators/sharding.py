@@ -79,6 +79,56 @@ class Spec:
         return minishard, self.shard_name(shard)
 
 
+def assemble_meshes(spec: Spec, groups: dict[int, dict[int, tuple[bytes, bytes]]]) -> bytes:
+    """A shard file of multi-resolution meshes from ``{minishard: {label: (data, manifest)}}``.
+
+    The index names manifests only; a mesh's data lie right before its manifest, in the gap
+    that the index leaves.  Manifests are packed as the layout says, data never.
+    """
+    data, tables = bytearray(), {}
+    for m in sorted(groups):
+        labels = sorted(groups[m])
+        if not labels:
+            continue
+        table = np.zeros((3, len(labels)), dtype="<u8")
+        table[0] = np.diff(np.array(labels, dtype=np.uint64), prepend=np.uint64(0))
+        table[1, 0] = len(data)
+        for k, x in enumerate(labels):
+            body, manifest = groups[m][x][0], _pack(groups[m][x][1], spec.data_encoding)
+            table[1, k] += len(body)
+            table[2, k] = len(manifest)
+            data += body + manifest
+        tables[m] = _pack(table.tobytes(), spec.minishard_index_encoding)
+    return _with_index(spec, bytes(data), tables)
+
+
+def disassemble_meshes(spec: Spec, shard: bytes, data_bytes) -> dict[int, tuple[bytes, bytes]]:
+    """``{label: (data, manifest)}``; ``data_bytes`` tells from a manifest how long its data are."""
+    out = {}
+    for _, x, o, s in entries(spec, shard):
+        manifest = _unpack(shard[o : o + s], spec.data_encoding)
+        out[x] = (shard[o - data_bytes(manifest) : o], manifest)
+    return out
+
+
+def insert_mesh(spec: Spec, shard: bytes, label: int, data: bytes, manifest: bytes, data_bytes) -> bytes:
+    """The shard with one mesh added or replaced."""
+    groups: dict[int, dict[int, tuple[bytes, bytes]]] = {}
+    for x, pair in (disassemble_meshes(spec, shard, data_bytes) | {label: (data, manifest)}).items():
+        groups.setdefault(spec.locate(x)[0], {})[x] = pair
+    return assemble_meshes(spec, groups)
+
+
+def _with_index(spec: Spec, data: bytes, tables: dict[int, bytes]) -> bytes:
+    """The file around its data: fixed index in front, minishard indices behind."""
+    fixed, tail, at = np.zeros((1 << spec.minishard_bits, 2), dtype="<u8"), bytearray(), len(data)
+    for m, t in tables.items():
+        fixed[m] = at, at + len(t)
+        at += len(t)
+        tail += t
+    return fixed.tobytes() + data + bytes(tail)
+
+
 def _pack(data: bytes, encoding: str) -> bytes:
     return gzip.compress(data, mtime=0) if encoding == "gzip" else data
 
@@ -101,12 +151,7 @@ def assemble(spec: Spec, groups: dict[int, dict[int, bytes]]) -> bytes:
         table[2] = [len(p) for p in packed]
         data += b"".join(packed)
         tables[m] = _pack(table.tobytes(), spec.minishard_index_encoding)
-    fixed, tail, at = np.zeros((1 << spec.minishard_bits, 2), dtype="<u8"), bytearray(), len(data)
-    for m, t in tables.items():
-        fixed[m] = at, at + len(t)
-        at += len(t)
-        tail += t
-    return fixed.tobytes() + bytes(data) + bytes(tail)
+    return _with_index(spec, bytes(data), tables)
 
 
 def entries(spec: Spec, shard: bytes) -> Iterator[tuple[int, int, int, int]]:

@@ -255,6 +255,113 @@ def _meshes(spark, sf_dir):
     return objects.decode_meshes(_through_shards(objects.mesh_payloads(*_lines(spark, sf_dir))))
 
 
+_BODIES = """w AS (SELECT l_suppkey AS segid, l_returnflag AS frag, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS vid, CAST(l_partkey % 64 AS DOUBLE) AS x, CAST(l_orderkey % 32 AS DOUBLE) AS y, CAST(l_linenumber AS DOUBLE) AS z FROM lineitem)"""
+
+
+def _bodies(spark, sf_dir):
+    """A mesh for each supplier: its lines as vertices, each three neighbouring ones as a face."""
+    from pyspark.sql.window import Window
+
+    t = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    v = t.select(F.col("l_suppkey").alias("segid"), (F.row_number().over(w) - 1).cast("bigint").alias("vid"), (F.col("l_partkey") % 64).cast("double").alias("x"), (F.col("l_orderkey") % 32).cast("double").alias("y"), F.col("l_linenumber").cast("double").alias("z"))
+    v = cut(v, "bodies")
+    f = v.where("vid >= 2").select("segid", (F.col("vid") - 2).alias("v1"), (F.col("vid") - 1).alias("v2"), F.col("vid").alias("v3"))
+    path = layers.local(fresh_path(spark, "meshes"))
+    objects.write_meshes(v, f, path)
+    return path, v
+
+
+@query(f"WITH {_BODIES} SELECT segid, vid, x, y, z FROM w WHERE segid % 3 = 0")
+def mesh_directory(spark, sf_dir):
+    """Meshes as manifests and fragments in a folder; those asked for are read back."""
+    path, v = _bodies(spark, sf_dir)
+    got, _ = objects.read_meshes(spark, path, v.where("segid % 3 = 0").select("segid"))
+    return got.select("segid", "vid", *[F.col(c).cast("double").alias(c) for c in XYZ])
+
+
+@query(f"WITH {_BODIES} SELECT segid, vid - 2 AS v1, vid - 1 AS v2, vid AS v3 FROM w WHERE vid >= 2")
+def mesh_directory_faces(spark, sf_dir):
+    return objects.read_meshes(spark, _bodies(spark, sf_dir)[0])[1].select("segid", "v1", "v2", "v3")
+
+
+@query(f"WITH {_BODIES}, s AS (SELECT DISTINCT segid FROM w) SELECT c_custkey AS segid, s.segid IS NOT NULL AS is_stored FROM customer LEFT JOIN s ON s.segid = c_custkey")
+def mesh_exists(spark, sf_dir):
+    return objects.mesh_exists(table(spark, sf_dir, "customer").select("c_custkey"), _bodies(spark, sf_dir)[0])
+
+
+@query(f"WITH {_BODIES} SELECT DISTINCT segid FROM w WHERE segid % 2 = 1")
+def mesh_delete(spark, sf_dir):
+    """What is left after the meshes of even numbers were deleted."""
+    path, v = _bodies(spark, sf_dir)
+    objects.delete_meshes(v.where("segid % 2 = 0").select("segid"), path)
+    return objects.read_meshes(spark, path)[0].select("segid").distinct()
+
+
+_LODS = "g AS (SELECT l_suppkey AS segid, l_linenumber % 3 AS lod, l_partkey % 5 AS px, l_orderkey % 3 AS py, l_linenumber // 3 AS pz, CAST(count(*) AS VARCHAR) AS payload FROM lineitem GROUP BY 1, 2, 3, 4, 5)"
+
+
+def _lods(spark, sf_dir):
+    """Encoded fragments in three levels of detail for each supplier."""
+    t = table(spark, sf_dir, "lineitem")
+    g = t.groupBy(F.col("l_suppkey").alias("segid"), (F.col("l_linenumber") % 3).cast("int").alias("lod"), (F.col("l_partkey") % 5).alias("px"), (F.col("l_orderkey") % 3).alias("py"), F.floor(F.col("l_linenumber") / 3).alias("pz"))
+    g = g.agg(F.encode(F.count("*").cast("string"), "utf-8").alias("payload"))
+    return cut(objects.pack_lods(g, (64, 64, 64), (0, 0, 0)), "lods")
+
+
+def _level_rows(rows):
+    return rows.select("segid", "px", "py", "pz", F.decode("payload", "utf-8").alias("payload"))
+
+
+@query(f"WITH {_LODS} SELECT segid, px, py, CAST(pz AS BIGINT) AS pz, payload FROM g WHERE lod = 1")
+def mesh_lod_files(spark, sf_dir):
+    """One level of detail of meshes in files: manifests, then the level's byte range."""
+    items, path = _lods(spark, sf_dir), layers.local(fresh_path(spark, "lods"))
+    objects.write_lods(items, path)
+    return _level_rows(objects.read_lods(items.select("label"), path, 1))
+
+
+_LOD_SPEC = Spec(0, 3, 2, "murmurhash3_x86_128")
+
+
+@query(f"WITH {_LODS}, m AS (SELECT segid, max(lod) AS lod FROM g GROUP BY 1) SELECT segid, px, py, CAST(pz AS BIGINT) AS pz, payload FROM g JOIN m USING (segid, lod)")
+def mesh_lod_sharded(spark, sf_dir):
+    """The coarsest level of meshes in shard files; numbers without a mesh are allowed."""
+    items, path = _lods(spark, sf_dir), layers.local(fresh_path(spark, "lods"))
+    objects.write_lod_shards(items, path, _LOD_SPEC)
+    asked = items.select("label").unionByName(spark.range(10).select((-F.col("id") - 1).alias("label")))
+    return _level_rows(objects.read_lods(asked, path, -1, allow_missing=True, spec=_LOD_SPEC))
+
+
+@query(f"WITH {_LODS}, o AS (SELECT segid, lod, px, py, pz, length(payload) AS size FROM g) SELECT segid, lod, count(*) AS n_fragments, CAST(sum(size) AS BIGINT) AS n_bytes FROM o GROUP BY 1, 2")
+def mesh_lod_manifests(spark, sf_dir):
+    """Fragments and bytes of each level, from the manifests alone."""
+    path = layers.local(fresh_path(spark, "lods"))
+    objects.write_lods(_lods(spark, sf_dir), path)
+    return objects.lod_fragments(spark, path).groupBy("segid", "lod").agg(F.count("*").alias("n_fragments"), F.sum("size").alias("n_bytes"))
+
+
+_THREADS = "t AS (SELECT l_suppkey AS segid, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS vid FROM lineitem)"
+
+
+def _threads(spark, sf_dir):
+    _, v = _bodies(spark, sf_dir)
+    path = layers.local(fresh_path(spark, "skeletons"))
+    objects.write_skeletons(v, v.where("vid >= 1").select("segid", (F.col("vid") - 1).alias("a"), F.col("vid").alias("b")), path)
+    return path
+
+
+@query(f"WITH {_THREADS} SELECT segid, vid - 1 AS a, vid AS b FROM t WHERE vid >= 1")
+def skeleton_directory(spark, sf_dir):
+    """Skeletons in a folder, one object each, read back."""
+    return objects.read_skeletons(spark, _threads(spark, sf_dir))[1]
+
+
+@query(f"WITH {_THREADS} SELECT DISTINCT segid FROM t")
+def skeleton_list(spark, sf_dir):
+    return objects.list_skeletons(spark, _threads(spark, sf_dir))
+
+
 def _through_shards(items):
     spec = Spec(0, 4, 4, "murmurhash3_x86_128")
     back = sharding.shard_entries(cut(sharding.shard_files(items, spec), "shards"), spec)

@@ -248,6 +248,75 @@ def agglomerate_cutout(spark, sf_dir):
     return graph.with_roots(v, graph.roots(v, _edges(spark, sf_dir), BITS, 3, 4))
 
 
+_TIMED = f"""o AS (SELECT {_ONE} + o_orderkey + 1 AS child, {2 * _ONE} + o_custkey + 1 AS parent FROM orders WHERE o_orderdate <= TIMESTAMP '1995-06-17 00:00:00'),
+c AS (SELECT {2 * _ONE} + c_custkey + 1 AS child, {3 * _ONE} + c_nationkey + 1 AS parent FROM customer), n AS (SELECT {3 * _ONE} + n_nationkey + 1 AS child, {4 * _ONE} + n_regionkey + 1 AS parent FROM nation)"""
+
+
+def _timed(spark, sf_dir) -> DataFrame:
+    return _edges(spark, sf_dir).withColumn("valid_to", F.lit(None).cast("timestamp_ntz"))
+
+
+@query(f"WITH {_TIMED}, leaf AS (SELECT DISTINCT {_ONE} + o_orderkey + 1 AS label FROM orders UNION SELECT 0) SELECT label, coalesce(n.parent, c.parent, o.parent, label) AS root FROM leaf LEFT JOIN o ON o.child = label LEFT JOIN c ON c.child = o.parent LEFT JOIN n ON n.child = c.parent")
+def get_roots_at(spark, sf_dir):
+    """Roots as of a time: over the edges that held then, layer by layer."""
+    return graph.roots_at(_ids(spark, sf_dir), _timed(spark, sf_dir), BITS, 4, 4, F.to_timestamp_ntz(F.lit(_WHEN)))
+
+
+@query(f"WITH {_TIMED}, v AS (SELECT l_partkey AS x, l_suppkey AS y, CAST(l_linenumber AS BIGINT) AS z, min({_ONE} + l_orderkey + 1) AS label FROM lineitem GROUP BY 1, 2, 3), p AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS x, CAST(hour(ts) AS BIGINT) AS y, CAST(day(ts) % 7 + 1 AS BIGINT) AS z FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"
+    " SELECT x, y, z, coalesce(label, 0) AS label, coalesce(c.parent, o.parent, label, 0) AS root FROM p LEFT JOIN v USING (x, y, z) LEFT JOIN o ON o.child = label LEFT JOIN c ON c.child = o.parent")
+def scattered_roots(spark, sf_dir):
+    """Points to their labels, those to their roots as of a time: only labels that occur are resolved."""
+    from chunkloom.plans.volume_queries import _event_points, volume
+
+    v = volume(spark, sf_dir)
+    big = v.voxels.select("x", "y", "z", (F.col("label") + _ONE).alias("label"))
+    found = cut(type(v)(big, v.bounds, v.chunk).at_points(_event_points(spark, sf_dir)), "points")
+    return graph.with_roots(found, graph.roots_at(found, _timed(spark, sf_dir), BITS, 3, 4, F.to_timestamp_ntz(F.lit(_WHEN))))
+
+
+_LABEL2 = "(2::BIGINT << 56) | ((l_partkey & 1023) << 46) | ((l_suppkey & 1023) << 36) | (l_linenumber::BIGINT << 26) | (l_orderkey & 67108863)"
+_LABEL3 = "(3::BIGINT << 56) | ((l_partkey & 511) << 47) | ((l_suppkey & 511) << 38) | (l_linenumber::BIGINT << 29) | (l_orderkey & 67108863)"
+
+
+def _packed(spark, sf_dir, layer: int) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem")
+    m = {2: 1023, 3: 511}[layer]
+    label = BITS.encode(F.lit(layer), [F.col("l_partkey").bitwiseAND(m), F.col("l_suppkey").bitwiseAND(m), F.col("l_linenumber").cast("bigint")], F.expr("l_orderkey & 67108863L"))
+    return t.select("l_orderkey", "l_linenumber", label.alias("label"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, ({_LABEL2}) AS label, (({_LABEL2}) & 72057594037927935) >> 26 AS chunk_number FROM lineitem")
+def graph_chunk_number(spark, sf_dir):
+    """Packed chunk positions of labels."""
+    return _packed(spark, sf_dir, 2).withColumn("chunk_number", graph.chunk_number(F.col("label"), BITS))
+
+
+@query(f"SELECT DISTINCT ({_LABEL3}) AS label, concat({_LABEL3}, ':0:', (l_partkey & 511) * 1024, '-', (l_partkey & 511) * 1024 + 1024, '_', (l_suppkey & 511) * 1024, '-', (l_suppkey & 511) * 1024 + 1024, '_', l_linenumber * 128, '-', l_linenumber * 128 + 128) AS mesh_name, (({_LABEL3}) >> 1) & 7 AS minishard, concat((({_LABEL3}) & 72057594037927935) >> 29, '-', lower(to_hex((({_LABEL3}) >> 4) & 15)), '.shard') AS shard_file FROM lineitem")
+def graph_mesh_names(spark, sf_dir):
+    """Mesh objects and shard files of labels, both kept by chunk."""
+    from chunkloom.operators.sharding import Spec
+
+    minishard, name = graph.mesh_shard(F.col("label"), BITS, Spec(1, 3, 4))
+    return _packed(spark, sf_dir, 3).select("label", graph.mesh_name(F.col("label"), BITS, (512, 512, 64)).alias("mesh_name"), minishard.alias("minishard"), name.alias("shard_file")).distinct()
+
+
+@query("WITH p AS (SELECT DISTINCT ids, geometry[1]::DOUBLE x, geometry[2]::DOUBLE y, geometry[3]::DOUBLE z FROM annotations WHERE len(geometry) = 3 AND isfinite(geometry[1]) AND isfinite(geometry[2]) AND isfinite(geometry[3]) AND ids IS NOT NULL), "
+    "c AS (SELECT ids, x, y, z, CAST(floor((x / 8.0 - 100) / 512) AS BIGINT) AS cx, CAST(floor((y / 8.0 - 200) / 512) AS BIGINT) AS cy, CAST(floor((z / 40.0 - 30) / 64) AS BIGINT) AS cz FROM p) SELECT DISTINCT ids, cx, cy, cz, cx * 512 + 100 AS x0, cx * 512 + 612 AS x1, cy * 512 + 200 AS y0, cy * 512 + 712 AS y1, cz * 64 + 30 AS z0, cz * 64 + 94 AS z1 FROM c")
+def graph_point_chunks(spark, sf_dir):
+    """Graph chunks of points in nm, and their boxes in voxels of 8 x 8 x 40 nm."""
+    p = annotations.usable(table(spark, sf_dir, "annotations")).dropna(subset=["ids"])
+    where = (annotations.point("geometry"), (8, 8, 40), (512, 512, 64), (100, 200, 30))
+    return p.select("ids", *[c.alias(f"c{d}") for c, d in zip(graph.chunk_of_point(*where), AXES)], *graph.chunk_box_of_point(*where).columns()).distinct()
+
+
+@query("WITH i AS (SELECT DISTINCT o_custkey AS label, 'initial' AS origin FROM orders), d AS (SELECT DISTINCT c_custkey AS label, 'dynamic' AS origin FROM customer WHERE c_nationkey < 8) SELECT * FROM d UNION ALL SELECT * FROM i ANTI JOIN d USING (label)")
+def graph_newest_meshes(spark, sf_dir):
+    """Meshes of both tables, the dynamic one of a label that is in both."""
+    i = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("label"), F.lit("initial").alias("origin")).distinct()
+    d = table(spark, sf_dir, "customer").where("c_nationkey < 8").select(F.col("c_custkey").alias("label"), F.lit("dynamic").alias("origin")).distinct()
+    return graph.newest_meshes(i, d)
+
+
 _WHEN = "1995-06-17 00:00:00"
 
 
@@ -405,9 +474,65 @@ def skeleton_connected(spark, sf_dir):
     return mesh.connected_vertices(*_skeleton(spark, sf_dir))
 
 
-@query(f"WITH {_SKEL}, d AS (SELECT segid, vid, count(*) AS degree FROM (SELECT segid, a AS vid FROM se UNION ALL SELECT segid, b FROM se) GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY segid ORDER BY vid) - 1 AS pos FROM sv) SELECT segid, vid, x, y, z FROM p JOIN d USING (segid, vid) WHERE degree <> 2 OR pos % 2 = 0")
+# Skeletons here are runs of neighbouring lines, so a path is a run and its begin the first line.
+_RUNS = f"""{_SKEL}, m AS (SELECT v.*, CASE WHEN e.a IS NULL THEN v.vid END AS start FROM sv v LEFT JOIN se e ON e.segid = v.segid AND e.b = v.vid), c AS (SELECT segid, vid, x, y, z, max(start) OVER (PARTITION BY segid ORDER BY vid) AS start FROM m),
+run AS (SELECT *, vid - start AS pos, max(vid) OVER (PARTITION BY segid, start) - start AS length FROM c), path AS (SELECT * FROM run WHERE length > 0)"""
+
+
+@query(f"WITH {_RUNS} SELECT segid, start, start + 1 AS first, vid, pos, length FROM path")
+def skeleton_paths(spark, sf_dir):
+    """Vertices by their place along the paths between ends and joints."""
+    return mesh.path_positions(*_skeleton(spark, sf_dir))
+
+
+@query(f"WITH {_RUNS} SELECT segid, vid, x, y, z FROM path WHERE pos % 2 = 0 OR pos = length")
 def skeleton_downsample(spark, sf_dir):
-    return mesh.thin_paths(*_skeleton(spark, sf_dir), 2)
+    """Every second vertex along each path, ends and joints always."""
+    return mesh.thin_paths(*_skeleton(spark, sf_dir), 2)[0]
+
+
+@query(f"WITH {_RUNS}, k AS (SELECT segid, start, vid FROM path WHERE pos % 2 = 0 OR pos = length), l AS (SELECT segid, lag(vid) OVER (PARTITION BY segid, start ORDER BY vid) AS a, vid AS b FROM k) SELECT * FROM l WHERE a IS NOT NULL")
+def skeleton_downsample_edges(spark, sf_dir):
+    return mesh.thin_paths(*_skeleton(spark, sf_dir), 2)[1]
+
+
+@query(f"WITH {_RUNS}, n AS (SELECT r.segid, r.vid, CASE WHEN r.pos = 0 OR r.pos = r.length THEN NULL ELSE r.start END AS start, r.x, r.y, r.z FROM run r), s AS (SELECT n.segid, n.vid, "
+    + ", ".join(f"coalesce((SELECT avg(p.{c}) FROM path p WHERE p.segid = n.segid AND p.start = n.start AND abs(p.vid - n.vid) <= 1), n.{c}) AS {c}" for c in "xyz")
+    + " FROM n) SELECT segid, vid, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM s")
+def skeleton_smooth(spark, sf_dir):
+    """Vertices at the mean of three neighbours along their path; ends and joints stay."""
+    return mesh.smooth_paths(*_skeleton(spark, sf_dir), 3).select("segid", "vid", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+_SBOX = "x BETWEEN 100 AND 1500 AND y BETWEEN 10 AND 80 AND z BETWEEN 5 AND 45"
+
+
+@query(f"WITH {_SKEL}, k AS (SELECT segid, vid FROM sv WHERE {_SBOX}) SELECT e.segid, e.a, e.b FROM se e JOIN k p ON p.segid = e.segid AND p.vid = e.a JOIN k q ON q.segid = e.segid AND q.vid = e.b")
+def skeleton_crop(spark, sf_dir):
+    """Edges with both ends in a box."""
+    return mesh.crop_skeletons(*_skeleton(spark, sf_dir), ((100, 10, 5), (1500, 80, 45)))[1]
+
+
+@query(f"WITH {_SKEL}, u AS (SELECT segid, a AS vid FROM se UNION SELECT segid, b FROM se), n AS (SELECT segid, vid, row_number() OVER (PARTITION BY segid ORDER BY vid) - 1 AS nv FROM u) SELECT e.segid, p.nv AS a, q.nv AS b FROM se e JOIN n p ON p.segid = e.segid AND p.vid = e.a JOIN n q ON q.segid = e.segid AND q.vid = e.b")
+def skeleton_renumber(spark, sf_dir):
+    """Edges after vertices without edges are gone and the others numbered anew."""
+    return mesh.renumbered_skeletons(*_skeleton(spark, sf_dir))[1]
+
+
+@query(f"WITH {_MESH} SELECT segid, vid, x, y, z FROM cv")
+def skeleton_merge(spark, sf_dir):
+    """Fragments of a skeleton as one, with numbers that go on."""
+    v, _ = _mesh(spark, sf_dir)
+    return mesh.merge_skeletons(v, v.where("vid > 0").select("segid", "frag", (F.col("vid") - 1).alias("a"), F.col("vid").alias("b")))[0]
+
+
+@query(f"WITH {_SKEL} SELECT segid, max(flag) <> 'R' AS is_equivalent FROM sv GROUP BY segid")
+def skeleton_equivalent(spark, sf_dir):
+    """Skeletons against copies with turned edges, whose vertices of flag R lie elsewhere."""
+    v, e = _skeleton(spark, sf_dir)
+    flag = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("segid"), F.col("l_linenumber").cast("bigint").alias("vid")).agg(F.min("l_returnflag").alias("flag"))
+    moved = v.join(flag, ["segid", "vid"]).select("segid", "vid", F.when(F.col("flag") == "R", F.col("x") + 0.5).otherwise(F.col("x")).alias("x"), "y", "z")
+    return mesh.equivalent((v, e), (moved, e.select("segid", F.col("b").alias("a"), F.col("a").alias("b"))))
 
 
 @query("SELECT DISTINCT l_orderkey AS segid, least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey")

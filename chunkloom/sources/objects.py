@@ -18,19 +18,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.functions.boxes import hull_of
+from chunkloom.operators import sharding
+from chunkloom.operators.sharding import Spec
 from chunkloom.operators.spatial import BOX, INDEX_NAME
 from chunkloom.session import cut
-from chunkloom.sources import codecs
-from chunkloom.sources.layers import local, write_object
+from chunkloom.sources import codecs, shards
+from chunkloom.sources.layers import local, read_object, write_object
 
 
-FILES_PER_TASK = 512
+def listing(spark: SparkSession, path: str, pattern: str = "") -> DataFrame:
+    """``name, n_bytes`` of the files of a directory; contents are not read.
 
+    One task scans the directory, a piece at a time, and deals the names out; the driver
+    never holds them.
+    """
+    root = local(path)
 
-def listing(spark: SparkSession, path: str, pattern: str = "") -> DataFrame:
-    """``name, n_bytes`` of the files of a directory; contents are not read."""
-    rows = [(e.name, e.stat().st_size) for e in os.scandir(local(path)) if e.is_file() and re.search(pattern, e.name)]
-    return spark.createDataFrame(rows, "name string, n_bytes bigint").repartition(max(1, len(rows) // FILES_PER_TASK))
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            rows = []
+            with os.scandir(root) as found:
+                for e in found:
+                    if re.search(pattern, e.name) and e.is_file():
+                        rows.append((e.name, e.stat().st_size))
+                    if len(rows) == 8192:
+                        yield pd.DataFrame(rows, columns=["name", "n_bytes"])
+                        rows = []
+            yield pd.DataFrame(rows, columns=["name", "n_bytes"])
+
+    return spark.range(0, 1, 1, 1).mapInPandas(scan, "name string, n_bytes bigint").repartition("name")
 
 
 def raw_objects(spark: SparkSession, path: str, pattern: str = "", names: DataFrame | None = None) -> DataFrame:
@@ -158,16 +174,189 @@ def decode_meshes(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _decoded(wanted, "segid bigint, frag string, vid bigint, x float, y float, z float", vertex_rows), _decoded(wanted, "segid bigint, frag string, v1 bigint, v2 bigint, v3 bigint", face_rows)
 
 
+def object_exists(names: DataFrame, path: str, col: str = "name") -> DataFrame:
+    """``name, is_stored`` of the given names of objects, each once."""
+    root = local(path)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(is_stored=[any(os.path.exists(f"{root}/{n}{x}") for x in ("", *codecs.SUFFIXES)) for n in pdf["name"]])
+
+    return names.select(F.col(col).cast("string").alias("name")).dropna().distinct().mapInPandas(look, "name string, is_stored boolean")
+
+
+def delete_objects(names: DataFrame, path: str, col: str = "name") -> DataFrame:
+    """Deletes objects; the ``name`` of each that was there."""
+    root = local(path)
+
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            gone = []
+            for n in pdf["name"]:
+                for x in ("", *codecs.SUFFIXES):
+                    try:
+                        os.remove(f"{root}/{n}{x}")
+                        gone.append(n)
+                    except FileNotFoundError:
+                        continue
+            yield pd.DataFrame({"name": gone}, dtype=object)
+
+    return cut(names.select(F.col(col).cast("string").alias("name")).dropna().distinct().mapInPandas(remove, "name string"), "deleted")
+
+
+def _manifest_names(segids: DataFrame, lod: int = 0) -> DataFrame:
+    return segids.select(F.col(segids.columns[0]).cast("bigint").alias("segid")).dropna().distinct().select("segid", F.concat(F.col("segid").cast("string"), F.lit(f":{lod}")).alias("name"))
+
+
+def mesh_exists(segids: DataFrame, path: str) -> DataFrame:
+    """``segid, is_stored``: whether a mesh has a manifest."""
+    named = _manifest_names(segids)
+    return named.join(object_exists(named, path), "name").select("segid", "is_stored")
+
+
+def delete_meshes(segids: DataFrame, path: str) -> DataFrame:
+    """Deletes the manifests of meshes and the fragments that they name; the ``name`` of each."""
+    named = _manifest_names(segids)
+    fragments = mesh_manifests(segids.sparkSession, path).join(named.select("segid"), "segid", "left_semi").select(F.col("fragment").alias("name"))
+    doomed = cut(fragments.unionByName(named.select("name")), "doomed")  # read before manifests go
+    return delete_objects(doomed, path)
+
+
+# --- multi-resolution meshes: data "segid" and manifest "segid.index", or in shard files ------
+
+
+def _z_order(p: Sequence[int]) -> int:
+    return sum((int(v) >> i & 1) << (3 * i + d) for i in range(32) for d, v in enumerate(p))
+
+
+def pack_lods(fragments: DataFrame, chunk_shape: Sequence[float], origin: Sequence[float]) -> DataFrame:
+    """``label, data, manifest`` of encoded fragments (``segid, lod, px, py, pz, payload``).
+
+    Fragments of a level follow the Z curve; a level without fragments is an empty one.
+    """
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        lods = int(pdf["lod"].max()) + 1
+        positions, sizes, data = [], [], []
+        for k in range(lods):
+            part = sorted(pdf[pdf["lod"] == k][["px", "py", "pz", "payload"]].itertuples(index=False), key=lambda r: _z_order(r[:3]))
+            positions.append(np.array([r[:3] for r in part], np.uint32).reshape(-1, 3))
+            sizes.append(np.array([len(r[3]) for r in part], np.uint32))
+            data += [bytes(r[3]) for r in part]
+        m = {"chunk_shape": chunk_shape, "grid_origin": origin, "lod_scales": [2.0**k for k in range(lods)], "vertex_offsets": np.zeros((lods, 3)), "positions": positions, "sizes": sizes}
+        return pd.DataFrame({"label": [pdf["segid"].iloc[0]], "data": [b"".join(data)], "manifest": [codecs.encode_manifest(m)]})
+
+    return fragments.select("segid", "lod", "px", "py", "pz", "payload").groupBy("segid").applyInPandas(build, "label bigint, data binary, manifest binary")
+
+
+def _lod_ranges(manifest: bytes) -> list[list[tuple[tuple[int, ...], int, int]]]:
+    """Per level (position, first byte, size) of its fragments in the mesh's data."""
+    m, at, out = codecs.decode_manifest(manifest), 0, []
+    for p, s in zip(m["positions"], m["sizes"]):
+        level = []
+        for xyz, n in zip(p.tolist(), s.tolist()):
+            level.append((tuple(xyz), at, n))
+            at += n
+        out.append(level)
+    return out
+
+
+def data_bytes(manifest: bytes) -> int:
+    """How long the data of a multi-resolution mesh are."""
+    return int(sum(int(s.sum()) for s in codecs.decode_manifest(manifest)["sizes"]))
+
+
+def write_lods(items: DataFrame, path: str) -> DataFrame:
+    """One data object and one manifest for each mesh; ``path, n_bytes`` of the data."""
+    root = local(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x, data, manifest in zip(pdf["label"], pdf["data"], pdf["manifest"]):
+                write_object(f"{root}/{x}", bytes(data))
+                write_object(f"{root}/{x}.index", bytes(manifest))
+            yield pd.DataFrame({"path": [f"{root}/{x}" for x in pdf["label"]], "n_bytes": [len(d) for d in pdf["data"]]})
+
+    return cut(items.select("label", "data", "manifest").mapInPandas(run, "path string, n_bytes bigint"), "stored")
+
+
+def write_lod_shards(items: DataFrame, path: str, spec: Spec) -> DataFrame:
+    """Multi-resolution meshes in shard files; ``path, n_bytes``."""
+    root = local(path)
+    minishard, shard = spec.location(F.col("label"))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups: dict[int, dict[int, tuple[bytes, bytes]]] = {}
+        for m, x, data, manifest in zip(pdf["minishard"], pdf["label"], pdf["data"], pdf["manifest"]):
+            groups.setdefault(int(m), {})[int(x) & (2**64 - 1)] = (bytes(data), bytes(manifest))
+        content, at = sharding.assemble_meshes(spec, groups), f"{root}/{pdf['shard'].iloc[0]}.shard"
+        write_object(at, content)
+        return pd.DataFrame({"path": [at], "n_bytes": [len(content)]})
+
+    rows = items.select("label", "data", "manifest", minishard.alias("minishard"), shard.alias("shard"))
+    return cut(rows.groupBy("shard").applyInPandas(build, "path string, n_bytes bigint"), "stored")
+
+
+_FRAGMENTS = "segid bigint, lod int, px bigint, py bigint, pz bigint, payload binary"
+
+
+def _level(manifest: bytes, lod: int) -> tuple[int, list[tuple[tuple[int, ...], int, int]]]:
+    """A level by its number, -1 is the coarsest; without empty fragments."""
+    levels = _lod_ranges(manifest)
+    if not -len(levels) <= lod < len(levels):
+        raise LookupError(f"no level {lod} of {len(levels)}")
+    return lod % len(levels), [f for f in levels[lod] if f[2]]
+
+
+def read_lods(segids: DataFrame, path: str, lod: int = 0, allow_missing: bool = False, spec: Spec | None = None) -> DataFrame:
+    """``segid, lod, px, py, pz, payload``: the encoded fragments of one level of meshes.
+
+    Only the manifest and the level's bytes are read.  A mesh that is not there is an error
+    unless ``allow_missing``.
+    """
+    root = local(path)
+
+    def cut_up(x: int, manifest: bytes, read: Callable[[int, int], bytes]) -> pd.DataFrame:
+        k, level = _level(manifest, lod)
+        rows = []
+        if level:
+            first, last = level[0][1], level[-1][1] + level[-1][2]
+            data = read(first, last - first)
+            rows = [(x, k, *p, data[a - first : a - first + n]) for p, a, n in level]
+        return pd.DataFrame(rows, columns=["segid", "lod", "px", "py", "pz", "payload"])
+
+    def from_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x in pdf["label"]:
+                manifest = read_object(f"{root}/{x}.index")
+                if manifest is None:
+                    if not allow_missing:
+                        raise FileNotFoundError(f"no mesh {x}")
+                    continue
+                with open(f"{root}/{x}", "rb") as f:
+                    yield cut_up(x, manifest, lambda a, n: (f.seek(a), f.read(n))[1])  # noqa: B023
+
+    def from_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, shard in shards.each_shard(batches, root, spec):
+            keys = part["label"].to_numpy(np.int64)
+            offsets, _ = shard.find(keys.view(np.uint64))
+            if (offsets < 0).any() and not allow_missing:
+                raise FileNotFoundError(f"no mesh {keys[offsets < 0][0]}")
+            for k, manifest in shard.payloads(keys.view(np.uint64)):
+                begin = int(offsets[k]) - data_bytes(manifest)
+                yield cut_up(int(keys[k]), manifest, lambda a, n: shard.read(begin + a, n))  # noqa: B023
+
+    if spec:
+        return shards.by_shard(segids, spec, segids.columns[0]).mapInPandas(from_shards, _FRAGMENTS)
+    wanted = segids.select(F.col(segids.columns[0]).cast("bigint").alias("label")).dropna().distinct()
+    return wanted.mapInPandas(from_files, _FRAGMENTS)
+
+
 def lod_fragments(spark: SparkSession, path: str) -> DataFrame:
     """``segid, lod, frag, px, py, pz, size, offset`` of ``segid.index`` manifests."""
 
     def each(name: str, data: bytes) -> dict:
-        m = codecs.decode_manifest(data)
-        rows, at = [], 0
-        for lod, (p, s) in enumerate(zip(m["positions"], m["sizes"])):
-            for i, (xyz, n) in enumerate(zip(p.tolist(), s.tolist())):
-                rows.append((int(name.split(".")[0]), lod, i, *xyz, n, at))
-                at += n
+        rows = [(int(name.split(".")[0]), lod, i, *xyz, n, at) for lod, level in enumerate(_lod_ranges(data)) for i, (xyz, at, n) in enumerate(level)]
         table = np.array(rows, np.int64).reshape(-1, 8)
         return {c: table[:, i] for i, c in enumerate(("segid", "lod", "frag", "px", "py", "pz", "size", "offset"))}
 
@@ -199,6 +388,11 @@ def write_skeletons(vertices: DataFrame, edges: DataFrame, path: str) -> DataFra
     return _store_payloads(skeleton_payloads(vertices, edges), lambda s: f"{path}/{s}")
 
 
+def list_skeletons(spark: SparkSession, path: str) -> DataFrame:
+    """``segid`` of all skeletons of a folder; names that are no number are no skeletons."""
+    return listing(spark, path, r"^\d+(\.(gz|zstd))?$").select(F.split("name", r"\.")[0].cast("bigint").alias("segid")).distinct()
+
+
 def read_skeletons(spark: SparkSession, path: str, transform: Sequence[Sequence[float]] = ((1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0))) -> tuple[DataFrame, DataFrame]:
     """Vertices in physical space and edges; names with a colon are no skeletons."""
     return decode_skeletons(raw_objects(spark, path, r"^\d+(\.(gz|zstd))?$"), transform)

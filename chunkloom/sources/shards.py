@@ -38,7 +38,7 @@ class ShardFile:
         if self._file:
             self._file.close()
 
-    def _range(self, start: int, size: int) -> bytes:
+    def read(self, start: int, size: int) -> bytes:
         self._file.seek(start)
         data = self._file.read(size)
         if len(data) != size:
@@ -54,7 +54,7 @@ class ShardFile:
             lo, end, to = int(starts[order[at]]), int(starts[order[at]] + sizes[order[at]]), at + 1
             while to < len(order) and int(starts[order[to]]) <= end:
                 end, to = max(end, int(starts[order[to]] + sizes[order[to]])), to + 1
-            data = self._range(lo, end - lo)
+            data = self.read(lo, end - lo)
             for k in order[at:to].tolist():
                 yield k, data[int(starts[k]) - lo : int(starts[k]) - lo + int(sizes[k])]
             at = to
@@ -62,7 +62,7 @@ class ShardFile:
     def fixed(self) -> np.ndarray:
         """(start, end) of every minishard's index, relative to the end of this table."""
         if self._fixed is None:
-            self._fixed = np.frombuffer(self._range(0, SLOT_BYTES << self.spec.minishard_bits), "<u8").reshape(-1, 2)
+            self._fixed = np.frombuffer(self.read(0, SLOT_BYTES << self.spec.minishard_bits), "<u8").reshape(-1, 2)
         return self._fixed
 
     def index(self, minishards: np.ndarray) -> None:
@@ -117,7 +117,7 @@ class ShardFile:
                     yield (m, *have)
 
 
-def _by_shard(labels: DataFrame, spec: Spec, col: str) -> DataFrame:
+def by_shard(labels: DataFrame, spec: Spec, col: str) -> DataFrame:
     """``label, shard, minishard`` once each, in file order within a task."""
     minishard, shard = spec.location(F.col("label"))
     rows = labels.select(F.col(col).cast("bigint").alias("label")).dropna().distinct()
@@ -125,7 +125,7 @@ def _by_shard(labels: DataFrame, spec: Spec, col: str) -> DataFrame:
     return rows.repartition("shard", F.pmod("minishard", F.lit(SPLIT))).sortWithinPartitions("shard", "minishard", "label")
 
 
-def _each_shard(batches: Iterator[pd.DataFrame], root: str, spec: Spec) -> Iterator[tuple[pd.DataFrame, ShardFile]]:
+def each_shard(batches: Iterator[pd.DataFrame], root: str, spec: Spec) -> Iterator[tuple[pd.DataFrame, ShardFile]]:
     """The rows of each shard in a task's batches; a file stays open over batches."""
     held: ShardFile | None = None
     for pdf in batches:
@@ -145,7 +145,7 @@ def shard_lookup(labels: DataFrame, path: str, spec: Spec, col: str = "label") -
     root = path.removeprefix("file://").rstrip("/")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, shard in _each_shard(batches, root, spec):
+        for part, shard in each_shard(batches, root, spec):
             keys = part["label"].to_numpy(np.int64)
             got, size = [], 0
             for k, data in shard.payloads(keys.view(np.uint64)):
@@ -157,7 +157,7 @@ def shard_lookup(labels: DataFrame, path: str, spec: Spec, col: str = "label") -
             if got:
                 yield pd.DataFrame(got, columns=["label", "payload"])
 
-    return _by_shard(labels, spec, col).mapInPandas(read, "label bigint, payload binary")
+    return by_shard(labels, spec, col).mapInPandas(read, "label bigint, payload binary")
 
 
 def shard_exists(labels: DataFrame, path: str, spec: Spec, col: str = "label") -> DataFrame:
@@ -165,13 +165,13 @@ def shard_exists(labels: DataFrame, path: str, spec: Spec, col: str = "label") -
     root = path.removeprefix("file://").rstrip("/")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, shard in _each_shard(batches, root, spec):
+        for part, shard in each_shard(batches, root, spec):
             keys = part["label"].to_numpy(np.int64)
             offsets, sizes = shard.find(keys.view(np.uint64))
             void = sizes < 0
             yield pd.DataFrame({"label": keys, "is_stored": ~void, "offset": pd.arrays.IntegerArray(offsets, void), "size": pd.arrays.IntegerArray(sizes, void.copy())})
 
-    return _by_shard(labels, spec, col).mapInPandas(look, "label bigint, is_stored boolean, offset bigint, size bigint")
+    return by_shard(labels, spec, col).mapInPandas(look, "label bigint, is_stored boolean, offset bigint, size bigint")
 
 
 def list_labels(spark: SparkSession, path: str, spec: Spec) -> DataFrame:
