@@ -152,6 +152,18 @@ class Box:
     def grown(self, by: Sequence) -> Box:
         return Box([a - _col(v) for a, v in zip(self.lo, by)], [b + _col(v) for b, v in zip(self.hi, by)])
 
+    def shrunk(self, by: Sequence) -> Box:
+        return Box([a + _col(v) for a, v in zip(self.lo, by)], [b - _col(v) for b, v in zip(self.hi, by)])
+
+    def minus(self, by: Sequence) -> Box:
+        return Box([a - _col(v) for a, v in zip(self.lo, by)], [b - _col(v) for b, v in zip(self.hi, by)])
+
+    def divided(self, by: Sequence) -> Box:
+        return Box([a / _col(v) for a, v in zip(self.lo, by)], [b / _col(v) for b, v in zip(self.hi, by)])
+
+    def transposed(self) -> Box:
+        return Box(list(reversed(self.lo)), list(reversed(self.hi)))
+
     def plus(self, by: Sequence) -> Box:
         return Box([a + _col(v) for a, v in zip(self.lo, by)], [b + _col(v) for b, v in zip(self.hi, by)])
 

@@ -77,7 +77,7 @@ def select_ranks(rows: DataFrame, key: str, value: str, wanted: Callable[[Column
     hist = hist.withColumn("n", F.sum("n_cell").over(w)).withColumn("below", F.coalesce(F.sum("n_cell").over(w.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
     held = _holding(hist.withColumn("ranks", wanted(F.col("n"))))
     done: list[DataFrame] = []
-    for _ in range(70):  # every round narrows a cell, so 64 bits are through long before
+    for depth in range(70):  # every round narrows a cell, so 64 bits are through long before
         held = cut(held, "ranks")
         done.append(held.where("lo = hi"))
         open_ = held.where("lo < hi").select("k", "c", F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi"), F.col("below").alias("s_below"), F.col("n").alias("s_n"), F.col("n_cell").alias("s_cell"), "ranks")
@@ -86,7 +86,7 @@ def select_ranks(rows: DataFrame, key: str, value: str, wanted: Callable[[Column
             break
         joined = hot_split_join(cell, open_, ["k", "c"], "s_cell", total, size)
         joined = joined.withColumn("d", _floor_to(F.col("v"), _width(F.col("s_lo"), F.col("s_hi"), cells)))
-        if size > BROADCAST_ROWS:
+        if size > BROADCAST_ROWS or depth:  # rows of open cells only; later rounds start from them
             joined = cut(joined, "open")
         hist = joined.groupBy("k", "c", "d").agg(F.count("*").alias("n_cell"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("s_below").alias("s_below"), F.first("s_n").alias("n"), F.first("ranks").alias("ranks"))
         w = Window.partitionBy("k", "c").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)

@@ -52,6 +52,15 @@ def segmentation_roundtrip(spark, sf_dir):
     return _read(spark, _written(spark, sf_dir, encoding="compressed_segmentation"))
 
 
+@query(f"WITH {V} SELECT x, y, z, CAST(val AS INTEGER) AS value FROM v")
+def png_roundtrip(spark, sf_dir):
+    """An image layer of 8 bits as PNG chunks."""
+    v = volume(spark, sf_dir)
+    path = layers.local(fresh_path(spark, "layer"))
+    layers.write_layer(Volume(cut(v.voxels.select(*XYZ, F.col("val").cast("int").alias("value")), "voxels"), v.bounds, _FLAT, value="value"), path, dtype="uint8", encoding="png", compress="")
+    return layers.read_layer(spark, path, skip_background=True).select(*XYZ, "value")
+
+
 @query(_ALL)
 def sharded_roundtrip(spark, sf_dir):
     return _read(spark, _written(spark, sf_dir, spec=Spec(1, 2, 8)))
@@ -394,14 +403,8 @@ def _skeletons(spark, sf_dir):
     return objects.decode_skeletons(_through_shards(objects.skeleton_payloads(*_skeleton(spark, sf_dir))))
 
 
-@query(f"WITH {_USABLE} SELECT ids, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, class_label FROM (SELECT DISTINCT ids, x, y, z, class_label FROM a WHERE ids IS NOT NULL AND class_label IS NOT NULL)")
-def annotation_file_roundtrip(spark, sf_dir):
-    """Packed records in grid cells; of those read back the ones with a class."""
-    return _cells(spark, sf_dir).where("class_label is not null")
-
-
 @query(f"WITH {_USABLE} SELECT DISTINCT ids, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, class_label FROM a WHERE ids IS NOT NULL")
-def annotation_file_roundtrip_all(spark, sf_dir):
+def annotation_file_roundtrip(spark, sf_dir):
     """Packed records in grid cells, those without a class too."""
     return _cells(spark, sf_dir)
 
@@ -428,17 +431,8 @@ def _tiles(spark, sf_dir):
     return objects.decode_spatial_index(_through_shards(objects.spatial_payloads(i)))
 
 
-@query(f"WITH {_INDEX} SELECT regexp_replace(filename, '\\.(gz|br|zstd)$', '') AS filename, label, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, min(z0) AS z0, max(z1) AS z1 FROM i WHERE n_big > 40 GROUP BY ALL".replace("i AS (SELECT * FROM e JOIN f USING (fid))", "i AS (SELECT *, count(*) OVER (PARTITION BY fid) AS n_big FROM e JOIN f USING (fid))"))
-def spatial_index_file_roundtrip(spark, sf_dir):
-    """All JSON tiles packed into shard files and read back; of these the entries of files with more than 40 labels."""
-    lookup = spatial.entries(table(spark, sf_dir, "file_lookup"))
-    many = lookup.groupBy("fid").agg(F.count("*").alias("n")).where("n > 40")
-    wanted = spatial.located(lookup.join(many, "fid", "left_semi"), table(spark, sf_dir, "index_files")).select(_plain().alias("filename"), "label").distinct()
-    return _tiles(spark, sf_dir).join(wanted, ["filename", "label"], "left_semi")
-
-
 @query(f"WITH {_INDEX} SELECT regexp_replace(filename, '\\.(gz|br|zstd)$', '') AS filename, label, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, min(z0) AS z0, max(z1) AS z1 FROM i GROUP BY ALL")
-def spatial_index_all_tiles_roundtrip(spark, sf_dir):
+def spatial_index_file_roundtrip(spark, sf_dir):
     """The entries of all JSON tiles, packed into shard files and read back."""
     return _tiles(spark, sf_dir)
 

@@ -462,6 +462,18 @@ def box_measures(spark, sf_dir):
     return rows.select("roi_id", b.name().alias("box_name"), b.volume().alias("volume"), *[c.alias(f"c{d}") for d, c in zip(AXES, b.centre())], b.empty().alias("is_empty"))
 
 
+_BY = (7, -11, 3)
+
+
+@query(f"WITH {_R} SELECT roi_id, " + ", ".join(f"{d}0 + {v} AS p{d}0, {d}1 + {v} AS p{d}1, {d}0 - {v} AS m{d}0, {d}1 - {v} AS m{d}1, {d}0 * {v} AS t{d}0, {d}1 * {v} AS t{d}1, {d}0 / {v}.0::DOUBLE AS q{d}0, {d}1 / {v}.0::DOUBLE AS q{d}1, CAST(floor({d}0 / {abs(v)}.0::DOUBLE) AS BIGINT) AS f{d}0, CAST(floor({d}1 / {abs(v)}.0::DOUBLE) AS BIGINT) AS f{d}1, {d}0 - {abs(v)} AS g{d}0, {d}1 + {abs(v)} AS g{d}1, {d}0 + {abs(v)} AS s{d}0, {d}1 - {abs(v)} AS s{d}1" for d, v in zip(AXES, _BY)) + " FROM r")
+def box_arithmetic(spark, sf_dir):
+    """Boxes moved, scaled, divided, grown and shrunk by a vector."""
+    rows, b = regions(spark, sf_dir)
+    size = [abs(v) for v in _BY]
+    parts = [(b.plus(_BY), "p"), (b.minus(_BY), "m"), (b.times(_BY), "t"), (b.divided([float(v) for v in _BY]), "q"), (b.floored_by(size), "f"), (b.grown(size), "g"), (b.shrunk(size), "s")]
+    return rows.select("roi_id", *[c for box, name in parts for c in box.columns(name)])
+
+
 def _mip_sql() -> str:
     def down(v, f, fn, n):
         for _ in range(n):

@@ -2,7 +2,8 @@
 
 Every intermediate table is written below the folder that the cluster names in
 ``spark.checkpoint.dir``; only where that setting is absent (tests, notebooks)
-a folder of this process is used instead.
+a folder of this process is used instead.  The folder of an application is deleted when
+its driver ends, or before by ``release``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MARKED: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,9 +29,32 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/chunkloom-{spark.sparkContext.applicationId}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_root(spark)}/chunkloom/{what}-{uuid.uuid4().hex}"
+    own = _own_folder(spark)
+    if own not in _MARKED:
+        fs, at = _file_system(spark, own)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _MARKED.add(own)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; frames over them can't be read any more."""
+    fs, at = _file_system(spark, _own_folder(spark))
+    fs.delete(at, True)
+    _MARKED.discard(_own_folder(spark))
 
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:

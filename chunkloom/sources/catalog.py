@@ -1,14 +1,18 @@
-"""Driver-side documents: redirects, provenance, database addresses, validity of caches."""
+"""Driver-side documents: redirects, kinds and settings of layers, provenance, database
+addresses, validity of caches."""
 
 from __future__ import annotations
 
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from urllib.parse import urlparse
 
+from pyspark.sql import SparkSession
+
 from chunkloom.functions.boxes import Corners, corners
+from chunkloom.operators import sharding
 from chunkloom.sources.layers import local, open_layer, write_object
 
 
@@ -98,6 +102,121 @@ def jdbc(address: str) -> str:
     return f"jdbc:{kind}://{d['host']}:{d['port']}/{d['path']}"
 
 
+#: What the type member of an info document stands for.
+KINDS = {"neuroglancer_multiscale_volume": "volume", "neuroglancer_annotations_v1": "annotations", "neuroglancer_legacy_mesh": "mesh", "neuroglancer_multilod_draco": "multi-resolution mesh", "neuroglancer_skeletons": "skeletons"}
+
+
+def layer_kind(path: str) -> str:
+    """What lies at a path, by its info document; layers without one are volumes."""
+    try:
+        with open(f"{local(path).rstrip('/')}/info") as f:
+            info = json.load(f)
+    except FileNotFoundError:
+        open_layer(path)  # raises where there is none
+        return "volume"
+    kind = info.get("@type", "neuroglancer_multiscale_volume")
+    if kind not in KINDS:
+        raise ValueError(f"unknown type {kind!r}")
+    return KINDS[kind]
+
+
+def open_any(spark: SparkSession, path: str, **how) -> tuple[str, object]:
+    """The kind of a layer and its rows: voxels, vertices and faces, or vertices and edges."""
+    from chunkloom.sources import layers, objects
+
+    kind = layer_kind(path)
+    if kind == "volume":
+        return kind, layers.read_layer(spark, path, **how)
+    if kind == "mesh":
+        return kind, objects.read_meshes(spark, path, **how)
+    if kind == "skeletons":
+        return kind, objects.read_skeletons(spark, path, **how)
+    if kind == "annotations":
+        return kind, objects.raw_objects(spark, f"{local(path).rstrip('/')}/{how.get('level', 'spatial0')}")
+    return kind, objects.lod_fragments(spark, path)
+
+
+def sharded(info: dict, labels: int, index_encoding: str = "gzip", data_encoding: str = "gzip", **sizes) -> dict:
+    """A copy of a mesh or skeleton document with a layout for so many labels."""
+    shard, mini, pre = sharding.params_for_hashed(labels, **sizes)
+    return info | {"sharding": sharding.Spec(pre, mini, shard, "murmurhash3_x86_128", index_encoding, data_encoding).to_dict()}
+
+
+def unsharded(info: dict) -> dict:
+    return {k: v for k, v in info.items() if k != "sharding"}
+
+
+def multi_resolution(info: dict, bits: int, resolution: Sequence[float]) -> dict:
+    """A copy of a mesh document for levels of detail, whose vertices have 10 or 16 bits."""
+    if bits not in (10, 16):
+        raise ValueError("vertices have 10 or 16 bits")
+    matrix = [resolution[r] if r == c else 0 for r in range(3) for c in range(4)]
+    return info | {"@type": "neuroglancer_multilod_draco", "vertex_quantization_bits": bits, "transform": matrix, "lod_scale_multiplier": 1.0}
+
+
+def single_resolution(info: dict) -> dict:
+    gone = ("vertex_quantization_bits", "transform", "lod_scale_multiplier")
+    return {k: v for k, v in info.items() if k not in gone} | {"@type": "neuroglancer_legacy_mesh"}
+
+
+def sharded_image(info: dict, mip: int, width: int, **limits) -> dict:
+    """A copy of a volume document whose level is sharded, in as large shards as the limits allow."""
+    s = info["scales"][mip]
+    spec = sharding.params_for_image(s["size"], s["chunk_sizes"][0], s["encoding"], width, **limits)
+    return _with_scale(info, mip, s | {"sharding": spec.to_dict()})
+
+
+def with_encoding(info: dict, mip: int, encoding: str, level: int | None = None) -> dict:
+    """A copy with another encoding of a level, and the quality of lossy ones."""
+    gone = ("jpeg_quality", "png_level", "jxl_quality", "compressed_segmentation_block_size")
+    new = {k: v for k, v in info["scales"][mip].items() if k not in gone} | {"encoding": encoding}
+    if encoding == "compressed_segmentation":
+        new["compressed_segmentation_block_size"] = [8, 8, 8]
+    if level is not None:
+        name = {"jpeg": "jpeg_quality", "png": "png_level", "jxl": "jxl_quality"}.get(encoding)
+        if name is None:
+            raise ValueError(f"{encoding} has no level")
+        new[name] = level
+    return _with_scale(info, mip, new)
+
+
+def only_finest(info: dict) -> dict:
+    """A copy without its coarser levels."""
+    return info | {"scales": info["scales"][:1]}
+
+
+def _with_scale(info: dict, mip: int, scale: dict) -> dict:
+    return info | {"scales": [scale if k == mip else s for k, s in enumerate(info["scales"])]}
+
+
+#: Content types of image encodings, and encodings that are compressed again.
+IMAGE_TYPES, COMPRESSED_AGAIN = ("jpeg", "png", "jxl"), ("raw", "compressed_segmentation", "compresso", "crackle")
+OWN_TYPES = ("compresso", "compressed_segmentation", "fpzip", "kempressed", "zfpc", "crackle")
+
+
+def content_type(encoding: str) -> str:
+    if encoding in IMAGE_TYPES:
+        return f"image/{encoding}"
+    return f"image/x.{encoding}" if encoding in OWN_TYPES else "application/octet-stream"
+
+
+def compression_for(encoding: str, asked: str | bool | None = None) -> str | None:
+    """What an object is compressed with: as asked, or gzip for encodings that gain by it."""
+    if isinstance(asked, str):
+        return asked
+    return "gzip" if asked or (asked is None and encoding in COMPRESSED_AGAIN) else None
+
+
+def cache_control(asked: str | bool | int | None) -> str:
+    """A header from seconds, a switch or its own text; an hour by default."""
+    if isinstance(asked, str):
+        return asked
+    seconds = 3600 if asked is None or asked is True else 0 if asked is False else asked
+    if seconds < 0:
+        raise ValueError("seconds are not negative")
+    return f"max-age={seconds}, s-max-age={seconds}" if seconds else "no-cache"
+
+
 def has_data(path: str, mip: int) -> bool:
     """Whether any object lies under a level."""
     root = open_layer(path)[mip].root

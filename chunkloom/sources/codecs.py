@@ -130,6 +130,10 @@ def encode_chunk(a: np.ndarray, encoding: str, block: Sequence[int] = (8, 8, 8))
         out = io.BytesIO()
         np.save(out, a, allow_pickle=False)
         return zlib.compress(out.getvalue())
+    if encoding == "npz_uint8":  # images between 0 and 1; read back as bytes
+        return encode_chunk((a * 255).astype(np.uint8), "npz", block)
+    if encoding == "png":
+        return encode_png(_as_image(a))
     if encoding == "compressed_segmentation":
         return _segmentation_bytes(a, block)
     raise Unsupported(f"encoding {encoding!r}")
@@ -138,13 +142,92 @@ def encode_chunk(a: np.ndarray, encoding: str, block: Sequence[int] = (8, 8, 8))
 def decode_chunk(data: bytes, encoding: str, shape: Sequence[int], dtype: np.dtype, block: Sequence[int] = (8, 8, 8)) -> np.ndarray:
     if encoding == "raw":
         return np.frombuffer(data, dtype=dtype).reshape(shape, order="F")
-    if encoding == "npz":
+    if encoding == "png":
+        return _from_image(decode_png(data), shape).astype(dtype)
+    if encoding in ("npz", "npz_uint8"):
         return np.load(io.BytesIO(zlib.decompress(data)), allow_pickle=False).reshape(shape)
     if encoding == "compressed_segmentation":
         return _segmentation_array(data, shape, dtype, block)
     raise Unsupported(f"encoding {encoding!r}")
 
 
+def _as_image(a: np.ndarray) -> np.ndarray:
+    """(rows, columns, channels): x along the rows' length, then y, then z down the image."""
+    return a.reshape(a.shape[0], a.shape[1] * a.shape[2], a.shape[3], order="F").transpose(1, 0, 2)
+
+
+def _from_image(image: np.ndarray, shape: Sequence[int]) -> np.ndarray:
+    return image.reshape(-1, shape[3]).reshape(shape, order="F") if image.size == np.prod(shape) else _mismatch(image.shape, shape)
+
+
+def _mismatch(a, b):
+    raise ValueError(f"an image of {tuple(a)} for a chunk of {tuple(b)}")
+
+
+#: Signature and colour types of PNG by number of channels.
+PNG_SIGNATURE, PNG_COLOURS = b"\x89PNG\r\n\x1a\n", {1: 0, 2: 4, 3: 2, 4: 6}
+
+
+def encode_png(image: np.ndarray, level: int = 6) -> bytes:
+    """(rows, columns, channels) of 8 or 16 bits as a PNG, every line as it is."""
+    if image.dtype not in (np.uint8, np.uint16) or image.shape[2] not in PNG_COLOURS:
+        raise Unsupported(f"PNG of {image.dtype} with {image.shape[2]} channels")
+    rows, columns, channels = image.shape
+    lines = np.ascontiguousarray(image.astype(image.dtype.newbyteorder(">"))).view(np.uint8).reshape(rows, -1)
+    body = np.zeros((rows, lines.shape[1] + 1), np.uint8)  # a filter byte in front of each line
+    body[:, 1:] = lines
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", columns, rows, 8 * image.dtype.itemsize, PNG_COLOURS[channels], 0, 0, 0)
+    return PNG_SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(body.tobytes(), level)) + chunk(b"IEND", b"")
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """(rows, columns, channels) of a PNG of 8 or 16 bits without palette or interlacing."""
+    if not data.startswith(PNG_SIGNATURE):
+        raise ValueError("not a PNG")
+    at, head, body = 8, b"", b""
+    while at < len(data):
+        (n,) = struct.unpack_from(">I", data, at)
+        kind, part = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        head, body = part if kind == b"IHDR" else head, body + part if kind == b"IDAT" else body
+        at += 12 + n
+    columns, rows, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", head)
+    channels = {v: k for k, v in PNG_COLOURS.items()}.get(colour)
+    if channels is None or depth not in (8, 16) or interlaced:
+        raise Unsupported("PNG with a palette, interlacing or fewer than 8 bits")
+    step = channels * depth // 8
+    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(rows, columns * step + 1)
+    out, up = np.zeros((rows, columns * step), np.uint8), np.zeros(columns * step, np.uint8)
+    for r in range(rows):
+        out[r] = up = _unfiltered(int(lines[r, 0]), lines[r, 1:], up, step)
+    kind = np.dtype(">u2") if depth == 16 else np.dtype(np.uint8)
+    return out.view(kind).astype(kind.newbyteorder("=")).reshape(rows, columns, channels)
+
+
+def _unfiltered(how: int, line: np.ndarray, up: np.ndarray, step: int) -> np.ndarray:
+    """A line of a PNG from its filtered bytes and the line above."""
+    if how == 0:
+        return line
+    if how == 2:
+        return line + up
+    if how == 1:  # sums of every step-th byte
+        return np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
+    out = np.zeros(len(line) + step, np.int64)  # the byte to the left of the first pixel is 0
+    above = np.concatenate([np.zeros(step, np.int64), up.astype(np.int64)])
+    for i, v in enumerate(line.tolist()):
+        left, top, corner = out[i], above[i + step], above[i]
+        if how == 3:
+            guess = (left + top) // 2
+        else:
+            near = left + top - corner
+            guess = min((abs(near - left), 0, left), (abs(near - top), 1, top), (abs(near - corner), 2, corner))[2]
+        out[i + step] = (v + guess) & 255
+    return out[step:].astype(np.uint8)
+
+
 #: The widths an encoded value may have.
 WIDTHS = (0, 1, 2, 4, 8, 16, 32)
 

@@ -44,7 +44,10 @@ SPARK_TYPES = {"uint8": "int", "int8": "int", "uint16": "int", "int16": "int", "
 
 
 def local(path: str) -> str:
-    return path[7:] if path.startswith("file://") else path
+    """A path that is mounted on all machines; object stores are refused by name."""
+    if "://" in path and not path.startswith("file://"):
+        raise codecs.Unsupported(f"files in {path.split('://')[0]}")
+    return path.removeprefix("file://")
 
 
 def _json(path: str) -> dict | None:
