@@ -1,8 +1,8 @@
 """Meshes and skeletons as vertex and face or edge rows.
 
 Vertices: ``segid, frag, vid, x, y, z`` with ``vid`` from 0 within a fragment; faces:
-``segid, frag, v1, v2, v3``; edges: ``segid, a, b``.  Windows are per segment and
-fragment or per position, never over a whole table.
+``segid, frag, v1, v2, v3``; edges: ``segid, a, b``.  Windows are over the fragments of a
+segment or over one position, never over the vertices or faces of a segment.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chunkloom.functions.boxes import Box, Corners
+from chunkloom.operators.ranks import dense_within
 from chunkloom.session import cut
 
 POS = ["x", "y", "z"]
@@ -40,10 +41,9 @@ def _renumbered(parts: DataFrame, mapping: DataFrame, cols: Sequence[str]) -> Da
 
 def consolidate(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Equal vertices become one, in coordinate order; equal faces too."""
-    new = F.dense_rank().over(Window.partitionBy("segid").orderBy(*POS)) - 1
-    mapped = vertices.withColumn("new_vid", new.cast("bigint"))
-    v = mapped.select("segid", F.col("new_vid").alias("vid"), *POS).distinct()
-    return v, _renumbered(faces, mapped.select("segid", "vid", "new_vid"), ["v1", "v2", "v3"]).distinct()
+    v = cut(dense_within(vertices, "segid", POS, "new_vid"), "places")
+    mapping = vertices.join(v, ["segid", *POS]).select("segid", "vid", "new_vid")
+    return v.select("segid", F.col("new_vid").alias("vid"), *POS), _renumbered(faces, mapping, ["v1", "v2", "v3"]).distinct()
 
 
 def merge_doubled(vertices: DataFrame, aligned: Column) -> DataFrame:
@@ -71,8 +71,8 @@ def near_boundary(chunk: Sequence[int], quantum: Sequence[float]) -> Column:
 def crop(vertices: DataFrame, faces: DataFrame, box: Corners) -> tuple[DataFrame, DataFrame]:
     """Vertices inside (faces of the box included), renumbered, and whole triangles."""
     kept = vertices.where(Box.of(*box).contains_point([F.col(c) for c in POS]))
-    kept = kept.withColumn("new_vid", (F.row_number().over(Window.partitionBy("segid").orderBy("vid")) - 1).cast("bigint"))
-    return kept.select("segid", F.col("new_vid").alias("vid"), *POS), _renumbered(faces, kept.select("segid", "vid", "new_vid"), ["v1", "v2", "v3"])
+    ids = cut(dense_within(kept, "segid", ["vid"], "new_vid"), "kept")
+    return kept.join(ids, ["segid", "vid"]).select("segid", F.col("new_vid").alias("vid"), *POS), _renumbered(faces, ids, ["v1", "v2", "v3"])
 
 
 def face_edges(faces: DataFrame) -> DataFrame:
@@ -95,9 +95,8 @@ def affine(matrix: Sequence[Sequence[float]], point: Sequence[Column]) -> list[C
 def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """``segid, section, n, line`` of a Wavefront text, vertices before faces."""
     v = vertices.select("segid", F.lit(0).alias("section"), F.col("vid").alias("n"), F.format_string("v %.5f %.5f %.5f", *[F.col(c).cast("double") for c in POS]).alias("line"))
-    f = faces.select("segid", F.lit(1).alias("section"), F.struct("v1", "v2", "v3").alias("_f")).distinct()
-    order = F.row_number().over(Window.partitionBy("segid").orderBy("_f")) - 1
-    f = f.select("segid", "section", order.cast("bigint").alias("n"), F.format_string("f %d %d %d", F.col("_f.v1") + 1, F.col("_f.v2") + 1, F.col("_f.v3") + 1).alias("line"))
+    f = dense_within(faces, "segid", ["v1", "v2", "v3"], "n")
+    f = f.select("segid", F.lit(1).alias("section"), "n", F.format_string("f %d %d %d", F.col("v1") + 1, F.col("v2") + 1, F.col("v3") + 1).alias("line"))
     return v.unionByName(f)
 
 
@@ -220,8 +219,8 @@ def smooth_paths(vertices: DataFrame, edges: DataFrame, n: int) -> DataFrame:
 def renumbered_skeletons(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices numbered from 0 in their order, without those that no edge touches, and their edges."""
     kept = connected_vertices(vertices, edges)
-    kept = cut(kept.withColumn("new_vid", (F.row_number().over(Window.partitionBy("segid").orderBy("vid")) - 1).cast("bigint")), "kept")
-    return kept.select("segid", F.col("new_vid").alias("vid"), *POS), _renumbered(edges, kept.select("segid", "vid", "new_vid"), ["a", "b"])
+    ids = cut(dense_within(kept, "segid", ["vid"], "new_vid"), "kept")
+    return kept.join(ids, ["segid", "vid"]).select("segid", F.col("new_vid").alias("vid"), *POS), _renumbered(edges, ids, ["a", "b"])
 
 
 def crop_skeletons(vertices: DataFrame, edges: DataFrame, box: Corners) -> tuple[DataFrame, DataFrame]:

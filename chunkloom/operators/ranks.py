@@ -22,3 +22,11 @@ def dense_ids(values: DataFrame, cols: list[str], name: str, start: int = 0) ->
     offsets = counts.select("_p", before.alias("_o"))  # as many rows as partitions
     rank = F.row_number().over(Window.partitionBy("_p").orderBy(*cols)) - 1
     return parted.withColumn("_r", rank).join(F.broadcast(offsets), "_p").select(*cols, (F.col("_r") + F.col("_o") + start).cast("bigint").alias(name))
+
+
+def dense_within(values: DataFrame, group: str, cols: list[str], name: str, start: int = 0) -> DataFrame:
+    """Distinct ``group, cols`` with numbers from ``start`` on within each group, in the order
+    of ``cols``; a group that holds most rows is still numbered by many tasks."""
+    ids = dense_ids(values, [group, *cols], "_g")
+    first = ids.groupBy(group).agg(F.min("_g").alias("_f"))  # merges on the map side
+    return ids.join(first, group).select(group, *cols, (F.col("_g") - F.col("_f") + start).alias(name))

@@ -420,6 +420,36 @@ def _cells(spark, sf_dir):
     return objects.read_annotation_cells(spark, path, props, ["int"], nulls)
 
 
+_LEVELS, _LIMIT = ((600_000, 600_000, 150_000), (300_000, 300_000, 75_000), (100_000, 100_000, 50_000)), 50
+_PLACED = f"""{_USABLE}, p AS (SELECT DISTINCT ids, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z, (((ids % 2147483648) * 2654435761) % 4294967296) / 4294967296.0::DOUBLE AS u FROM a WHERE ids IS NOT NULL),
+n0 AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM p GROUP BY floor(x / 600000), floor(y / 600000), floor(z / 150000))), f0 AS (SELECT least(1.0::DOUBLE, 50.0::DOUBLE / n) AS f FROM n0),
+n1 AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM p, f0 WHERE u >= f GROUP BY floor(x / 300000), floor(y / 300000), floor(z / 75000))), f1 AS (SELECT f0.f + (1.0::DOUBLE - f0.f) * least(1.0::DOUBLE, 50.0::DOUBLE / n) AS f FROM n1, f0)"""
+
+
+def _points(spark, sf_dir):
+    from chunkloom.operators import annotations
+
+    rows = annotations.usable(table(spark, sf_dir, "annotations")).dropna(subset=["ids"])
+    return rows.select("ids", *[c.cast("float").cast("double").alias(n) for c, n in zip(annotations.point("geometry"), XYZ)]).distinct()
+
+
+@query(f"WITH {_PLACED} SELECT ids, x, y, z, CASE WHEN u < f0.f THEN 0 WHEN u < f1.f THEN 1 ELSE 2 END AS level FROM p, f0, f1")
+def annotation_levels(spark, sf_dir):
+    """Points spread over the levels of a spatial index, few in each coarse cell."""
+    from chunkloom.operators import annotations
+
+    return annotations.levelled(_points(spark, sf_dir), _LEVELS, _LIMIT).select("ids", *XYZ, "level")
+
+
+@query(f"WITH {_PLACED} SELECT ids, x, y, z FROM p WHERE x BETWEEN 200000 AND 700000 AND y BETWEEN 200000 AND 900000 AND z BETWEEN 10000 AND 90000")
+def annotation_levels_by_box(spark, sf_dir):
+    """Points of a box from files of all levels; only cells that the box touches are read."""
+    path = layers.local(fresh_path(spark, "levels"))
+    objects.write_annotation_levels(_points(spark, sf_dir), path, _LEVELS, _LIMIT, [])
+    got = objects.read_annotation_levels(spark, path, _LEVELS, [], [], ((200000, 200000, 10000), (700000, 900000, 90000)))
+    return got.select("ids", *[F.col(c).cast("double").alias(c) for c in XYZ])
+
+
 def _plain():
     """A tile's name without the suffix of its compression."""
     return F.regexp_replace("filename", r"\.(gz|br|zstd)$", "")

@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.functions.boxes import hull_of
-from chunkloom.operators import sharding
+from chunkloom.functions.boxes import Corners, hull_of
+from chunkloom.operators import annotations, sharding
 from chunkloom.operators.sharding import Spec
 from chunkloom.operators.spatial import BOX, INDEX_NAME
 from chunkloom.session import cut
@@ -453,10 +453,30 @@ def write_annotation_cells(rows: DataFrame, path: str, cell: Sequence[float], pr
     return _stored(keyed, ["kx", "ky", "kz"], encode)
 
 
-def read_annotation_cells(spark: SparkSession, path: str, properties: Sequence[tuple[str, str]], kinds: Sequence[str], nulls: Mapping[str, int] | None = None) -> DataFrame:
+def write_annotation_levels(rows: DataFrame, path: str, cells: Sequence[Sequence[float]], limit: int, properties: Sequence[tuple[str, str]], nulls: Mapping[str, int] | None = None) -> list[DataFrame]:
+    """Points into the levels ``spatial0``, ``spatial1``, ... of a folder, about ``limit`` a cell
+    at most but in the last one."""
+    placed = cut(annotations.levelled(rows, cells, limit), "levels")
+    return [write_annotation_cells(placed.where(F.col("level") == k), f"{local(path)}/spatial{k}", cell, properties, nulls) for k, cell in enumerate(cells)]
+
+
+def read_annotation_levels(spark: SparkSession, path: str, cells: Sequence[Sequence[float]], properties: Sequence[tuple[str, str]], kinds: Sequence[str], box: Corners | None = None, nulls: Mapping[str, int] | None = None) -> DataFrame:
+    """The points of all levels, or of the cells that ``box`` touches, inside it (faces included)."""
+    out = None
+    for k, cell in enumerate(cells):
+        root = f"{local(path)}/spatial{k}"
+        if not os.path.isdir(root):
+            continue
+        level = read_annotation_cells(spark, root, properties, kinds, nulls, box and annotations.cells_of_box(box, cell))
+        out = level if out is None else out.unionByName(level)
+    return out if box is None else out.where(" and ".join(f"{c} between {a} and {b}" for c, a, b in zip("xyz", *box)))
+
+
+def read_annotation_cells(spark: SparkSession, path: str, properties: Sequence[tuple[str, str]], kinds: Sequence[str], nulls: Mapping[str, int] | None = None, cells: tuple[Sequence[int], Sequence[int]] | None = None) -> DataFrame:
     """``ids, x, y, z`` and the properties of all cells; ``kinds`` are their Spark types.
 
-    ``nulls`` has the codes that were written for null.
+    ``nulls`` has the codes that were written for null, ``cells`` the first and last cell
+    to read; others are left out by their names.
     """
     nulls = dict(nulls or {})
     dtype, names = codecs.annotation_dtype(1, properties), [n for n, _ in properties]
@@ -467,7 +487,14 @@ def read_annotation_cells(spark: SparkSession, path: str, properties: Sequence[t
         return {"ids": ids.astype(np.int64), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], **{n: np.where(rec[n] == nulls[n], None, rec[n].astype(object)) if n in nulls else rec[n] for n in names}}
 
     schema = "ids bigint, x float, y float, z float" + "".join(f", `{n}` {k}" for n, k in zip(names, kinds))
-    return _decoded(raw_objects(spark, path), schema, each)
+    names_of = None
+    if cells is not None:
+        at = [F.regexp_extract("name", r"^(-?\d+)_(-?\d+)_(-?\d+)$", i).try_cast("bigint") for i in (1, 2, 3)]
+        keep = F.lit(True)
+        for c, a, b in zip(at, *cells):
+            keep = keep & c.between(a, b)
+        names_of = listing(spark, path).where(keep).select("name")
+    return _decoded(raw_objects(spark, path, names=names_of), schema, each)
 
 
 # --- spatial index: JSON tiles ------------------------------------------------------------
