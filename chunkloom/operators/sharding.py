@@ -137,19 +137,19 @@ def _unpack(data: bytes, encoding: str) -> bytes:
     return gzip.decompress(data) if encoding == "gzip" and data else data
 
 
-def assemble(spec: Spec, groups: dict[int, dict[int, bytes]]) -> bytes:
-    """One shard file from ``{minishard: {label: payload}}``."""
+def assemble(spec: Spec, groups: dict[int, dict[int, bytes]], packed: bool = False) -> bytes:
+    """One shard file from ``{minishard: {label: payload}}``; ``packed`` payloads are encoded as the layout says."""
     data, tables = bytearray(), {}
     for m in sorted(groups):
         labels = sorted(groups[m])
         if not labels:
             continue
-        packed = [_pack(groups[m][x], spec.data_encoding) for x in labels]
+        data_of = [groups[m][x] if packed else _pack(groups[m][x], spec.data_encoding) for x in labels]
         table = np.zeros((3, len(labels)), dtype="<u8")
         table[0] = np.diff(np.array(labels, dtype=np.uint64), prepend=np.uint64(0))
         table[1, 0] = len(data)  # what the minishards before hold
-        table[2] = [len(p) for p in packed]
-        data += b"".join(packed)
+        table[2] = [len(p) for p in data_of]
+        data += b"".join(data_of)
         tables[m] = _pack(table.tobytes(), spec.minishard_index_encoding)
     return _with_index(spec, bytes(data), tables)
 
@@ -172,10 +172,10 @@ def disassemble(spec: Spec, shard: bytes) -> dict[int, bytes]:
     return {x: _unpack(shard[o : o + s], spec.data_encoding) for _, x, o, s in entries(spec, shard)}
 
 
-def shard_files(items: DataFrame, spec: Spec, label: str = "label", payload: str = "payload") -> DataFrame:
+def shard_files(items: DataFrame, spec: Spec, label: str = "label", payload: str = "payload", packed: bool = False) -> DataFrame:
     """``shard, filename, content, n_labels``: one file per shard, in parallel.
 
-    The number of labels per shard is bounded by the layout the spec was sized for.
+    ``packed`` payloads are encoded as the layout says already.  The number of labels per shard is bounded by the layout the spec was sized for.
     """
     minishard, shard = spec.location(F.col(label))
     rows = items.select(F.col(label).alias("label"), F.col(payload).alias("payload"), minishard.alias("minishard"), shard.alias("shard"))
@@ -185,7 +185,7 @@ def shard_files(items: DataFrame, spec: Spec, label: str = "label", payload: str
         for m, x, p in zip(pdf["minishard"], pdf["label"], pdf["payload"]):
             groups.setdefault(int(m), {})[int(x) & (2**64 - 1)] = bytes(p)
         s = pdf["shard"].iloc[0]
-        return pd.DataFrame({"shard": [s], "filename": [f"{s}.shard"], "content": [assemble(spec, groups)], "n_labels": [len(pdf)]})
+        return pd.DataFrame({"shard": [s], "filename": [f"{s}.shard"], "content": [assemble(spec, groups, packed)], "n_labels": [len(pdf)]})
 
     return rows.groupBy("shard").applyInPandas(build, "shard string, filename string, content binary, n_labels bigint")
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
@@ -36,9 +36,13 @@ from chunkloom.session import cut
 from chunkloom.sources import codecs
 from chunkloom.sources.shards import ShardFile
 
-CHUNKS_PER_PARTITION = 64
+#: Chunks that a partition takes at least, and how many at most while there are fewer
+#: partitions than allowed; between them a grid makes about ``PARTITIONS`` of them.
+CHUNKS_PER_PARTITION, MOST_PER_PARTITION, PARTITIONS = 64, 2048, 256
 #: The driver plans no more partitions than this; beyond it they take more chunks each.
 MAX_PARTITIONS = 20_000
+#: Rows and bytes that are handed over at once, so that small chunks share a batch.
+ROWS_OUT, BYTES_OUT = 1 << 16, 16 << 20
 #: How voxel types are carried in Spark, which has no unsigned types.
 SPARK_TYPES = {"uint8": "int", "int8": "int", "uint16": "int", "int16": "int", "uint32": "bigint", "int32": "int", "uint64": "bigint", "int64": "bigint", "float32": "float", "float64": "double"}
 
@@ -207,17 +211,23 @@ def chunk_path(s: Scale, g: Sequence[int], c: int = 0, t: int = 0) -> str:
     return f"{s.root}/{s.prefix}{s.separator if s.prefix else ''}{key}"
 
 
-def read_object(path: str) -> bytes | None:
-    """An object's bytes, whatever suffix it was stored with."""
+def read_packed(path: str) -> tuple[bytes, str] | None:
+    """An object's bytes as they are stored and how they are compressed, whatever suffix it has."""
     for suffix, how in (("", ""), *codecs.SUFFIXES.items()):
         try:
             with open(path + suffix, "rb") as f:
-                return codecs.stream(how)[1](f.read())
+                return f.read(), how
         except FileNotFoundError:
             continue
     return None
 
 
+def read_object(path: str) -> bytes | None:
+    """An object's bytes, whatever suffix it was stored with."""
+    found = read_packed(path)
+    return found and codecs.stream(found[1])[1](found[0])
+
+
 def write_object(path: str, data: bytes) -> None:
     """Written aside and renamed, so that a retried task leaves one whole object."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -247,6 +257,11 @@ def _in_order(s: Scale, a: np.ndarray) -> np.ndarray:
 
 def decode(s: Scale, data: bytes, shape: Sequence[int]) -> np.ndarray:
     """A stored chunk as (x, y, z, c, t) voxels, its space cropped to ``shape``."""
+    return decode_whole(s, data, shape)[: shape[0], : shape[1], : shape[2]]
+
+
+def decode_whole(s: Scale, data: bytes, shape: Sequence[int]) -> np.ndarray:
+    """The same with what is stored beyond ``shape``, a view of memory without gaps."""
     dtype = np.dtype(s.dtype)
     if s.layer_format == "precomputed":
         return codecs.decode_chunk(data, s.encoding, (*shape, s.channel_chunk), dtype, s.block)[..., None]
@@ -256,7 +271,7 @@ def decode(s: Scale, data: bytes, shape: Sequence[int]) -> np.ndarray:
             raise codecs.Unsupported("N5 blocks of varying length")
         dims = np.frombuffer(data, ">u4", n, 4)
         raw = codecs.stream(s.codecs[0])[1](data[4 + 4 * n :])
-        return np.frombuffer(raw, dtype.newbyteorder(">")).astype(dtype).reshape([int(d) for d in dims], order="F")[..., None, None][: shape[0], : shape[1], : shape[2]]
+        return np.frombuffer(raw, dtype.newbyteorder(">")).astype(dtype).reshape([int(d) for d in dims], order="F")[..., None, None]
     full = [dict(zip("xyz", s.chunk), c=s.channel_chunk, t=s.frame_chunk)[a] for a in s.axes]
     if s.layer_format == "zarr2":
         a = np.frombuffer(codecs.stream(s.codecs[1])[1](data), np.dtype(s.codecs[0])).reshape(full, order=s.order)
@@ -275,52 +290,80 @@ def decode(s: Scale, data: bytes, shape: Sequence[int]) -> np.ndarray:
             else:
                 data = codecs.stream(c["name"])[1](data)
         a = np.frombuffer(data, kind).reshape([full[p] for p in perm]).transpose(np.argsort(perm))
-    return _in_order(s, a)[: shape[0], : shape[1], : shape[2]]
-
-
-def encode(s: Scale, a: np.ndarray) -> bytes:
+    return _in_order(s, a)
+
+
+def blank(s: Scale, shape: Sequence[int]) -> np.ndarray:
+    """(x, y, z, c, t) background voxels of a chunk, in memory as they will be stored:
+    precomputed chunks cropped to ``shape``, others whole."""
+    dtype, order = np.dtype(s.dtype), [*ORDER]
+    sizes = dict(zip(ORDER, (*(shape if s.layer_format == "precomputed" else s.chunk), s.channel_chunk, s.frame_chunk)))
+    if s.layer_format != "precomputed":
+        order = [*s.axes]
+        for c in s.codecs if s.layer_format == "zarr3" else ():
+            if c["name"] == "transpose":
+                order = [order[k] for k in c["configuration"]["order"]]
+        order = [n for n in ORDER if n not in order] + (order if s.layer_format == "zarr3" or s.order == "C" else order[::-1])
+        order.reverse()
+    a = np.zeros([sizes[n] for n in reversed(order)], dtype) if s.fill == 0 else np.full([sizes[n] for n in reversed(order)], s.fill, dtype)
+    return a.transpose([len(order) - 1 - order.index(n) for n in ORDER])
+
+
+def encode(s: Scale, a: np.ndarray, sparse: bool = False) -> bytes:
     """(x, y, z, c, t) voxels as a stored chunk; zarr chunks are filled up to full size.
 
-    Voxels without a last axis are one frame.
+    Voxels without a last axis are one frame; ``sparse`` ones are nearly all background.
     """
     dtype = np.dtype(s.dtype)
     a = a[..., None] if a.ndim == 4 else a
     if s.layer_format == "precomputed":
-        return codecs.encode_chunk(np.asfortranarray(a[..., 0].astype(dtype)), s.encoding, s.block)
+        return codecs.encode_chunk(np.asfortranarray(a[..., 0].astype(dtype, copy=False)), s.encoding, s.block, sparse)
     if s.layer_format == "n5":
         raise codecs.Unsupported("writing N5")
-    full = np.full((*s.chunk, s.channel_chunk, s.frame_chunk), s.fill, dtype)
-    full[tuple(slice(0, n) for n in a.shape)] = a
+    full = a if a.shape == (*s.chunk, s.channel_chunk, s.frame_chunk) else blank(s, s.chunk)
+    if full is not a:
+        full[tuple(slice(0, n) for n in a.shape)] = a
     gone = tuple(i for i, n in enumerate(ORDER) if n not in s.axes)
     kept = [n for n in ORDER if n in s.axes]
     out = full.squeeze(gone).transpose([kept.index(n) for n in s.axes])
     if s.layer_format == "zarr2":
-        return codecs.stream(s.codecs[1])[0](out.astype(np.dtype(s.codecs[0])).tobytes(s.order))
+        return codecs.packed(s.codecs[1], out.astype(np.dtype(s.codecs[0]), copy=False).tobytes(s.order), sparse)
     data = b""
     for c in s.codecs:
         conf = c.get("configuration") or {}
         if c["name"] == "transpose":
             out = out.transpose(conf["order"])
         elif c["name"] == "bytes":
-            data = np.ascontiguousarray(out).astype(dtype.newbyteorder(">" if conf.get("endian") == "big" else "<")).tobytes()
+            data = out.astype(dtype.newbyteorder(">" if conf.get("endian") == "big" else "<"), copy=False).tobytes()
         elif c["name"] == "crc32c":
             data += codecs.crc32c(data).to_bytes(4, "little")
         else:
-            data = codecs.stream(c["name"])[0](data)
+            data = codecs.packed(c["name"], data, sparse)
     return data
 
 
-def rows_of(s: Scale, g: Sequence[int], a: np.ndarray, c0: int, t0: int, skip: bool, kind: str) -> pa.RecordBatch:
-    """Voxels of a chunk as Arrow rows."""
+def stored_voxels(s: Scale, a: np.ndarray, shape: Sequence[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Positions within ``shape`` of what is not background in a whole chunk, and the values;
+    looked for in the order of the memory."""
+    order = sorted(range(5), key=lambda d: -a.strides[d])
+    flat = a.transpose(order).reshape(-1)
+    at = np.flatnonzero(flat != s.fill)
+    near = dict(zip(order, np.unravel_index(at, [a.shape[d] for d in order])))
+    idx, v = [near[d] for d in range(5)], flat[at]
+    if a.shape != tuple(shape):
+        held = np.logical_and.reduce([i < n for i, n in zip(idx, shape)])
+        idx, v = [i[held] for i in idx], v[held]
+    return idx, v
+
+
+def rows_of(s: Scale, g: Sequence[int], idx: Sequence[np.ndarray], v: np.ndarray, c0: int, t0: int, kind: str) -> list[np.ndarray]:
+    """Voxels of a chunk as columns."""
     lo, _ = s.box(g)
-    idx = np.nonzero(a != s.fill) if skip else tuple(i.reshape(-1) for i in np.indices(a.shape))
-    v = a[idx]
     if kind == "bigint" and v.dtype == np.uint64:
         v = v.view(np.int64) if v.flags.c_contiguous else np.ascontiguousarray(v).view(np.int64)
-    xyz = [pa.array(idx[d].astype(np.int64) + lo[d]) for d in range(3)]
-    types = {"int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
-    ct = [pa.array((idx[d] + first).astype(np.int32)) for d, first in ((3, c0), (4, t0))]
-    return pa.RecordBatch.from_arrays([*xyz, *ct, pa.array(v.astype(types[kind].to_pandas_dtype()))], names=["x", "y", "z", "c", "t", "value"])
+    types = {"int": np.int32, "bigint": np.int64, "float": np.float32, "double": np.float64}
+    xyz = [idx[d].astype(np.int64) + lo[d] for d in range(3)]
+    return [*xyz, *[(idx[d] + first).astype(np.int32) for d, first in ((3, c0), (4, t0))], v.astype(types[kind])]
 
 
 class ChunkPlan:
@@ -342,7 +385,9 @@ class ChunkPlan:
 
     def partitions(self) -> list[tuple[int, int]]:
         """Ranges of unit numbers."""
-        per = max(1 if self.scale.spec else CHUNKS_PER_PARTITION, -(-self.units // MAX_PARTITIONS))
+        size = math.prod(min(u, b - a) for u, a, b in zip(self.unit, self.first, self.last)) if self.units else 1
+        chunks = min(MOST_PER_PARTITION, max(1 if self.scale.spec else CHUNKS_PER_PARTITION, -(-self.units * size // PARTITIONS)))
+        per = max(1, chunks // size, -(-self.units // MAX_PARTITIONS))
         return [(a, min(a + per, self.units)) for a in range(0, self.units, per)] or [(0, 0)]
 
     def chunks(self, unit: int) -> Iterator[tuple[tuple[int, ...], int, int]]:
@@ -392,6 +437,7 @@ class VolumeReader(DataSourceReader):
     def read(self, partition: Units) -> Iterator[pa.RecordBatch]:
         s, kind = self.scale, SPARK_TYPES[self.scale.dtype]
         plan = ChunkPlan(s, self.lo, self.hi)
+        held, n_rows = [], 0
         for unit in range(partition.start, partition.stop):
             for (g, c, t), data in stored_chunks(s, plan.chunks(unit)):
                 if data is None and self.skip:
@@ -400,15 +446,32 @@ class VolumeReader(DataSourceReader):
                 shape = [b - a for a, b in zip(lo, hi)]
                 c0, t0 = c * s.channel_chunk, t * s.frame_chunk
                 n, m = min(s.channel_chunk, s.channels - c0), min(s.frame_chunk, s.frames - t0)
-                a = np.full((*shape, n, m), s.fill, s.dtype) if data is None else decode(s, data, shape)[..., :n, :m]
-                yield rows_of(s, g, a, c0, t0, self.skip and data is not None, kind)
+                if self.skip:
+                    idx, v = stored_voxels(s, decode_whole(s, data, shape), (*shape, n, m))
+                else:
+                    a = np.full((*shape, n, m), s.fill, s.dtype) if data is None else decode(s, data, shape)[..., :n, :m]
+                    idx = [i.reshape(-1) for i in np.indices(a.shape)]
+                    v = a.reshape(-1)
+                held.append(rows_of(s, g, idx, v, c0, t0, kind))
+                n_rows += len(v)
+                if n_rows >= ROWS_OUT:
+                    yield _batch(held)
+                    held, n_rows = [], 0
+        if n_rows:
+            yield _batch(held)
 
 
-def stored_chunks(s: Scale, chunks: Iterator[tuple[tuple[int, ...], int, int]]) -> Iterator[tuple[tuple[tuple[int, ...], int, int], bytes | None]]:
-    """Each chunk with its stored bytes (without the stream compression of its file), or None."""
+def _batch(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=[*ORDER, "value"])
+
+
+def stored_chunks(s: Scale, chunks: Iterator[tuple[tuple[int, ...], int, int]], packed: str | None = None) -> Iterator[tuple[tuple[tuple[int, ...], int, int], bytes | None]]:
+    """Each chunk with its stored bytes, or None: without the stream compression of its file,
+    or ``packed`` by the stream of that name, which leaves those as they are that have it."""
     if not s.spec:
         for k in chunks:
-            yield k, read_object(chunk_path(s, *k))
+            found = read_packed(chunk_path(s, *k))
+            yield k, found and codecs.repacked(found[0], found[1], packed or "")
         return
     spec, grid = _spec(s.spec), s.grid()
     wanted = list(chunks)  # of one shard
@@ -418,9 +481,9 @@ def stored_chunks(s: Scale, chunks: Iterator[tuple[tuple[int, ...], int, int]])
         mine = np.nonzero(shards == number)[0]
         shard = ShardFile(f"{s.root}/{spec.shard_name(number)}.shard", spec)
         found = set()
-        for k, data in shard.payloads(codes[mine]):
+        for k, data in shard.payloads(codes[mine], packed=True):
             found.add(k)
-            yield wanted[mine[k]], data
+            yield wanted[mine[k]], codecs.repacked(data, spec.data_encoding, packed or "")
         shard.close()
         for k in set(range(len(mine))) - found:
             yield wanted[mine[k]], None
@@ -563,26 +626,41 @@ def write_layer(volume: Volume, path: str, layer_format: str = "precomputed", dt
     suffix = codecs.suffix_of(compress) if layer_format == "precomputed" and not spec else ""
     value = volume.value
 
-    def payload(pdf: pd.DataFrame) -> tuple[list[int], int, int, bytes]:
-        g, c, t = [int(pdf[n].iloc[0]) for n in GXYZ], int(pdf["gc"].iloc[0]), int(pdf["gt"].iloc[0])
-        if not (0 <= pdf["t"].min() and pdf["t"].max() < s.frames and 0 <= pdf["c"].min() and pdf["c"].max() < s.channels):
-            raise ValueError(f"a channel or frame outside of {s.channels} and {s.frames}")
-        lo, hi = s.box(g)
-        a = np.full([*[b - a for a, b in zip(lo, hi)], s.channel_chunk, s.frame_chunk], s.fill, np.dtype(dtype))
-        pdf = pdf[pdf["held"]]
-        a[(*[pdf[n].to_numpy() - o for n, o in zip(XYZ, lo)], pdf["c"].to_numpy() - c * s.channel_chunk, pdf["t"].to_numpy() - t * s.frame_chunk)] = pdf[value].to_numpy()
-        return g, c, t, encode(s, a)
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, c, t, data = payload(pdf)
-        if suffix:
-            data = codecs.stream(compress)[0](data)
-        at = chunk_path(s, g, c, t) + suffix
-        write_object(at, data)
-        return pd.DataFrame({"path": [at], "n_bytes": [len(data)]})
+    sizes = (*s.chunk, s.channel_chunk, s.frame_chunk)
+    counts = (*s.grid(), -(-s.channels // s.channel_chunk), -(-s.frames // s.frame_chunk))
+
+    def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...], int, int, bytes, bool]]:
+        for number, at, values in _runs(batches):
+            at, values = at[at >= 0], values[at >= 0]
+            *g, c, t = (int(i) for i in np.unravel_index(number, counts, order="F"))
+            lo, hi = s.box(g)
+            a = blank(s, [q - p for p, q in zip(lo, hi)])
+            a[np.unravel_index(at, sizes, order="F")] = values
+            sparse = len(at) * codecs.SPARSE <= a.size
+            yield tuple(g), c, t, encode(s, a, sparse), sparse
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = []
+        for g, c, t, data, sparse in payloads(batches):
+            if suffix:
+                data = codecs.packed(compress, data, sparse)
+            at = chunk_path(s, g, c, t) + suffix
+            write_object(at, data)
+            done.append((at, len(data)))
+        yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in done], pa.string()), "n_bytes": pa.array([n for _, n in done], pa.int64())})
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, size = [], 0
+        for g, _, _, data, sparse in payloads(batches):
+            done.append((morton(g, s.grid()), codecs.packed(spec.data_encoding, data, sparse)))
+            size += len(done[-1][1])
+            if size >= BYTES_OUT:
+                yield _items(done)
+                done, size = [], 0
+        yield _items(done)
 
     ct = [F.col(n).cast("int").alias(n) if n in volume.voxels.columns else F.lit(0).alias(n) for n in "ct"]
-    rows = volume.with_chunks(volume.voxels).select(*GXYZ, *XYZ, *ct, value, F.lit(True).alias("held"))
+    rows = volume.with_chunks(volume.voxels).select(*GXYZ, *XYZ, *ct, F.col(value).alias("value"), F.lit(True).alias("held"))
     if layer_format == "precomputed" and volume.background != 0:  # a chunk that isn't there reads as 0
         zero = {n: F.lit(0).cast(kind) for n, kind in rows.dtypes if n not in (*GXYZ, "held")}
         rows = rows.unionByName(volume.touched_chunks(volume.bounds).withColumns(zero | {"held": F.lit(False)}))
@@ -590,18 +668,58 @@ def write_layer(volume: Volume, path: str, layer_format: str = "precomputed", dt
     if erase and not spec:
         stale = chunk_objects(volume.spark, path, level).join(rows.select(*GXYZ, "gc", "gt").distinct(), [*GXYZ, "gc", "gt"], "left_anti")
         _delete(stale).count()
+    within = [(F.col("c") >= 0) & (F.col("c") < s.channels) & (F.col("t") >= 0) & (F.col("t") < s.frames), volume.inside(volume.bounds)]
+    said = [f"a channel or frame outside of {s.channels} and {s.frames}", f"a voxel outside of {volume.bounds}"]
+    number = _mixed([*GXYZ, "gc", "gt"], counts)
+    for ok, why in zip(within, said):
+        number = F.when(ok | ~F.col("held"), number).otherwise(F.raise_error(F.lit(why)).cast("bigint"))
+    first = dict(zip(XYZ, (F.col(g) * n + o for g, n, o in zip(GXYZ, s.chunk, s.offset)))) | {"c": F.col("gc") * s.channel_chunk, "t": F.col("gt") * s.frame_chunk}
+    at = F.when(F.col("held"), _mixed([F.col(n) - first[n] for n in ORDER], sizes)).otherwise(-1)
+    rows = rows.select(number.alias("number"), at.alias("at"), "value").repartition("number").sortWithinPartitions("number")
     if spec is None:
-        return cut(rows.groupBy(*GXYZ, "gc", "gt").applyInPandas(write, "path string, n_bytes bigint"), "written")
+        return cut(rows.mapInArrow(write, "path string, n_bytes bigint"), "written")
+    return write_shards(rows.mapInArrow(coded, "label bigint, payload binary"), s.root, spec, packed=True)
+
+
+def _mixed(digits: Sequence, counts: Sequence[int]) -> Column:
+    """One number of digits that are below the counts, the first one fastest."""
+    out = F.lit(0).cast("bigint")
+    for d, n in reversed(list(zip(digits, counts))):
+        out = out * n + (F.col(d) if isinstance(d, str) else d)
+    return out.cast("bigint")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The second and third column for each run of equal numbers in the first, over the
+    ends of batches too."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    now = None
+    for batch in batches:
+        number, *more = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        ends = [*(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)] if len(number) else []
+        for a, b in zip([0, *ends], ends):
+            if held and number[a] != now:
+                yield now, *_joined(held)
+                held = []
+            now = int(number[a])
+            held.append(tuple(m[a:b] for m in more))
+    if held:
+        yield now, *_joined(held)
 
-    def coded(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, _, _, data = payload(pdf)
-        return pd.DataFrame({"label": [morton(g, s.grid())], "payload": [data]})
 
-    return write_shards(rows.groupBy(*GXYZ, "gc", "gt").applyInPandas(coded, "label bigint, payload binary"), s.root, spec)
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def write_shards(items: DataFrame, root: str, spec: sharding.Spec) -> DataFrame:
-    """``label, payload`` rows as shard files below a folder; ``path, n_bytes``."""
+def _items(done: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"label": pa.array([k for k, _ in done], pa.int64()), "payload": pa.array([p for _, p in done], pa.binary())})
+
+
+def write_shards(items: DataFrame, root: str, spec: sharding.Spec, packed: bool = False) -> DataFrame:
+    """``label, payload`` rows as shard files below a folder; ``path, n_bytes``.
+
+    ``packed`` payloads are encoded as the layout says already, so that less is shuffled.
+    """
     root = local(root).rstrip("/")
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -610,7 +728,7 @@ def write_shards(items: DataFrame, root: str, spec: sharding.Spec) -> DataFrame:
                 write_object(f"{root}/{name}", bytes(content))
             yield pd.DataFrame({"path": [f"{root}/{n}" for n in pdf["filename"]], "n_bytes": [len(c) for c in pdf["content"]]})
 
-    return cut(sharding.shard_files(items, spec).mapInPandas(store, "path string, n_bytes bigint"), "written")
+    return cut(sharding.shard_files(items, spec, packed=packed).mapInPandas(store, "path string, n_bytes bigint"), "written")
 
 
 def _new_scale(volume: Volume, path: str, layer_format: str, dtype: str, resolution: Sequence[float], compress: str, encoding: str, spec: sharding.Spec | None, channels: int, frames: int, channel_chunk: int, frame_chunk: int, level: int) -> Scale:
@@ -780,21 +898,35 @@ def transfer(spark: SparkSession, source: str, target: str, chunk: Sequence[int]
                 yield pd.DataFrame(done, columns=["path", "n_bytes"])
 
         return cut(names.mapInPandas(copy, "path string, n_bytes bigint"), "written")
-    chunks = download_chunks(spark, source, mip)
+    plan = ChunkPlan(s)
+    units = spark.range(0, plan.units, 1, len(plan.partitions()))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done, size = [], 0
+            for unit in batch.column(0).to_pylist():
+                for (g, _, _), data in stored_chunks(s, plan.chunks(unit), spec.data_encoding):
+                    if data is not None:
+                        done.append((morton(g, s.grid()), data))
+                        size += len(data)
+                        if size >= BYTES_OUT:
+                            yield _items(done)
+                            done, size = [], 0
+            yield _items(done)
+
     if way == "pack":
-        size = s.grid()
-        code = F.pandas_udf(lambda x, y, z: pd.Series([morton(g, size) for g in zip(x, y, z)], dtype="int64"), "bigint")
-        return write_shards(chunks.select(code(*GXYZ).alias("label"), "payload"), new.root, spec)
+        return write_shards(units.mapInArrow(pack, "label bigint, payload binary"), new.root, spec, packed=True)
     suffix = codecs.suffix_of(compress)
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             done = []
-            for x, y, z, data in zip(*[pdf[g] for g in GXYZ], pdf["payload"]):
-                data = codecs.stream(compress)[0](bytes(data)) if suffix else bytes(data)
-                at = chunk_path(new, (x, y, z)) + suffix
-                write_object(at, data)
-                done.append((at, len(data)))
+            for unit in pdf["id"].tolist():
+                for (g, _, _), data in stored_chunks(s, plan.chunks(unit), compress if suffix else ""):
+                    if data is not None:
+                        at = chunk_path(new, g) + suffix
+                        write_object(at, data)
+                        done.append((at, len(data)))
             yield pd.DataFrame(done, columns=["path", "n_bytes"])
 
-    return cut(chunks.mapInPandas(store, "path string, n_bytes bigint"), "written")
+    return cut(units.mapInPandas(store, "path string, n_bytes bigint"), "written")

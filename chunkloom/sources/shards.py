@@ -97,12 +97,13 @@ class ShardFile:
                 offsets[mine[hit]], sizes[mine[hit]] = at[k[hit]].astype(np.int64), size[k[hit]].astype(np.int64)
         return offsets, sizes
 
-    def payloads(self, labels: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(number of the label, payload) of the labels that are there, in file order."""
+    def payloads(self, labels: np.ndarray, packed: bool = False) -> Iterator[tuple[int, bytes]]:
+        """(number of the label, payload) of the labels that are there, in file order;
+        ``packed`` ones as they are stored."""
         offsets, sizes = self.find(labels)
         there = np.nonzero(sizes >= 0)[0]
         for k, data in self._ranges(offsets[there], sizes[there]):
-            yield int(there[k]), _unpack(data, self.spec.data_encoding)
+            yield int(there[k]), data if packed else _unpack(data, self.spec.data_encoding)
 
     def entries(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(minishard, labels, offsets, sizes) of all entries; payloads are not read."""
