@@ -32,3 +32,16 @@ def test_voxels_outside_of_the_bounds_are_refused(spark, tmp_path):
         rows = spark.createDataFrame([(0, 0, 0, 5), (x, 0, 0, 5)], "x bigint, y bigint, z bigint, label bigint")
         with pytest.raises(Exception, match="outside"):
             layers.write_layer(Volume(rows, ((0, 0, 0), (6, 2, 2)), (4, 2, 2)), f"{tmp_path}/{x}", "zarr2", compress="zlib")
+
+
+def wide_layer(path, spec=None):
+    info = layers.create_info(WIDE.size, (1, 1, 1), WIDE.chunk, "uint32", WIDE.offset, spec=spec)
+    layers.write_object(f"{path}/info", layers.json.dumps(info).encode())
+    return path
+
+
+def test_a_wide_grid_of_shards_is_read_by_few_tasks(tmp_path):
+    plan = layers.ChunkPlan(layers.open_layer(wide_layer(str(tmp_path), Spec(1, 2, 8)))[0])
+    ranges = plan.partitions()
+    assert len(ranges) <= 300 and ranges[-1][1] == plan.units
+    assert all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
