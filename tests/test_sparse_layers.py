@@ -47,6 +47,6 @@ def test_a_wide_grid_of_shards_is_read_by_few_tasks(tmp_path):
     assert all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
 
 
-@pytest.mark.parametrize("spec", [None])
+@pytest.mark.parametrize("spec", [None, Spec(1, 2, 8)])
 def test_which_chunks_of_a_wide_grid_exist_is_asked_by_few_tasks(spark, tmp_path, spec):
     assert layers.chunk_exists(spark, wide_layer(str(tmp_path), spec)).rdd.getNumPartitions() <= 300
