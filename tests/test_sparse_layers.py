@@ -50,3 +50,20 @@ def test_a_wide_grid_of_shards_is_read_by_few_tasks(tmp_path):
 @pytest.mark.parametrize("spec", [None, Spec(1, 2, 8)])
 def test_which_chunks_of_a_wide_grid_exist_is_asked_by_few_tasks(spark, tmp_path, spec):
     assert layers.chunk_exists(spark, wide_layer(str(tmp_path), spec)).rdd.getNumPartitions() <= 300
+
+
+def small_layer(spark, path, **how):
+    rows = spark.createDataFrame([(0, 0, 0, 5), (5, 1, 1, 9)], "x bigint, y bigint, z bigint, label bigint")
+    layers.write_layer(Volume(rows, ((0, 0, 0), (6, 2, 2)), (4, 2, 2)), path, **how)
+    return layers.open_layer(path)[0]
+
+
+def carried(s, packed):
+    return {g: data for (g, _, _), data in layers.stored_chunks(s, [((0, 0, 0), 0, 0), ((1, 0, 0), 0, 0)], packed)}
+
+
+def test_objects_are_carried_over_as_they_are_stored(spark, tmp_path):
+    s = small_layer(spark, f"{tmp_path}/a")
+    stored = {g: open(layers.chunk_path(s, g) + ".gz", "rb").read() for g in ((0, 0, 0), (1, 0, 0))}
+    assert carried(s, "gzip") == stored
+    assert {g: codecs.stream("zstd")[1](d) for g, d in carried(s, "zstd").items()} == {g: gzip.decompress(d) for g, d in stored.items()}
