@@ -67,3 +67,10 @@ def test_objects_are_carried_over_as_they_are_stored(spark, tmp_path):
     stored = {g: open(layers.chunk_path(s, g) + ".gz", "rb").read() for g in ((0, 0, 0), (1, 0, 0))}
     assert carried(s, "gzip") == stored
     assert {g: codecs.stream("zstd")[1](d) for g, d in carried(s, "zstd").items()} == {g: gzip.decompress(d) for g, d in stored.items()}
+
+
+def test_payloads_of_shards_are_carried_over_as_they_are_stored(spark, tmp_path):
+    s = small_layer(spark, f"{tmp_path}/a", spec=Spec(1, 2, 1))
+    got = carried(s, "gzip")
+    assert all(d in open(f"{s.root}/0.shard", "rb").read() for d in got.values())
+    assert {g: gzip.decompress(d) for g, d in got.items()} == carried(s, None)
