@@ -74,3 +74,13 @@ def test_payloads_of_shards_are_carried_over_as_they_are_stored(spark, tmp_path)
     got = carried(s, "gzip")
     assert all(d in open(f"{s.root}/0.shard", "rb").read() for d in got.values())
     assert {g: gzip.decompress(d) for g, d in got.items()} == carried(s, None)
+
+
+def test_packed_payloads_become_the_same_shards(spark, tmp_path):
+    spec = Spec(1, 2, 1)
+    items = [(k, f"payload {k}".encode() * 9) for k in range(40)]
+    layers.write_shards(spark.createDataFrame(items, "label bigint, payload binary"), f"{tmp_path}/a", spec)
+    ready = [(k, codecs.packed("gzip", p)) for k, p in items]
+    layers.write_shards(spark.createDataFrame(ready, "label bigint, payload binary"), f"{tmp_path}/b", spec, packed=True)
+    for n in (0, 1):
+        assert open(f"{tmp_path}/a/{n}.shard", "rb").read() == open(f"{tmp_path}/b/{n}.shard", "rb").read()
