@@ -84,3 +84,14 @@ def test_packed_payloads_become_the_same_shards(spark, tmp_path):
     layers.write_shards(spark.createDataFrame(ready, "label bigint, payload binary"), f"{tmp_path}/b", spec, packed=True)
     for n in (0, 1):
         assert open(f"{tmp_path}/a/{n}.shard", "rb").read() == open(f"{tmp_path}/b/{n}.shard", "rb").read()
+
+
+def test_blocks_of_few_labels_are_encoded_together(monkeypatch):
+    a = np.zeros((65, 34, 7, 2), np.uint32)
+    a[::3, ::5, ::4, 0] = np.arange(22 * 7 * 2).reshape(22, 7, 2)
+    a[:8, :8, :, 1] = np.arange(8 * 8 * 7).reshape(8, 8, 7)
+    calls, unique = [], np.unique
+    monkeypatch.setattr(codecs.np, "unique", lambda *x, **how: calls.append(1) or unique(*x, **how))
+    data = codecs.encode_chunk(a, "compressed_segmentation")
+    assert len(calls) == 1
+    assert (codecs.decode_chunk(data, "compressed_segmentation", a.shape, np.dtype("uint32")) == a).all()
