@@ -95,3 +95,13 @@ def test_blocks_of_few_labels_are_encoded_together(monkeypatch):
     data = codecs.encode_chunk(a, "compressed_segmentation")
     assert len(calls) == 1
     assert (codecs.decode_chunk(data, "compressed_segmentation", a.shape, np.dtype("uint32")) == a).all()
+
+
+def test_checksums_are_right_and_steps_are_kept():
+    for data in (b"", b"123", b"123456789", bytes(range(256)) * 40):
+        c = 0xFFFFFFFF
+        for byte in data:
+            c = int(codecs._CRC[(c ^ byte) & 0xFF]) ^ (c >> 8)
+        assert codecs.crc32c(data) == c ^ 0xFFFFFFFF
+    assert codecs.crc32c(b"123456789") == 0xE3069283
+    assert codecs._zero_bytes(64) is codecs._zero_bytes(64)
