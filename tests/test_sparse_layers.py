@@ -105,3 +105,10 @@ def test_checksums_are_right_and_steps_are_kept():
         assert codecs.crc32c(data) == c ^ 0xFFFFFFFF
     assert codecs.crc32c(b"123456789") == 0xE3069283
     assert codecs._zero_bytes(64) is codecs._zero_bytes(64)
+
+
+def test_a_sparse_png_is_packed_by_its_runs():
+    image = np.zeros((896, 1024, 1), np.uint8)
+    image.reshape(-1)[::1000] = 7
+    data = codecs.encode_png(image, sparse=True)
+    assert (codecs.decode_png(data) == image).all()
