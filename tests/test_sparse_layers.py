@@ -112,3 +112,13 @@ def test_a_sparse_png_is_packed_by_its_runs():
     image.reshape(-1)[::1000] = 7
     data = codecs.encode_png(image, sparse=True)
     assert (codecs.decode_png(data) == image).all()
+
+
+def test_small_chunks_share_a_batch(spark, tmp_path):
+    rows = spark.range(64).selectExpr("id as x", "0L as y", "0L as z", "id + 1 as label")
+    layers.write_layer(Volume(rows, ((0, 0, 0), (64, 1, 1)), (1, 1, 1)), str(tmp_path), spec=Spec(1, 2, 3))
+    reader = layers.VolumeReader(layers.open_layer(str(tmp_path))[0], True)
+    plan = layers.ChunkPlan(reader.scale)
+    batches = list(reader.read(layers.Units(0, plan.units)))
+    assert [b.num_rows for b in batches] == [64]
+    assert sorted(batches[0]["value"].to_pylist()) == list(range(1, 65))
