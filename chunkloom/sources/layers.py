@@ -19,6 +19,7 @@ import json
 import math
 import os
 import shutil
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -232,13 +233,28 @@ def read_object(path: str) -> bytes | None:
     return found and codecs.stream(found[1])[1](found[0])
 
 
-def write_object(path: str, data: bytes) -> None:
-    """Written aside and renamed, so that a retried task leaves one whole object."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{os.getpid()}.part"
-    with open(part, "wb") as f:
-        f.write(data)
-    os.replace(part, path)
+def write_object(path: str, data: bytes, aside: str | None = None) -> None:
+    """Written aside and renamed, so that a retried task leaves one whole object.
+
+    In a folder of many objects new names are slow, the more so if tasks take turns; with
+    another folder ``aside`` for the part each object is one name there instead of two.
+    """
+    part = f"{aside}/.{_MINE.setdefault(os.getpid(), uuid.uuid4().hex)}.part" if aside else f"{path}.{os.getpid()}.part"
+    for again in (True, False):
+        try:
+            with open(part, "wb") as f:
+                f.write(data)
+            os.replace(part, path)
+            return
+        except FileNotFoundError:  # folders are made where they are missing
+            if not again:
+                raise
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            os.makedirs(os.path.dirname(part), exist_ok=True)
+
+
+#: The name of each process for the parts of objects; processes may be forked.
+_MINE: dict[int, str] = {}
 
 
 ORDER = ("x", "y", "z", "c", "t")
@@ -647,8 +663,21 @@ def open_shard(s: Scale, spec: sharding.Spec, number: int, files: dict[int, Shar
 def stored_chunks(s: Scale, chunks: Iterator[tuple[tuple[int, ...], int, int]], packed: str | None = None, files: dict[int, ShardFile] | None = None) -> Iterator[tuple[tuple[tuple[int, ...], int, int], bytes | None]]:
     """Each chunk with its stored bytes, or None: without the stream compression of its file,
     or ``packed`` by the stream of that name, which leaves those as they are that have it."""
+    held: list[tuple] = []
     for k, data, how in chunks_as_stored(s, chunks, files):
-        yield k, data if data is None else codecs.repacked(data, how, packed or "")
+        if data is None:
+            yield k, None
+            continue
+        if held and (how != held[0][2] or len(held) >= TOGETHER or not packed):
+            yield from _repacked(held, packed or "")
+            held = []
+        held.append((k, data, how))
+    yield from _repacked(held, packed or "")
+
+
+def _repacked(held: list[tuple], packed: str) -> Iterator[tuple[tuple[tuple[int, ...], int, int], bytes]]:
+    if held:
+        yield from zip([k for k, _, _ in held], codecs.all_repacked([data for _, data, _ in held], held[0][2], packed))
 
 
 def _spec(d: dict) -> sharding.Spec:
@@ -835,7 +864,7 @@ def write_layer(volume: Volume, path: str, layer_format: str = "precomputed", dt
         done = []
         for g, c, t, data in payloads(batches):
             at = chunk_path(s, g, c, t) + suffix
-            write_object(at, data)
+            write_object(at, data, path)
             done.append((at, len(data)))
         yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in done], pa.string()), "n_bytes": pa.array([n for _, n in done], pa.int64())})
 
@@ -1114,11 +1143,12 @@ def transfer(spark: SparkSession, source: str, target: str, chunk: Sequence[int]
         files: dict[int, ShardFile] = {}
         for pdf in batches:
             done = []
-            for unit in pdf["id"].tolist():
-                for (g, _, _), data in stored_chunks(s, plan.chunks(unit), compress if suffix else "", files):
+            units = pdf["id"].tolist()
+            for some in [units] if not s.spec else [[u] for u in units]:
+                for (g, _, _), data in stored_chunks(s, (k for u in some for k in plan.chunks(u)), compress if suffix else "", files):
                     if data is not None:
                         at = chunk_path(new, g) + suffix
-                        write_object(at, data)
+                        write_object(at, data, target)
                         done.append((at, len(data)))
             yield pd.DataFrame(done, columns=["path", "n_bytes"])
 
