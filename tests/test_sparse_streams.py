@@ -130,3 +130,9 @@ def test_f12_a_task_keeps_few_shard_files_open(tmp_path, monkeypatch):
         shard = layers.open_shard(s, spec, number, files)
         assert shard.path.endswith(f"/{number}.shard") and shard is files[number]
     assert sorted(files) == [5, 7]
+
+
+def test_f10_zstd_frames_that_tell_their_size_are_read_at_once(monkeypatch):
+    data = codecs.stream("zstd")[0](bytes(5000))
+    monkeypatch.setattr(codecs.io, "BytesIO", None)  # what a stream is read from
+    assert codecs.stream("zstd")[1](data) == bytes(5000)
