@@ -30,12 +30,16 @@ def query(sql: str | None = None):
 
 
 def _written(spark, sf_dir, **how) -> str:
-    v = volume(spark, sf_dir)
     path = layers.local(fresh_path(spark, "layer"))
-    layers.write_layer(Volume(cut(v.voxels.select(*XYZ, "label"), "voxels"), v.bounds, _FLAT), path, **how)
+    layers.write_layer(Volume(_given(spark, sf_dir).select(*XYZ, "label"), volume(spark, sf_dir).bounds, _FLAT), path, least=True, **how)
     return path
 
 
+def _given(spark, sf_dir):
+    """The voxels of V as the table has them, some more than once; V has the least of each."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"), F.col("l_linenumber").cast("bigint").alias("z"), (F.col("l_orderkey") + 1).alias("label"), F.col("l_quantity").alias("val"))
+
+
 def _read(spark, path: str):
     return layers.read_layer(spark, path, skip_background=True).select(*XYZ, F.col("value").alias("label"))
 
@@ -57,7 +61,7 @@ def png_roundtrip(spark, sf_dir):
     """An image layer of 8 bits as PNG chunks."""
     v = volume(spark, sf_dir)
     path = layers.local(fresh_path(spark, "layer"))
-    layers.write_layer(Volume(cut(v.voxels.select(*XYZ, F.col("val").cast("int").alias("value")), "voxels"), v.bounds, _FLAT, value="value"), path, dtype="uint8", encoding="png", compress="")
+    layers.write_layer(Volume(_given(spark, sf_dir).select(*XYZ, F.col("val").cast("int").alias("value")), v.bounds, _FLAT, value="value"), path, dtype="uint8", encoding="png", compress="", least=True)
     return layers.read_layer(spark, path, skip_background=True).select(*XYZ, "value")
 
 
@@ -133,9 +137,9 @@ _FRAMED = f"WITH {V} SELECT x, y, z, CAST(x % 2 AS INTEGER) AS c, CAST(y % 3 AS
 def _framed(spark, sf_dir, layer_format: str):
     """Voxels in two channels, one chunk each, and three frames, two in a chunk."""
     v = volume(spark, sf_dir)
-    rows = v.voxels.select(*XYZ, (F.col("x") % 2).cast("int").alias("c"), (F.col("y") % 3).cast("int").alias("t"), "label")
+    rows = _given(spark, sf_dir).select(*XYZ, (F.col("x") % 2).cast("int").alias("c"), (F.col("y") % 3).cast("int").alias("t"), "label")
     path = layers.local(fresh_path(spark, "layer"))
-    layers.write_layer(Volume(cut(rows, "voxels"), v.bounds, _FLAT), path, layer_format, compress="zstd" if layer_format == "zarr3" else "zlib", channels=2, frames=3, channel_chunk=1, frame_chunk=2)
+    layers.write_layer(Volume(rows, v.bounds, _FLAT), path, layer_format, least=True, compress="zstd" if layer_format == "zarr3" else "zlib", channels=2, frames=3, channel_chunk=1, frame_chunk=2)
     return layers.read_layer(spark, path, skip_background=True).select(*XYZ, "c", "t", F.col("value").alias("label"))
 
 

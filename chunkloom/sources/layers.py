@@ -19,9 +19,11 @@ import json
 import math
 import os
 import shutil
+import time
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -46,8 +48,10 @@ MAX_PARTITIONS = 20_000
 ROWS_OUT, BYTES_OUT = 1 << 16, 16 << 20
 #: Sparse chunks that are encoded or decoded at once, and shard files that a task keeps open.
 TOGETHER, OPEN_SHARDS = 256, 64
+#: Bytes of sparse chunks that are decoded at once, at most and the last chunk.
+BYTES_TOGETHER = 1 << 20
 #: Of zstd, chunks are made without their background where at most one voxel in so many is stored.
-SPARSE_ZSTD = 1024
+SPARSE_ZSTD = 128
 #: How voxel types are carried in Spark, which has no unsigned types.
 SPARK_TYPES = {"uint8": "int", "int8": "int", "uint16": "int", "int16": "int", "uint32": "bigint", "int32": "int", "uint64": "bigint", "int64": "bigint", "float32": "float", "float64": "double"}
 
@@ -216,9 +220,72 @@ def chunk_path(s: Scale, g: Sequence[int], c: int = 0, t: int = 0) -> str:
     return f"{s.root}/{s.prefix}{s.separator if s.prefix else ''}{key}"
 
 
-def read_packed(path: str) -> tuple[bytes, str] | None:
+#: Objects of a folder that a task misses before it lists the folder, and the names that it
+#: lists at most; the objects of larger folders are asked for one by one.
+MISSES, MOST_LISTED = 16, 200_000
+#: Seconds that a folder has to be unchanged before a process keeps its names, and folders kept.
+SETTLED, FOLDERS_KEPT = 2, 8
+_LISTED: dict[str, tuple[tuple[int, int], frozenset[str] | None]] = {}
+
+
+def listed(folder: str) -> frozenset[str] | None:
+    """The names in a folder, none where it is missing; None if they are too many."""
+    try:
+        now = os.stat(folder)
+        mark = now.st_ino, now.st_mtime_ns
+        if _LISTED.get(folder, (None,))[0] == mark:
+            return _LISTED[folder][1]
+        with os.scandir(folder) as found:
+            names = [e.name for e in islice(found, MOST_LISTED + 1)]
+    except (FileNotFoundError, NotADirectoryError):
+        return frozenset()
+    out = frozenset(names) if len(names) <= MOST_LISTED else None
+    if time.time() - now.st_mtime > SETTLED:
+        if len(_LISTED) >= FOLDERS_KEPT:
+            _LISTED.pop(next(iter(_LISTED)), None)
+        _LISTED[folder] = mark, out
+    return out
+
+
+class Present:
+    """Which objects of a task are there: once some of a folder are missing, its names are
+    listed instead of asking for each object under each suffix."""
+
+    def __init__(self) -> None:
+        self.missed: dict[str, int] = {}
+        self.names: dict[str, frozenset[str] | None] = {}
+
+    def may_be(self, path: str) -> Sequence[str]:
+        """The suffixes under which the object may be stored."""
+        folder, _, name = path.rpartition("/")
+        if self.missed.get(folder, 0) < MISSES:
+            return ("", *codecs.SUFFIXES)
+        if folder not in self.names:
+            self.names[folder] = listed(folder)
+        names = self.names[folder]
+        return ("", *codecs.SUFFIXES) if names is None else [x for x in ("", *codecs.SUFFIXES) if name + x in names]
+
+    def miss(self, path: str) -> None:
+        folder = path.rpartition("/")[0]
+        self.missed[folder] = self.missed.get(folder, 0) + 1
+
+    def packed(self, path: str) -> tuple[bytes, str] | None:
+        found = read_packed(path, self.may_be(path))
+        if found is None:
+            self.miss(path)
+        return found
+
+    def paths(self, path: str) -> list[str]:
+        found = [path + x for x in self.may_be(path) if os.path.exists(path + x)]
+        if not found:
+            self.miss(path)
+        return found
+
+
+def read_packed(path: str, suffixes: Sequence[str] = ("", *codecs.SUFFIXES)) -> tuple[bytes, str] | None:
     """An object's bytes as they are stored and how they are compressed, whatever suffix it has."""
-    for suffix, how in (("", ""), *codecs.SUFFIXES.items()):
+    for suffix in suffixes:
+        how = codecs.SUFFIXES.get(suffix, "")
         try:
             with open(path + suffix, "rb") as f:
                 return f.read(), how
@@ -420,8 +487,10 @@ def encode_sparse(s: Scale, name: str, boxes: Sequence, ats: Sequence[np.ndarray
         at += digits[n] * total[owner]
         total = total * lengths[n]
     words = np.concatenate(values).astype(np.dtype(s.dtype).newbyteorder("<"))
-    order = np.lexsort((at, owner))
-    at, owner, words = at[order], owner[order], words[order].view(np.uint8).reshape(len(order), -1)
+    if ((owner[1:] == owner[:-1]) & (at[1:] < at[:-1])).any():
+        order = np.lexsort((at, owner))
+        at, owner, words = at[order], owner[order], words[order]
+    words = words.view(np.uint8).reshape(len(at), -1)
     kept = np.append((at[1:] != at[:-1]) | (owner[1:] != owner[:-1]), True) & words.any(axis=1)  # the last of equal places
     at, owner, words = at[kept], owner[kept], words[kept]
     out: list[bytes | None] = [None] * len(boxes)
@@ -511,6 +580,12 @@ class ChunkPlan:
         per = max(1, chunks // size, -(-self.units // MAX_PARTITIONS))
         return [(a, min(a + per, self.units)) for a in range(0, self.units, per)] or [(0, 0)]
 
+    def shared(self, units: Iterable[int]) -> Iterator[Iterator[tuple[tuple[int, ...], int, int]]]:
+        """The chunks of units: those of a shard file by themselves, single ones all together."""
+        if self.scale.spec:
+            return (self.chunks(u) for u in units)
+        return iter([(k for u in units for k in self.chunks(u))])
+
     def chunks(self, unit: int) -> Iterator[tuple[tuple[int, ...], int, int]]:
         """(grid position, channel chunk, frame chunk) of a unit's chunks, x fastest."""
         at = []
@@ -560,6 +635,7 @@ class VolumeReader(DataSourceReader):
         plan = ChunkPlan(s, self.lo, self.hi)
         held, n_rows, files, names = [], 0, {}, {}
         short: dict[str, list] = {}
+        waiting: dict[str, int] = {}
 
         def extent(c: int, t: int) -> tuple[int, int, int, int]:
             c0, t0 = c * s.channel_chunk, t * s.frame_chunk
@@ -579,6 +655,7 @@ class VolumeReader(DataSourceReader):
 
         def together(name: str) -> Iterator[list[np.ndarray]]:
             some = short.pop(name)
+            waiting[name] = 0
             boxes = [box for _, box, *_ in some]
             bad, owner, idx, v = decode_sparse(s, name, boxes, [body for *_, body in some])
             first = np.array([[*box[0], *extent(c, t)[:2]] for (_, c, t), box, *_ in some], np.int64)
@@ -590,8 +667,8 @@ class VolumeReader(DataSourceReader):
                 (g, c, t), _, data, how, _ = some[k]
                 yield whole(g, c, t, codecs.repacked(data, how, ""))
 
-        for unit in range(partition.start, partition.stop):
-            for (g, c, t), data, how in chunks_as_stored(s, plan.chunks(unit), files):
+        for unit in plan.shared(range(partition.start, partition.stop)):
+            for (g, c, t), data, how in chunks_as_stored(s, unit, files):
                 if data is None and self.skip:
                     continue
                 if how not in names:
@@ -602,7 +679,8 @@ class VolumeReader(DataSourceReader):
                     found = [whole(g, c, t, data if data is None else codecs.repacked(data, how, ""))]
                 else:
                     short.setdefault(name, []).append(((g, c, t), box, data, how, body))
-                    if len(short[name]) < TOGETHER:
+                    waiting[name] = waiting.get(name, 0) + len(body)
+                    if len(short[name]) < TOGETHER and waiting[name] < BYTES_TOGETHER:
                         continue
                     found = together(name)
                 for part in found:
@@ -629,8 +707,9 @@ def chunks_as_stored(s: Scale, chunks: Iterator[tuple[tuple[int, ...], int, int]
     """Each chunk with its stored bytes, or None, and the stream that its file compresses
     them by.  ``files`` keeps shard files open from one call to the next."""
     if not s.spec:
+        there = Present()
         for k in chunks:
-            yield k, *(read_packed(chunk_path(s, *k)) or (None, ""))
+            yield k, *(there.packed(chunk_path(s, *k)) or (None, ""))
         return
     spec, grid = _spec(s.spec), s.grid()
     wanted = list(chunks)  # of one shard
@@ -802,14 +881,16 @@ def write_zarr2_metadata(path: str, s: Scale) -> None:
     write_object(f"{s.root}/.zarray", json.dumps(array).encode())
 
 
-def write_layer(volume: Volume, path: str, layer_format: str = "precomputed", dtype: str = "uint32", resolution: Sequence[float] = (1, 1, 1), compress: str = "gzip", encoding: str = "raw", spec: sharding.Spec | None = None, channels: int = 1, frames: int = 1, channel_chunk: int | None = None, frame_chunk: int = 1, level: int = 0, erase: bool = False) -> DataFrame:
+def write_layer(volume: Volume, path: str, layer_format: str = "precomputed", dtype: str = "uint32", resolution: Sequence[float] = (1, 1, 1), compress: str = "gzip", encoding: str = "raw", spec: sharding.Spec | None = None, channels: int = 1, frames: int = 1, channel_chunk: int | None = None, frame_chunk: int = 1, level: int = 0, erase: bool = False, least: bool = False) -> DataFrame:
     """Writes a volume's stored chunks in parallel; ``path, n_bytes`` of each object.
 
     Chunks that hold only background are not written, unless the format has no fill value
     and the background is not 0; with ``erase`` objects that stood in their place are
     deleted.  Voxels may have columns ``c`` and ``t``, numbers of at most ``channels`` and
     ``frames``; precomputed layers hold one frame.  A ``level`` above 0 is added to a layer
-    that is there.  Objects have names that follow from the grid, so a retried task
+    that is there.  Of voxels that are given more than once one value is stored, with
+    ``least`` the least one that is not null; so the rows are shuffled once instead of being
+    grouped before.  Objects have names that follow from the grid, so a retried task
     replaces what it wrote before.
     """
     path = local(path).rstrip("/")
@@ -839,9 +920,11 @@ def write_layer(volume: Volume, path: str, layer_format: str = "precomputed", dt
             few = len(at) * codecs.SPARSE <= a.size
             return codecs.packed(outer, encode(s, a, few), few)
 
-        for number, at, values in _runs(batches):
+        for number, at, values in _runs(batches, least):
             if (at < 0).any():
                 at, values = at[at >= 0], values[at >= 0]
+            if least and values.dtype.kind == "f" and np.dtype(dtype).kind != "f":
+                values = np.where(np.isnan(values), s.fill, values)  # nulls only
             digits = []
             for k in counts:
                 number, d = divmod(number, k)
@@ -894,7 +977,8 @@ def write_layer(volume: Volume, path: str, layer_format: str = "precomputed", dt
         number = F.when(ok | ~F.col("held"), number).otherwise(F.raise_error(F.lit(why)).cast("bigint"))
     first = dict(zip(XYZ, (F.col(g) * n + o for g, n, o in zip(GXYZ, s.chunk, s.offset)))) | {"c": F.col("gc") * s.channel_chunk, "t": F.col("gt") * s.frame_chunk}
     at = F.when(F.col("held"), _mixed([F.col(n) - first[n] for n in ORDER], sizes)).otherwise(-1)
-    rows = rows.select(number.alias("number"), at.alias("at"), "value").repartition("number").sortWithinPartitions("number")
+    order = [F.col("number") * (math.prod(sizes) + 1) + F.col("at")] if math.prod(counts) * (math.prod(sizes) + 1) < 1 << 62 else ["number", "at"]
+    rows = rows.select(number.alias("number"), at.alias("at"), "value").repartition("number").sortWithinPartitions(*order)
     if spec is None:
         return cut(rows.mapInArrow(write, "path string, n_bytes bigint"), "written")
     return write_shards(rows.mapInArrow(coded, "label bigint, payload binary"), s.root, spec, packed=True)
@@ -908,26 +992,42 @@ def _mixed(digits: Sequence, counts: Sequence[int]) -> Column:
     return out.cast("bigint")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _runs(batches: Iterator[pa.RecordBatch], least: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The second and third column for each run of equal numbers in the first, over the
-    ends of batches too."""
+    ends of batches too; with ``least`` the least of the third for each of the second,
+    which is sorted."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     now = None
     for batch in batches:
         number, *more = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if least and len(number):
+            number, *more = _least(number, *more)
         ends = [*(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)] if len(number) else []
         for a, b in zip([0, *ends], ends):
             if held and number[a] != now:
-                yield now, *_joined(held)
+                yield now, *_joined(held, least)
                 held = []
             now = int(number[a])
             held.append(tuple(m[a:b] for m in more))
     if held:
-        yield now, *_joined(held)
+        yield now, *_joined(held, least)
+
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]], least: bool = False) -> tuple[np.ndarray, ...]:
+    if len(parts) == 1:
+        return parts[0]
+    at, values = (np.concatenate(c) for c in zip(*parts))
+    return _least(np.zeros(len(at), np.int64), at, values)[1:] if least else (at, values)
 
-def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    return parts[0] if len(parts) == 1 else tuple(np.concatenate(c) for c in zip(*parts))
+
+def _least(number: np.ndarray, at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by number and place, one for each place with its least value; NaN, which
+    stands for null, only where there is no other."""
+    new = np.append(True, (number[1:] != number[:-1]) | (at[1:] != at[:-1]))
+    if new.all():
+        return number, at, values
+    first = np.flatnonzero(new)
+    return number[first], at[first], (np.fmin if values.dtype.kind == "f" else np.minimum).reduceat(values, first)
 
 
 def _items(done: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -1007,6 +1107,7 @@ def chunk_exists(spark: SparkSession, path: str, mip: int = 0, box: Corners | No
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files: dict[int, ShardFile] = {}
+        there = Present()
         for pdf in batches:
             rows = []
             for unit in pdf["id"].tolist():
@@ -1019,7 +1120,7 @@ def chunk_exists(spark: SparkSession, path: str, mip: int = 0, box: Corners | No
                     for number in np.unique(shards).tolist():
                         sizes[shards == number] = open_shard(s, spec, number, files).find(codes[shards == number])[1]
                 else:
-                    sizes = [next((os.path.getsize(p) for p in _stored_paths(chunk_path(s, *k))), -1) for k in wanted]
+                    sizes = [next((os.path.getsize(p) for p in there.paths(chunk_path(s, *k))), -1) for k in wanted]
                 rows += [(*g, c, t, int(n) >= 0, None if n < 0 else int(n)) for (g, c, t), n in zip(wanted, sizes)]
             out = pd.DataFrame(rows, columns=[*GXYZ, "gc", "gt", "is_stored", "n_bytes"])
             yield out.astype({"n_bytes": "Int64"})
@@ -1029,10 +1130,6 @@ def chunk_exists(spark: SparkSession, path: str, mip: int = 0, box: Corners | No
     return spark.range(0, plan.units, 1, len(plan.partitions())).mapInPandas(look, "gx bigint, gy bigint, gz bigint, gc bigint, gt bigint, is_stored boolean, n_bytes bigint")
 
 
-def _stored_paths(path: str) -> Iterator[str]:
-    return (path + x for x in ("", *codecs.SUFFIXES) if os.path.exists(path + x))
-
-
 def download_chunks(spark: SparkSession, path: str, mip: int = 0, box: Corners | None = None) -> DataFrame:
     """``gx, gy, gz, gc, gt, payload``: the stored chunks of a box as they were encoded,
     without the compression of their files."""
@@ -1041,8 +1138,8 @@ def download_chunks(spark: SparkSession, path: str, mip: int = 0, box: Corners |
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for unit in pdf["id"].tolist():
-                rows = [(*g, c, t, data) for (g, c, t), data in stored_chunks(s, plan.chunks(unit)) if data is not None]
+            for unit in plan.shared(pdf["id"].tolist()):
+                rows = [(*g, c, t, data) for (g, c, t), data in stored_chunks(s, unit) if data is not None]
                 if rows:
                     yield pd.DataFrame(rows, columns=[*GXYZ, "gc", "gt", "payload"])
 
@@ -1058,10 +1155,11 @@ def delete_chunks(spark: SparkSession, path: str, mip: int = 0, box: Corners | N
 
 def _delete(objects: DataFrame) -> DataFrame:
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        there = Present()
         for pdf in batches:
             gone = []
             for path in pdf["path"]:
-                for p in list(_stored_paths(path)):
+                for p in there.paths(path):
                     try:
                         os.remove(p)
                         gone.append(p)
@@ -1125,8 +1223,8 @@ def transfer(spark: SparkSession, source: str, target: str, chunk: Sequence[int]
         files: dict[int, ShardFile] = {}
         for batch in batches:
             done, size = [], 0
-            for unit in batch.column(0).to_pylist():
-                for (g, _, _), data in stored_chunks(s, plan.chunks(unit), spec.data_encoding, files):
+            for unit in plan.shared(batch.column(0).to_pylist()):
+                for (g, _, _), data in stored_chunks(s, unit, spec.data_encoding, files):
                     if data is not None:
                         done.append((morton(g, s.grid()), data))
                         size += len(data)
@@ -1143,9 +1241,8 @@ def transfer(spark: SparkSession, source: str, target: str, chunk: Sequence[int]
         files: dict[int, ShardFile] = {}
         for pdf in batches:
             done = []
-            units = pdf["id"].tolist()
-            for some in [units] if not s.spec else [[u] for u in units]:
-                for (g, _, _), data in stored_chunks(s, (k for u in some for k in plan.chunks(u)), compress if suffix else "", files):
+            for unit in plan.shared(pdf["id"].tolist()):
+                for (g, _, _), data in stored_chunks(s, unit, compress if suffix else "", files):
                     if data is not None:
                         at = chunk_path(new, g) + suffix
                         write_object(at, data, target)
