@@ -100,3 +100,18 @@ def test_frames_of_many_words_are_read_whole():
     raw[places] = byte
     assert raw.tobytes() == codecs.stream("zstd")[1](data)
     assert sparse.expanded("zstd", [data[:-3]])[0] is None and sparse.expanded("zstd", [data + b"\0"])[0] is None
+
+
+def test_a_grid_of_many_frames_is_read_by_few_tasks():
+    s = layers.Scale("zarr2", "/none", "uint32", (1_200_000, 60_000, 7), (1024, 128, 8), (0, 0, 1), (1, 1, 1), 2, 3, frame_chunk=2)
+    ranges = layers.ChunkPlan(s).partitions()
+    assert len(ranges) <= 300 and ranges[-1][1] == 1172 * 469 * 4
+
+
+def test_deflate_streams_are_read_a_few_at_a_time(monkeypatch):
+    at = np.arange(2000) * 400
+    data = sparse.compressed("zlib", np.full(9, 800_000), np.repeat(np.arange(9), 2000), np.tile(at, 9), np.full((18000, 1), 7, np.uint8))
+    sizes = []
+    monkeypatch.setattr(sparse, "_inflated", lambda bodies, read=sparse._inflated: sizes.append(sum(map(len, bodies))) or read(bodies))
+    got = sparse.expanded("zlib", data)
+    assert all(g[0] == 800_000 and (g[1] == at).all() and (g[2] == 7).all() for g in got) and max(sizes) <= (1 << 14) + len(data[0])
