@@ -203,9 +203,9 @@ def zarr3_delete_chunks(spark, sf_dir):
 def delete_black_files(spark, sf_dir):
     """A layer written again: objects of chunks that hold only background now are deleted."""
     v = volume(spark, sf_dir)
-    rows, path, chunk = cut(v.voxels.select(*XYZ, "label", "val"), "voxels"), layers.local(fresh_path(spark, "layer")), (256, 64, 8)
-    layers.write_layer(Volume(rows.drop("val"), v.bounds, chunk), path)
-    layers.write_layer(Volume(rows.where("val > 40").drop("val"), v.bounds, chunk), path, erase=True)
+    path, chunk = layers.local(fresh_path(spark, "layer")), (256, 64, 8)
+    layers.write_layer(Volume(_given(spark, sf_dir).select(*XYZ, "label"), v.bounds, chunk), path, least=True)
+    layers.write_layer(Volume(cut(v.voxels.where("val > 40").select(*XYZ, "label"), "voxels"), v.bounds, chunk), path, erase=True)
     return _read(spark, path)
 
 
