@@ -304,9 +304,10 @@ def write_object(path: str, data: bytes, aside: str | None = None) -> None:
     """Written aside and renamed, so that a retried task leaves one whole object.
 
     In a folder of many objects new names are slow, the more so if tasks take turns; with
-    another folder ``aside`` for the part each object is one name there instead of two.
+    another folder ``aside`` for the part each object is one name there instead of two.  The
+    part lies in a folder of the process below it, so that tasks don't wait for each other.
     """
-    part = f"{aside}/.{_MINE.setdefault(os.getpid(), uuid.uuid4().hex)}.part" if aside else f"{path}.{os.getpid()}.part"
+    part = f"{own_folder(aside)}/part" if aside else f"{path}.{os.getpid()}.part"
     for again in (True, False):
         try:
             with open(part, "wb") as f:
@@ -324,6 +325,18 @@ def write_object(path: str, data: bytes, aside: str | None = None) -> None:
 _MINE: dict[int, str] = {}
 
 
+def own_folder(aside: str) -> str:
+    return f"{aside}/.{_MINE.setdefault(os.getpid(), uuid.uuid4().hex)}"
+
+
+def leave(aside: str) -> None:
+    """Removes the folder for parts, which is empty unless a task was broken off."""
+    try:
+        os.rmdir(own_folder(aside))
+    except OSError:
+        pass
+
+
 ORDER = ("x", "y", "z", "c", "t")
 
 
@@ -949,6 +962,7 @@ def write_layer(volume: Volume, path: str, layer_format: str = "precomputed", dt
             at = chunk_path(s, g, c, t) + suffix
             write_object(at, data, path)
             done.append((at, len(data)))
+        leave(path)
         yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in done], pa.string()), "n_bytes": pa.array([n for _, n in done], pa.int64())})
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -1248,5 +1262,6 @@ def transfer(spark: SparkSession, source: str, target: str, chunk: Sequence[int]
                         write_object(at, data, target)
                         done.append((at, len(data)))
             yield pd.DataFrame(done, columns=["path", "n_bytes"])
+        leave(target)
 
     return cut(units.mapInPandas(store, "path string, n_bytes bigint"), "written")
